@@ -38,5 +38,10 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row: Spark may move a column's expression into the lambdas that use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, secrets, toxicity
+from . import decontaminate, imatch, language_id, line_dedup, mixing, secrets, simhash, toxicity
 from .common import shared_dir, table
 
 
@@ -15,6 +15,11 @@ def _crc(doc_id):
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("n_shingles").cast("long").alias("n_shingles"), "n_shared", "containment")
+
+
 def _of_kind(kind: str):
     return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
 
@@ -35,6 +40,20 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = imatch.edited_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        imatch.as_text(F.col("sigs")).alias("fingerprint"), imatch.as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
+        imatch.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), imatch.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learned = toxicity.sample(docs, table(spark, sf_dir, "labels"), lambda i: _crc(i) % 3 != 1)
@@ -42,6 +61,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_crc("doc_id") % 3 == 1, F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs.where(_crc("doc_id") % 4 != 2))
@@ -49,9 +73,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", F.coalesce(_crc("doc_id") % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_line_dedup, op8_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_line_dedup, op4_simhash, op6_imatch, op8_toxicity, op9_mixing, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": r"""
+WITH items AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(len(w), 5) AS k FROM items WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM sized),
+counted AS (SELECT item_id, count(*) AS n_shingles FROM shingles GROUP BY item_id),
+docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+own AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+        FROM docs, (SELECT DISTINCT k FROM sized) WHERE len(w) >= k)
+SELECT doc_id, item_id, n_shingles::BIGINT AS n_shingles, count(*)::BIGINT AS n_shared, count(*)::DOUBLE / n_shingles AS containment
+FROM own JOIN shingles USING (s) JOIN counted USING (item_id)
+GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= ceil(0.8 * n_shingles - 1e-9)""",
     "op3_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, u.pos, u.line,
