@@ -7,10 +7,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, imatch, language_id, line_dedup, mixing, secrets, simhash, toxicity
+from . import chat, decontaminate, imatch, language_id, line_dedup, mixing, secrets, simhash, token_output, toxicity
 from .common import shared_dir, table
 
 
+#: The id that ends a document.
+END_ID = 1
+
+
+def tokenizer_file() -> str:
+    """Where the tokenizer file of this installation is."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def _crc(doc_id):
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"))
 
@@ -45,6 +56,22 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn is read as a call to `reply` that the next assistant turn answers; later calls follow the first."""
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    asked = messages.where("role = 'user'")
+    first = asked.groupBy("conv_id").agg(F.min("turn").alias("first"))
+    name = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
+    calls = asked.join(first, "conv_id").select(
+        "conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"),
+        F.to_json(F.struct(F.length("text").alias("chars"), F.when(F.col("turn") % 4 == 0, "first").alias("style"), F.col("turn"))).alias("arguments"),
+        F.when(F.col("turn") > F.col("first"), F.array(name(F.col("first")))).otherwise(F.array().cast("array<string>")).alias("after"),
+    )
+    results = messages.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"))
+    schemas = spark.createDataFrame([("reply", "chars", "integer", True), ("reply", "style", "string", True), ("reply", "turn", "integer", True)], "name string, field string, type string, required boolean")
+    return chat.lines(messages, calls, results, schemas)
+
+
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = imatch.edited_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
@@ -54,6 +81,12 @@ def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_output.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), to, tokenizer_file(), END_ID)
+    return token_output.read_tokens(spark, to)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learned = toxicity.sample(docs, table(spark, sf_dir, "labels"), lambda i: _crc(i) % 3 != 1)
@@ -73,7 +106,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", F.coalesce(_crc("doc_id") % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_line_dedup, op4_simhash, op6_imatch, op8_toxicity, op9_mixing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_line_dedup, op4_simhash, op5_chat_format, op6_imatch, op7_token_output, op8_toxicity, op9_mixing, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": r"""
@@ -87,6 +120,21 @@ own AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - k + 2),
 SELECT doc_id, item_id, n_shingles::BIGINT AS n_shingles, count(*)::BIGINT AS n_shared, count(*)::DOUBLE / n_shingles AS containment
 FROM own JOIN shingles USING (s) JOIN counted USING (item_id)
 GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= ceil(0.8 * n_shingles - 1e-9)""",
+    "op5_chat_format": r"""
+WITH m AS (SELECT *, 'call-' || turn AS id, min(turn) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id) AS first FROM conversations),
+j AS (SELECT a.*, b.turn AS answered, c.turn AS asked FROM m a
+      LEFT JOIN (SELECT conv_id, turn FROM m WHERE role = 'assistant') b ON a.role = 'user' AND b.conv_id = a.conv_id AND b.turn = a.turn + 1
+      LEFT JOIN (SELECT conv_id, turn FROM m WHERE role = 'user') c ON a.role = 'assistant' AND c.conv_id = a.conv_id AND c.turn = a.turn - 1)
+SELECT conv_id, turn, role,
+  CASE WHEN role = 'user' THEN (turn > first)::INT ELSE -1 END AS depth,
+  CASE WHEN role = 'user' THEN if(answered IS NULL, 'no_result', 'linked') WHEN role = 'assistant' THEN if(asked IS NULL, 'no_call', 'linked') ELSE 'plain' END AS status,
+  CASE WHEN role = 'user' AND turn % 4 <> 0 THEN 1 ELSE 0 END::BIGINT AS n_errors,
+  '{"content":' || to_json(text)::VARCHAR || ',"conv_id":' || conv_id || ',"role":"' || role || '"'
+  || CASE WHEN role = 'assistant' THEN ',"tool_call_id":"call-' || (turn - 1) || '"' ELSE '' END
+  || CASE WHEN role = 'user' THEN ',"tool_calls":[{"arguments":{"chars":' || length(text) || if(turn % 4 = 0, ',"style":"first"', '') || ',"turn":' || turn || '},"depth":' || (turn > first)::INT
+       || if(turn % 4 = 0, '', ',"errors":["missing style"]') || ',"id":"' || id || '","name":"reply","status":"' || if(answered IS NULL, 'no_result', 'linked') || '"}]' ELSE '' END
+  || ',"turn":' || turn || '}' AS line
+FROM j""",
     "op3_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, u.pos, u.line,
