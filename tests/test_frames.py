@@ -1,0 +1,178 @@
+"""Golden values of FIXTURES.md, and properties of a build and a search."""
+
+import os
+import random
+
+import fixture
+import numpy as np
+import pytest
+
+from framequarry import cli
+from framequarry.config import Config, Geometry, QueryResult
+from framequarry.functions import pixels
+from framequarry.operators import search
+from framequarry.plans.build import build, features, flag
+from framequarry.plans.find import find, histogram_report, query_hash, ranked
+from framequarry.sinks.ppm import dump_winner, encode_ppm
+from framequarry.sources import database, frames
+from framequarry.streaming import build as stream
+
+G1 = [(0, 0), (0, 3), (0, 6), (2, 0)]
+G3 = [(0, 0), (0, 3), (0, 5), (0, 6), (2, 0), (2, 1), (2, 6), (2, 11)]
+G7 = [(0, f) for f in range(9)] + [(2, f) for f in range(12)] + [(3, 0)]
+CASES = {
+    "G1": ((64, 40), 8000, 1200, False, "truncate", G1, 3, {0: 3, 40: 1}, 0, [(0, 0), (0, 1), (0, 2)], [(23040, 0, 1), (322560, 0, 2), (368640, 0, 0)], (0, 3)),
+    "G2": ((64, 40), 8000, 1200, True, "absorb", [*G1, (3, 0)], 3, {0: 3, 40: 2}, 0, [(0, 0), (0, 1), (0, 2)], [(23040, 0, 1), (322560, 0, 2), (368640, 0, 0)], (0, 3)),
+    "G3": ((64, 40), 8000, 5, False, "truncate", G3, 3, {0: 4, 40: 4}, 0, [(0, 0), (0, 1), (0, 2)], [(7680, 0, 2), (23040, 0, 1), (368640, 0, 0)], (0, 5)),
+    "G4": ((64, 40), 8000, 5, True, "absorb", [*G3, (3, 0)], 3, {0: 4, 40: 5}, 0, [(0, 0), (0, 1), (0, 2)], [(7680, 0, 2), (23040, 0, 1), (368640, 0, 0)], (0, 5)),
+    "G5": ((36, 21), 8000, 1200, False, "truncate", G1, 3, {4: 3, 18: 1}, 4, [(4, 0), (4, 1), (4, 2)], [(6804, 4, 1), (95256, 4, 2), (108864, 4, 0)], (0, 3)),
+    "G6": ((36, 21), 8000, 1200, True, "absorb", [*G1, (3, 0)], 3, {0: 3, 20: 2}, 0, [(0, 0), (0, 1), (0, 2)], [(6804, 0, 1), (95256, 0, 2), (108864, 0, 0)], (0, 3)),
+    "G7": ((64, 40), 1000, 1200, True, "absorb", G7, 10, {0: 9, 40: 13}, 40, [(0, i) for i in range(9)] + [(40, 9)], [(7680, 0, 4), (7680, 0, 5), (23040, 0, 3)], (0, 4)),
+}
+HASH = {(64, 40): {"truncate": {0: "cc993366cc993366", 1: "b66dc992266ddb92"}, "absorb": {0: "cc993366cc993366", 1: "b66dc992266ddb92"}}}
+HASH[36, 21] = {"truncate": {0: "e1c387870f1e3c78", 1: "7171e3c3c78e1c1c"}, "absorb": {0: "70c383870f1e3c78", 1: "3871e3c3c78e9c1c"}}
+
+
+@pytest.fixture(scope="module")
+def trees(tmp_path_factory):
+    out = {}
+    for size in ((64, 40), (36, 21)):
+        root = str(tmp_path_factory.mktemp("tree"))
+        out[size] = (f"{root}/tree", fixture.write(root, *size))
+    return out
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_golden(spark, trees, tmp_path, case):
+    size, threshold, chunk, reset, edge, kept, topk, hist, cutoff, found, scores, winner = CASES[case]
+    tree, query = trees[size]
+    cfg = Config(Geometry(*size), chunk, threshold, topk, reset_on_video=reset, index_edge=edge)
+    to = f"{tmp_path}/db"
+    s = build(spark, tree, to, cfg)
+    assert (s.frames_total, s.frames_after_dedup, s.signatures_written) == (25, len(kept), len(kept))
+    rows = database.signatures(spark, to).orderBy("idx").collect()
+    assert [(r.video_id, r.frame_id) for r in rows] == kept and [r.idx for r in rows] == list(range(len(kept)))
+    assert {f"{r.hash & (1 << 64) - 1:016x}" for r in rows if r.video_id == 0} == {HASH[size][edge][0]}
+    assert {f"{r.hash & (1 << 64) - 1:016x}" for r in rows if r.video_id > 0} == {HASH[size][edge][1]}
+    content = frames.read_query(spark, query, cfg.geometry)
+    assert f"{query_hash(content, cfg) & (1 << 64) - 1:016x}" == HASH[size]["absorb"][0]
+    near = search.distances(database.signatures(spark, to), query_hash(content, cfg))
+    assert {r.dist: r.n for r in search.histogram(near).collect()} == hist
+    assert search.cutoff(search.histogram(near), topk).first()[0] == cutoff
+    assert [(r.dist, r.idx) for r in search.candidates(near, topk).collect()] == found
+    order = [(r.sad, r.dist, r.idx) for r in ranked(spark, to, content, cfg).collect()]
+    assert order[: len(scores)] == scores
+    r = find(spark, to, query, cfg)
+    assert (r.found, r.video_id, r.frame_id, r.sad, r.score) == (True, *winner, scores[0][0], float(scores[0][0]))
+    assert database.validate(spark, to, cfg.geometry.nbytes) == len(kept)
+    if case == "G7":
+        wide = Config(Geometry(*size), chunk, threshold, 50, reset_on_video=reset, index_edge=edge)
+        assert search.cutoff(search.histogram(near), 50).first()[0] == 64
+        assert ranked(spark, to, content, wide).count() == 22 and find(spark, to, query, wide).best_db_index == 4
+    assert [r.n for r in histogram_report(spark, to, query, cfg).orderBy("dist").collect()][0] == next(iter(hist.values()))
+
+
+def test_lag_sads(spark, trees):
+    cfg = Config(Geometry(64, 40))
+    rows = flag(features(spark, trees[64, 40][0], cfg), cfg).orderBy("seq").collect()
+    assert [r.sad for r in rows] == [None, 1152, 1152, 23616, 1152, 1152, 23616, 1152, 1152, 54119, *[2880] * 11, 0, 0, 0, 0]
+    exact = Config(Geometry(64, 40), dedup_threshold=23616)
+    assert sum(r.keep for r in flag(features(spark, trees[64, 40][0], exact), exact).collect()) == 2  # equal is dropped
+
+
+def test_flat_files_round_trip(spark, trees, tmp_path):
+    cfg = Config(Geometry(36, 21), dedup=False)
+    build(spark, trees[36, 21][0], f"{tmp_path}/db", cfg)
+    table = database.signatures(spark, f"{tmp_path}/db").join(spark.read.parquet(f"{tmp_path}/db/frames"), "idx")
+    assert database.export_flat(table, f"{tmp_path}/flat") == 25
+    assert os.path.getsize(f"{tmp_path}/flat/hashes.bin") == 200
+    back = database.import_flat(spark, f"{tmp_path}/flat", cfg.geometry.nbytes)
+    rows = lambda df: sorted((r.idx, r.video_id, r.frame_id, r.hash, bytes(r.content)) for r in df.collect())
+    assert rows(back) == rows(table)
+    with open(f"{tmp_path}/flat/hashes.bin", "ab") as f:
+        f.write(b"12345678")
+    with pytest.raises(ValueError, match="lengths"):
+        database.import_flat(spark, f"{tmp_path}/flat", cfg.geometry.nbytes)
+    with open(f"{tmp_path}/flat/hashes.bin", "ab") as f:
+        f.write(b"1")
+    with pytest.raises(ValueError, match="whole"):
+        database.import_flat(spark, f"{tmp_path}/flat", cfg.geometry.nbytes)
+
+
+def test_sizes_of_files(spark, trees, tmp_path):
+    from pyspark.errors import PySparkException
+
+    g = Geometry(8, 8)
+    os.makedirs(f"{tmp_path}/t/v")
+    with open(f"{tmp_path}/t/v/a", "wb") as f:
+        f.write(bytes(range(200)))
+    assert features(spark, f"{tmp_path}/t", Config(g)).first().cells == list(pixels.cell_means(pixels.luma_plane(bytes(range(192)), g), "truncate"))
+    with pytest.raises(ValueError, match="not one frame"):
+        frames.read_query(spark, f"{tmp_path}/t/v/a", g)
+    with open(f"{tmp_path}/t/v/b", "wb") as f:
+        f.write(bytes(10))
+    with pytest.raises(PySparkException, match="10 bytes of 192"):
+        features(spark, f"{tmp_path}/t", Config(g)).collect()
+    with pytest.raises(ValueError):
+        frames.videos(spark, f"{tmp_path}/nowhere")
+
+
+def test_empty_tree(spark, trees, tmp_path):
+    os.makedirs(f"{tmp_path}/t/v")
+    cfg = Config(Geometry(64, 40))
+    assert build(spark, f"{tmp_path}/t", f"{tmp_path}/db", cfg).frames_total == 0
+    r = find(spark, f"{tmp_path}/db", trees[64, 40][1], cfg)
+    assert r == QueryResult() and not dump_winner(spark, f"{tmp_path}/db", cfg.geometry, r, f"{tmp_path}/w.ppm")
+    assert not os.path.exists(f"{tmp_path}/w.ppm")
+
+
+def test_bad_options():
+    for bad in (lambda: Geometry(7, 8), lambda: Geometry(8, 8, 2), lambda: Geometry(40000, 40000), lambda: Config(topk=0), lambda: Config(chunk_frames=-1), lambda: Config(index_edge="x")):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(ValueError):
+        encode_ppm(b"1" * 64, Geometry(8, 8, 1))
+
+
+def test_pixels_against_plain_python():
+    rnd = random.Random(0)
+    for w, h, c in ((8, 8, 3), (37, 22, 3), (50, 19, 1)):
+        g = Geometry(w, h, c)
+        raw = bytes(rnd.randrange(256) for _ in range(g.nbytes))
+        at = lambda x, y, raw=raw, w=w, c=c: raw[(y * w + x) * c] if c == 1 else (77 * raw[(y * w + x) * 3] + 150 * raw[(y * w + x) * 3 + 1] + 29 * raw[(y * w + x) * 3 + 2]) >> 8
+        plane = pixels.luma_plane(raw, g)
+        assert plane.tolist() == [[at(x, y) for x in range(w)] for y in range(h)]
+        assert pixels.samples(plane).tolist() == [at(s % 32 * w // 32, s // 32 * h // 18) for s in range(576)]
+        for edge in ("truncate", "absorb"):
+            want = []
+            for i in range(8):
+                for j in range(8):
+                    y1, x1 = ((i + 1) * (h // 8) if edge == "truncate" or i < 7 else h), ((j + 1) * (w // 8) if edge == "truncate" or j < 7 else w)
+                    cell = [at(x, y) for y in range(i * (h // 8), y1) for x in range(j * (w // 8), x1)]
+                    want.append(sum(cell) // len(cell))
+            assert pixels.cell_means(plane, edge).tolist() == want
+    assert np.array_equal(pixels.cell_means(np.full((16, 16), 9, np.uint8), "absorb"), np.full(64, 9))
+
+
+def test_streamed_build_decides_alike(spark, trees, tmp_path):
+    cfg = Config(Geometry(64, 40), chunk_frames=5)
+    for _ in range(2):  # the second finds nothing new
+        stream.ingest(spark, trees[64, 40][0], f"{tmp_path}/s", cfg, f"{tmp_path}/c").awaitTermination()
+    kept = stream.decisions(spark, trees[64, 40][0], f"{tmp_path}/s", cfg).where("keep").orderBy("seq").collect()
+    assert [(r.video_id, r.frame_id) for r in kept] == G3
+
+
+def test_command_line(spark, trees, tmp_path, capsys):
+    tree, query = trees[64, 40]
+    args = ["--width", "64", "--height", "40", "--database", f"{tmp_path}/db", "--output", f"{tmp_path}/w.ppm", "--topk", "3", "--verbose", "--gpu", "1"]
+    assert cli.main(["run", tree, query, *args], spark) == 0
+    out = capsys.readouterr().out
+    assert "kept 4" in out and "video_id=0 frame_id=3" in out
+    data = open(f"{tmp_path}/w.ppm", "rb").read()
+    assert data.startswith(b"P6\n64 40\n255\n") and data.endswith(fixture.pixels(0, 3, 64, 40))
+    assert cli.main(["search", f"{tmp_path}/db", query, "--width", "64", "--height", "40", "--output", f"{tmp_path}/x.ppm"], spark) == 0
+    assert cli.main(["build", f"{tmp_path}/none", "--database", f"{tmp_path}/n"], spark) == 1
+    for bad in (["build", tree, "--topk", "0"], ["search", tree], ["run", tree, query, "--what"]):
+        with pytest.raises(SystemExit) as e:
+            cli.main(bad, spark)
+        assert e.value.code == 2
