@@ -108,6 +108,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_secret_scan, op3_line_dedup, op4_simhash, op5_chat_format, op6_imatch, op7_token_output, op8_toxicity, op9_mixing, op10_language_id)}
 
+
+def _secret_sql() -> str:
+    """Positions from the texts between the matches, summed up."""
+    parts = []
+    for i, r in enumerate(secrets.RULES):
+        pattern = "'" + r.pattern.replace("'", "''") + "'"
+        parts.append(f"SELECT doc_id, {i} AS ord, '{r.name}' AS kind, {r.min_chars} AS least, regexp_extract_all(t, {pattern}, 0) AS hits, regexp_extract_all(t, {pattern}, {r.group}) AS held, string_split_regex(t, {pattern}) AS gaps FROM d")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({' UNION ALL '.join(parts)}),
+u AS (SELECT doc_id, ord, kind, least, hits, held, gaps, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+p AS (SELECT doc_id, ord, kind, hits[i] AS hit, coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s FROM u WHERE length(held[i]) >= least),
+f AS (SELECT doc_id, count(*) FILTER (WHERE ord = 0) AS a, count(*) FILTER (WHERE ord = 1) AS b, count(*) FILTER (WHERE ord = 2) AS c,
+      string_agg(kind || ':' || s::BIGINT || ':' || (s + length(hit))::BIGINT, ',' ORDER BY s, ord) AS spans FROM p GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN f USING (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": r"""
 WITH items AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
@@ -135,6 +153,7 @@ SELECT conv_id, turn, role,
        || if(turn % 4 = 0, '', ',"errors":["missing style"]') || ',"id":"' || id || '","name":"reply","status":"' || if(answered IS NULL, 'no_result', 'linked') || '"}]' ELSE '' END
   || ',"turn":' || turn || '}' AS line
 FROM j""",
+    "op2_secret_scan": _secret_sql(),
     "op3_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, u.pos, u.line,
