@@ -1,12 +1,24 @@
-"""A local session with this engine's defaults."""
+"""Sessions: a local one with this engine's defaults, and Python workers that find this package."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
+def findable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it; on clusters that lack that folder, ship it with --py-files."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, home])
+    return spark
+
+
 def session(cores: str = "*", **conf: str) -> SparkSession:
     build = SparkSession.builder.master(f"local[{cores}]").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
     for k, v in conf.items():
         build = build.config(k, v)
-    return build.getOrCreate()
+    return findable(build.getOrCreate())

@@ -19,5 +19,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    from framequarry.session import findable
+
+    yield findable(session)
     session.stop()
