@@ -73,6 +73,6 @@ def test_run_and_empty_table(spark, tmp_path):
 def test_stages_are_registered():
     import __spark_entry__ as e
 
-    assert 4 <= len(p.STAGES) <= 5 and e.queries()["pipeline"] is p.run
+    assert 4 <= len(p.STAGES) <= 5 and e.queries()["pipeline"].__wrapped__ is p.run
     for n in range(1, 11):
         assert [k for k in e.queries() if k.startswith(f"op{n}_")], n
