@@ -44,19 +44,25 @@ def lexicon(docs: DataFrame, text: str = "text") -> Column:
     return bits.bit_table(band)
 
 
+def _hash(terms: Column) -> Column:
+    """A hash of 32 bits that is not 0, or 0 of no terms."""
+    return F.when(F.size(terms) == 0, F.lit(0).cast("long")).otherwise(F.shiftrightunsigned(F.xxhash64(terms), 32).bitwiseOR(F.lit(1).cast("long")))
+
+
 def fingerprint(text: Column, table: Column) -> Column:
-    """array<bigint> of 32-bit hashes, 0 where a subset holds no term of the text: the lexicon, then SUBSETS of each rate."""
-    kept = F.array_sort(F.filter(_terms(text), lambda h: bits.has(table, bits.slot(h))))
-    masks = F.array(*(F.struct(F.lit(m - 1).cast("long").alias("m"), F.lit(bits.BITS + _SHIFT * j if m > 1 else 0).alias("at")) for m in (1, *RATES) for j in range(SUBSETS if m > 1 else 1)))
+    """array<bigint> of 32-bit hashes, 0 where a subset holds no term of the text: of the lexicon, then of each subset at each rate.
 
-    def one(terms: Column) -> Column:
-        def subset(mask: Column) -> Column:
-            part = F.filter(terms, lambda h: F.call_function("shiftrightunsigned", h, mask["at"]).bitwiseAND(mask["m"]) == 0)
-            return F.when(F.size(part) == 0, F.lit(0).cast("long")).otherwise(F.shiftrightunsigned(F.xxhash64(part), 32).bitwiseOR(F.lit(1).cast("long")))
+    A subset at a sparser rate is part of the one before, so each is filtered from the last.
+    """
+    kept = F.sort_array(F.filter(_terms(text), lambda h: bits.has(table, bits.slot(h))))
 
-        return F.transform(masks, subset)
+    def thinned(terms: Column, shift: int, rates: tuple[int, ...]) -> Column:
+        if not rates:
+            return F.array().cast("array<bigint>")
+        mask = (rates[0] - 1) << shift
+        return let(F.filter(terms, lambda h: h.bitwiseAND(F.lit(mask).cast("long")) == 0), lambda part: F.concat(F.array(_hash(part)), thinned(part, shift, rates[1:])))
 
-    return let(kept, one)
+    return let(kept, lambda terms: F.concat(F.array(_hash(terms)), *(thinned(terms, bits.BITS + _SHIFT * j, RATES) for j in range(SUBSETS))))
 
 
 def as_text(sigs: Column) -> Column:
@@ -70,18 +76,27 @@ def likeness(a: Column, b: Column) -> Column:
     A rate counts if half of its subsets or more hold a term of either; if none does, all rates
     are taken together.  Texts without any lexicon term are alike if both have none.
     """
-    same = F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: F.struct(((x["a"] != 0) | (x["b"] != 0)).cast("int").alias("n"), ((x["a"] == x["b"]) & (x["a"] != 0)).cast("int").alias("m")))
+    used = lambda x, y: ((x != 0) | (y != 0)).cast("int")
+    same = F.zip_with(a, b, lambda x, y: F.struct(used(x, y).alias("n"), F.when(x == y, used(x, y)).otherwise(0).alias("m")))
 
     def total(rows: Column, key: str) -> Column:
-        return F.aggregate(F.transform(rows, lambda x: x[key]), F.lit(0), lambda s, x: s + x)
+        return F.aggregate(rows, F.lit(0), lambda s, x: s + x[key])
+
+    def both(rows: Column) -> Column:
+        return F.struct(total(rows, "n").alias("n"), total(rows, "m").alias("m"))
+
+    def of_rate(rows: Column, i: int) -> Column:
+        return F.filter(rows, lambda x, k: (k > 0) & (F.pmod(k - 1, F.lit(len(RATES))) == i))
+
+    def share(t: Column) -> Column:
+        return F.when(t["n"] * 2 >= SUBSETS, t["m"] / t["n"])
 
-    def share(i: int) -> Column:
-        rows = F.slice(same, 2 + i * SUBSETS, SUBSETS)
-        return F.when(total(rows, "n") * 2 >= SUBSETS, total(rows, "m") / total(rows, "n"))
+    def judged(rows: Column) -> Column:
+        best = F.array_max(F.transform(F.array(*(both(of_rate(rows, i)) for i in range(len(RATES)))), share))
+        whole = let(both(rows), lambda t: F.when(t["n"] == 0, F.lit(1.0)).otherwise(F.try_divide(t["m"], t["n"])))
+        return F.coalesce(best, whole)
 
-    best = F.array_max(F.array(*map(share, range(len(RATES)))))
-    whole = F.when(total(same, "n") == 0, F.lit(1.0)).otherwise(F.try_divide(total(same, "m"), total(same, "n")))
-    return F.coalesce(best, whole)
+    return let(same, judged)
 
 
 def edited_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .bits import longs
 
 #: Characters of a bucket of consecutive ids, on average, and buckets at most.
-BUCKET_CHARS = 1 << 24
+BUCKET_CHARS = 1 << 22
 MOST_BUCKETS = 1 << 16
 
 
