@@ -15,12 +15,12 @@ import zlib
 import numpy as np
 
 MAGIC = b"CMR1"
-LANES = 2048
+LANES = 4096
 #: Least ids of a block, so that short frames have fewer blocks; a block has at most 2**16 - 1.
 LEAST_BLOCK = 1024
 _T = 24  # the interval is 2**24 parts
 _FLOOR = 8  # parts of an id that never occurs; the weights leave an eighth, so one is left
-_S1, _S2 = 1 << 8, 1 << 9
+_S1, _S2 = 1 << 8, 1 << 8
 _HEAD = "<QIIII"
 
 
@@ -76,26 +76,22 @@ class _Mixer:
         width += self.w2 * (self.p2 == x)
         return begin, width
 
-    def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The id whose interval holds v, where that begins and how wide it is."""
-        x = self.p2.copy()
-        begin, width = self.interval(self.p2)
-        under = self.w2 * (begin <= v)
-        off = v - begin
-        rest = np.flatnonzero((off < 0) | (off >= width))  # most steps go on with a part of the blocks
-        if len(rest):
-            sub = _Mixer.__new__(_Mixer)
-            sub.base, sub.part = self.base, self.part
-            sub.p1, sub.p2, sub.w1, sub.w2, sub.rem = self.p1[rest], self.p2[rest], self.w1[rest], self.w2[rest], self.rem[rest]
-            u, y = v[rest], sub.p1.copy()
-            b, w = sub.interval(y)
-            under = under[rest] + sub.w1 * (b <= u)
-            off = u - b
-            miss = np.flatnonzero((off < 0) | (off >= w))
-            y[miss] = np.searchsorted(self.ends, (((u[miss] - under[miss] + 1) << _T) - 1) // sub.rem[miss], "right") - 1
-            b, w = sub.interval(y)
-            x[rest], begin[rest], width[rest] = y, b, w
-        return x, begin, width
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """The id whose interval holds v: a guess if v lies in the guess's own weight, which its interval begins with, or by the order-0 part."""
+        w1, w2, p1, p2 = self.w1, self.w2, self.p1, self.p2
+        in2 = v - (self.base.take(p2, mode="clip") * self.rem >> _T) - w1 * (p1 < p2)
+        in1 = v - (self.base.take(p1, mode="clip") * self.rem >> _T) - w2 * (p2 <= p1)
+        y = v + 1 - w1 * (in1 >= w1) - w2 * (in2 >= w2)
+        y = ((y << _T) - 1) // self.rem
+        x = self.inverse.take(y >> 3, mode="clip").astype(np.int64)
+        x += self.ends.take(x + 1, mode="clip") <= y
+        np.copyto(x, p1, where=(in1 >= 0) & (in1 < w1))
+        np.copyto(x, p2, where=(in2 >= 0) & (in2 < w2))
+        return x
+
+    def invert(self) -> None:
+        """For each eighth of parts the id that holds its first: no id has less than eight, so that one or the next holds any part of it."""
+        self.inverse = np.searchsorted(self.ends, np.arange(0, 1 << _T, 8), "right").astype(np.int32) - 1
 
     def update(self, x: np.ndarray) -> None:
         kept = x << 2
@@ -141,7 +137,13 @@ def encode(ids: np.ndarray, vocab: int) -> bytes:
             while len(spot):
                 out[spot] += 1
                 spot = spot[out[spot] == 0] - 1
-        while len(i := np.flatnonzero(wide < 1 << 32)):
+        # Every block's top word is written; it stays where the range has become too narrow.
+        narrow = wide < 1 << 32
+        out[row + at] = low >> 32
+        at += narrow
+        low = np.where(narrow, (low & 0xFFFFFFFF) << 16, low)
+        wide <<= narrow * 16
+        while len(i := np.flatnonzero(wide < 1 << 32)):  # seldom a second word
             put(i)
             wide[i] <<= 16
         mixer.update(x)
@@ -162,6 +164,7 @@ def decode(frame: bytes) -> np.ndarray:
     n, lanes, steps, vocab, size = struct.unpack_from(_HEAD, body)
     at = struct.calcsize(_HEAD)
     mixer = _Mixer(lanes, _cumulated(np.frombuffer(zlib.decompress(body[at : at + size]), np.uint8)))
+    mixer.invert()
     at += size
     counts, sums = np.frombuffer(body, "<u4", lanes, at).astype(np.int64), np.frombuffer(body, "<u4", lanes, at + 4 * lanes)
     words = np.frombuffer(body, "<u2", offset=at + 8 * lanes).astype(np.int64)
@@ -173,7 +176,8 @@ def decode(frame: bytes) -> np.ndarray:
     for k in range(steps):
         mixer.predict()
         part = wide >> _T
-        x, begin, width = mixer.find(np.minimum(code // part, (1 << _T) - 1))
+        x = mixer.find(np.minimum(code // part, (1 << _T) - 1))
+        begin, width = mixer.interval(x)
         code -= part * begin
         wide = part * width
         while len(i := np.flatnonzero(wide < 1 << 32)):

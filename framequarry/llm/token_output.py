@@ -22,7 +22,7 @@ from .common import partitions
 
 FRAME_IDS = 1 << 23
 #: Characters of the texts that are encoded at once.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 22
 _FRAME = "part int, frame int, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 _READ = "part int, frame int, doc_id long, before long, n_tokens long, ids_crc32 long"
 
@@ -55,6 +55,7 @@ def _frames(path: str, end_id: int):
         encode, part = _encoder(path), TaskContext.get().partitionId()
         vocab = max(encode.vocab, end_id + 1)
         frame, docs, pieces, held = 0, [], [], 0
+        end = np.int32(end_id)
 
         def row() -> pa.RecordBatch:
             flat = np.concatenate(pieces)
@@ -67,7 +68,7 @@ def _frames(path: str, end_id: int):
             for lo, hi in _batches(texts):
                 for d, tokens in zip(ids[lo:hi], encode(texts[lo:hi]), strict=True):
                     docs.append(d)
-                    pieces.append(np.append(tokens, np.int32(end_id)))
+                    pieces.append(np.append(tokens, end))
                     held += len(tokens) + 1
                     if held >= FRAME_IDS:
                         yield row()

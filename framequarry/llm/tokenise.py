@@ -1,8 +1,9 @@
-"""Token ids of whole texts by the tokenizers library, with each distinct word encoded once a worker.
+"""Token ids of whole texts by the tokenizers library, with each distinct piece between blanks encoded once a worker.
 
-The vocabulary's pre-tokeniser cuts a text into words that are encoded on their own and whose last
-token ends with `</w>`.  Texts of Latin letters, whose classes are certain, are cut here and their
-words looked up; the library encodes words that are new.  All other texts go to it whole.
+The vocabulary's pre-tokeniser cuts a text into words that are encoded on their own, that no blank
+is part of, and whose last token ends with `</w>`.  So the ids of a text are those of its pieces
+between blanks.  Texts of Latin letters, whose classes are certain, are split and coded by a
+dictionary in Arrow; the library encodes pieces that are new.  All other texts go to it whole.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words that a worker remembers before it begins anew.
-REMEMBERED = 400_000
+#: Pieces that a worker remembers before it begins anew.
+REMEMBERED = 800_000
 #: Contractions that the pre-tokeniser keeps apart.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: The normaliser and the pre-tokeniser that the short cut stands for.
@@ -53,13 +56,15 @@ class Encoder:
         self.ids = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(REMEMBERED + (1 << 16), np.int64)  # of each word, and of the next to come
 
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 1 << 14):
-            part = words[at : at + (1 << 14)]
-            got = self._encode([" ".join(part[i : i + 512]) for i in range(0, len(part), 512)])
-            flat = np.concatenate(got)
-            ends = np.flatnonzero(self.last[flat]) + 1
-            if len(ends) != len(part):  # a word was cut after all: one by one
+    def _learn(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 1 << 14):
+            part = pieces[at : at + (1 << 14)]
+            flat = np.concatenate(self._encode([" ".join(part[i : i + 512]) for i in range(0, len(part), 512)]))
+            words = np.cumsum([len(self.word.findall(p)) for p in part])
+            ends = np.append(0, np.flatnonzero(self.last[flat]) + 1)
+            if len(ends) == words[-1] + 1:
+                ends = ends[words]
+            else:  # a word was cut after all: one by one
                 each = self._encode(part)
                 flat, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
             n, used = len(self.place), self.begin[len(self.place)]
@@ -77,25 +82,32 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the library gives them for the whole text without special tokens."""
         out: list = [None] * len(texts)
-        cut: dict[int, list[str]] = {}
+        cut: dict[int, str] = {}
         for i, t in enumerate(texts):
             # The special tokens' strings are found in the raw text; any other mark of theirs is left to the library.
             if self.short_cut and "<|" not in t and self.plain.fullmatch(t) and unicodedata.is_normalized("NFC", t):
                 low = t.lower()
-                if len(low) == len(t) and self.plain.fullmatch(low):
-                    cut[i] = self.word.findall(low)
+                if len(low) == len(t) and (low.isascii() or self.plain.fullmatch(low)):
+                    cut[i] = low
         rest = [i for i in range(len(texts)) if i not in cut]
         for i, ids in zip(rest, self._encode([texts[i] for i in rest]) if rest else [], strict=True):
             out[i] = ids
+        if not cut:
+            return out
+        split = pc.utf8_split_whitespace(pa.array(cut.values(), pa.large_string()))
+        coded = pc.dictionary_encode(split.flatten())
+        pieces = coded.dictionary.to_pylist()  # an empty one, at a text's end, has no ids
         if len(self.place) > REMEMBERED:
             self._forget()
-        new = list(dict.fromkeys(w for ws in cut.values() for w in ws if w not in self.place))
+        new = [p for p in pieces if p not in self.place]
         if new:
             self._learn(new)
-        for i, ws in cut.items():
-            at = np.fromiter(map(self.place.__getitem__, ws), np.int64, len(ws))
-            begin = self.begin[at]
-            size = self.begin[at + 1] - begin
-            ends = np.cumsum(size)
-            out[i] = self.ids[np.arange(ends[-1] if len(ws) else 0) + np.repeat(begin - ends + size, size)]
+        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))[coded.indices.to_numpy()]
+        begin = self.begin[at]
+        size = self.begin[at + 1] - begin
+        ends = np.cumsum(size)
+        flat = self.ids[np.arange(ends[-1] if len(at) else 0) + np.repeat(begin - ends + size, size)]
+        upto = np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        for k, i in enumerate(cut):
+            out[i] = flat[upto[k] : upto[k + 1]]
         return out
