@@ -3,7 +3,9 @@
 Slots 0, 1, 2, ... are mapped through the golden-ratio sequence and the cumulative target shares
 to sources, so every stretch of the schedule is close to the target mix.  Slots are ranked within
 their source; the r-th takes the r-th block of equally many words of that source's shuffled
-documents, beginning anew at the end of the source.  Sources, slots and documents all stay in
+documents, beginning anew at the end of the source.  Each source ends at its rounded target: its
+last block is cut there, later slots take nothing, and slots that it lacks follow the schedule.
+Sources, slots and documents all stay in
 tables: prefix sums run within bounded segments, and intervals meet by equal joins on cells.
 """
 
@@ -80,31 +82,41 @@ def schedule(sized: DataFrame, block_words: int | None = None) -> tuple[DataFram
 
     Documents: doc_id, tx, size, src, begin (words before it in its source), source_size, target.
     Pieces: slot, src, doc_id, tx, begin, size, from_word, n_words: what a slot takes, by document.
-    A slot's block holds block_words words (BLOCK_WORDS, or fewer so that there are SLOTS slots).
+    A slot's block holds block_words words (BLOCK_WORDS, or fewer so that there are SLOTS slots),
+    the last block of a source what is left up to its target, rounded to whole words (1 at least).
     Documents without words are in the first table alone.
     """
     spark = sized.sparkSession
     sized = cut(sized)
     count, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    source = cut(targets(sized))
+    # Words that a source gives.
+    goal = F.when(F.col("target") > 0, F.greatest(F.round("target"), F.lit(1.0))).otherwise(0).cast("long")
+    source = cut(targets(sized).withColumn("goal", goal))
     width = block_words or max(1, min(BLOCK_WORDS, words // SLOTS))
     bits = max(1, math.ceil(math.log2(max(2, count / SEGMENT))))
-    docs = sized.join(source.drop("lo", "hi"), sized["source"].eqNullSafe(source["source"])).drop("source")
+    docs = sized.join(source.drop("lo", "hi", "goal"), sized["source"].eqNullSafe(source["source"])).drop("source")
     docs = docs.withColumn("segment", F.shiftright(F.col("at"), 64 - bits))
     docs = cut(_running(docs, "src", "segment", ["at", "doc_id", "tx"], F.col("size"), "begin").drop("segment", "at"))
 
     # Slots: each point of the golden-ratio sequence finds its source through cells of the unit interval.
     cells = 4096
-    slots = spark.range(math.ceil(words / width)).withColumnRenamed("id", "slot")
+    n_slots = math.ceil(words / width)
+    slots = spark.range(n_slots).withColumnRenamed("id", "slot")
     step = 1 << 20
     point = F.pmod(F.pmod(F.expr(f"slot div {step}") * (step * GOLDEN % 1), F.lit(1.0)) + F.col("slot") % step * GOLDEN, F.lit(1.0))
     slots = slots.withColumn("u", point).withColumn("cell", F.floor(F.col("u") * cells))
     spread = source.where("target > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1).cast("long")))))
-    slots = slots.join(spread, "cell").where("u >= lo and u < hi").select("slot", "src", "source_size")
-    slots = _running(slots.withColumn("segment", F.expr(f"slot div {SEGMENT}")), "src", "segment", ["slot"], F.lit(1), "rank").drop("segment")
-
-    # The rank's block in the source, repeated MOST times at most; a block over the source's end makes two pieces.
-    runs = slots.withColumn("x", F.col("rank") * width).withColumn("y", F.least(F.col("x") + width, F.col("source_size") * MOST)).where("x < y")
+    slots = slots.join(spread, "cell").where("u >= lo and u < hi").select("slot", "src", "source_size", "goal")
+    slots = cut(_running(slots.withColumn("segment", F.expr(f"slot div {SEGMENT}")), "src", "segment", ["slot"], F.lit(1), "rank").drop("segment"))
+    # Blocks that a source lacks; few beside its own, as the points are spread evenly.
+    given = slots.groupBy("src").agg(F.count("*").alias("given"))
+    short = source.join(given, "src", "left").withColumns({"given": F.coalesce("given", F.lit(0).cast("long")), "wanted": F.expr(f"(goal + {width - 1}) div {width}")}).where("given < wanted")
+    short = short.select("src", "source_size", "goal", F.explode(F.sequence("given", F.col("wanted") - 1)).alias("rank"))
+    more = short.withColumn("slot", F.row_number().over(Window.orderBy("rank", "src")) + F.lit(n_slots - 1).cast("long"))
+    slots = slots.unionByName(more)
+
+    # The rank's block in the source, up to the goal; a block over the source's end makes two pieces.
+    runs = slots.withColumn("x", F.col("rank") * width).withColumn("y", F.least(F.col("x") + width, F.col("goal"))).where("x < y")
     runs = runs.withColumn("lap", F.explode(F.sequence(F.expr("x div source_size"), F.expr("(y - 1) div source_size"))))
     runs = runs.withColumn("s", F.greatest(F.col("x") - F.col("lap") * F.col("source_size"), F.lit(0))).withColumn("e", F.least(F.col("y") - F.col("lap") * F.col("source_size"), F.col("source_size")))
     runs = _cells(runs.select("slot", "src", "lap", "s", "e"), "s", "e", width)
@@ -128,6 +140,6 @@ def mix(docs: DataFrame, seed: int = 0, block_words: int | None = None, doc_id:
     """taken() of the schedule of docs.
 
     Null texts have no words, null sources are one source, an empty table gives no rows, and
-    equal rows are separate documents.  Sources near their target within a few blocks.
+    equal rows are separate documents.  Each source gives its target, rounded to whole words.
     """
     return taken(*schedule(sizes(docs, seed, doc_id, source, text), block_words))

@@ -81,3 +81,16 @@ def test_small_and_empty_tables(spark):
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
     assert [r.taken for r in mixing.mix(spark.createDataFrame([(1, None, None)], schema)).collect()] == [0]
     assert [(r.target, r.taken) for r in mixing.mix(spark.createDataFrame([(1, "a b c", None)], schema)).collect()] == [(3.0, 3)]
+
+
+def test_a_tiny_source_beside_a_large_corpus(spark):
+    """Blocks are far longer than what a small source gives; each source ends at its target all the same."""
+    rows = [(i, "w " * 500, "a" if i % 2 else "z") for i in range(400)] + [(1000 + i, "x " * 10, f"m{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    want = brute_targets({"a": 100_000, "z": 100_000} | {f"m{i}": 10 for i in range(12)})
+    of = {d: s for d, _, s in rows}
+    for block in (None, 300, 4096):
+        taken = dict.fromkeys(want, 0)
+        for r in mixing.mix(docs, block_words=block).collect():
+            taken[of[r.doc_id]] += r.taken
+        assert all(abs(taken[s] - want[s]) <= 0.5 + 1e-6 for s in want), block
