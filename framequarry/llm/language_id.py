@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts are summed by Spark over a bounded, hashed sample of the labelled rows; the matrix of log
-probabilities (2**BITS buckets a language, at most MAX_LANGS languages) is broadcast, and numpy
-gathers its rows for every n-gram of a batch of whole texts.
+probabilities (2**BITS buckets a language) is broadcast, and numpy gathers its rows for every n-gram
+of a batch of whole texts.  Languages are learned and scored in blocks of at most MAX_LANGS, a
+matrix and a pass over the texts each, with the best so far and the sum of likelihoods carried along.
 """
 
 from __future__ import annotations
@@ -12,13 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .ngrams import blocks, codes, grams
 
 BITS = 15
 ORDERS = (1, 2, 3)
+#: Languages of a block.
 MAX_LANGS = 256
 #: Labelled rows that a language is learned from, as an expected number.
 SAMPLE_PER_LANG = 1500
@@ -26,13 +30,19 @@ UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
-class Model:
+class Block:
     langs: tuple[str, ...]
     log_prior: np.ndarray
     #: one row a bucket and order, one column a language
     log_prob: np.ndarray
 
 
+@dataclass(frozen=True)
+class Model:
+    #: of a Block each, in the order of the languages
+    blocks: tuple[Broadcast, ...]
+
+
 def _count(langs: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), len(ORDERS) << BITS), np.int64)
@@ -58,14 +68,21 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str =
     """Learn from rows with a lang and a text; None if there is none.
 
     Of each language a share of rows is taken that gives SAMPLE_PER_LANG on average, chosen by a
-    hash of key and text; the MAX_LANGS commonest languages are learned.
+    hash of key and text; every value of lang is learned, with a pass over the rows a block.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("at")).where("lang is not null and text is not null")
-    counts = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
-    langs = tuple(sorted(r["lang"] for r in counts))
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, SAMPLE_PER_LANG / r["count"]))))
+    every, seen = sorted(counts), sum(counts.values())
+    spark = labelled.sparkSession
+    return Model(tuple(spark.sparkContext.broadcast(_fit_block(rows, {x: counts[x] for x in every[i : i + MAX_LANGS]}, seen)) for i in range(0, len(every), MAX_LANGS)))
+
+
+def _fit_block(rows: DataFrame, counts: dict[str, int], seen: int) -> Block:
+    langs = tuple(counts)
+    share = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, min(1.0, SAMPLE_PER_LANG / n))))
+    # Languages of other blocks have no share.
     rows = rows.where(F.pmod("at", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
     sums = rows.mapInArrow(_count(langs), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros((len(ORDERS) << BITS, len(langs)))
@@ -73,25 +90,27 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str =
     n += 0.5
     by_order = n.reshape(len(ORDERS), 1 << BITS, len(langs))
     log_prob = np.log(by_order / by_order.sum(1, keepdims=True)).reshape(n.shape).astype(np.float32)
-    seen = np.array([next(r["count"] for r in counts if r["lang"] == x) for x in langs], float)
-    return Model(langs, np.log(seen / seen.sum()), log_prob)
+    return Block(langs, np.log(np.array(list(counts.values()), float) / seen), log_prob)
 
 
-def _predict(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
-    names, scores = [], np.zeros(len(texts))
+def _predict(texts: list[str], block: Block, names: list[str], top: np.ndarray, mass: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The best language so far, its log-likelihood, and the sum of all likelihoods over that one (infinite for a text without a letter), with those of a block added."""
+    names, top, mass = list(names), top.copy(), mass.copy()
     for lo, hi in blocks(texts):
         flat, at = codes(texts[lo:hi])
-        total = np.tile(model.log_prior, (hi - lo, 1))
+        total = np.tile(block.log_prior, (hi - lo, 1))
         for k, n in enumerate(ORDERS):
             g = grams(flat, n, BITS) + np.uint32(k << BITS)
-            total += np.add.reduceat(model.log_prob[g[:-1]], at, axis=0, dtype=np.float64)
-        p = np.exp(total - total.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        best = p.argmax(1)
+            total += np.add.reduceat(block.log_prob[g[:-1]], at, axis=0, dtype=np.float64)
+        best = total.argmax(1)
+        high = total.max(1)
+        now = np.maximum(high, top[lo:hi])
+        own = np.exp(total - high[:, None]).sum(1) * np.exp(high - now)
         letters = np.add.reduceat((flat[:-1] != 32).astype(np.int64), at) > 0
-        names += [model.langs[j] if ok else UNKNOWN for j, ok in zip(best, letters, strict=True)]
-        scores[lo:hi] = np.where(letters, p[np.arange(hi - lo), best], 0)
-    return names, scores
+        names[lo:hi] = [(block.langs[j] if new else old) if ok else UNKNOWN for j, new, old, ok in zip(best, high > top[lo:hi], names[lo:hi], letters, strict=True)]
+        mass[lo:hi] = np.where(letters, own + mass[lo:hi] * np.exp(top[lo:hi] - now), np.inf)
+        top[lo:hi] = np.where(letters, now, 0)
+    return names, top, mass
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -100,18 +119,24 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     Null texts, and texts without a letter, are `und` with score 0; so is every text if model is
     None.  Equal texts get equal results.
     """
-    spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     docs = docs.select(*kept)
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "lang_score": F.lit(0.0)})
-    shared = spark.sparkContext.broadcast(model)
     at = kept.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, scores = _predict([x or "" for x in b.column(at).to_pylist()], shared.value)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores)], [*kept, "lang_pred", "lang_score"])
-
-    schema = docs.withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0)}).schema
-    return docs.mapInArrow(run, schema)
+    carried = ["lang_pred", "__top", "__mass"]
+
+    def scored(shared: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                names, top, mass = (b.column(len(kept) + i) for i in range(3))
+                found = _predict([x or "" for x in b.column(at).to_pylist()], shared.value, names.to_pylist(), top.to_numpy(), mass.to_numpy())
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(found[0], pa.string()), pa.array(found[1]), pa.array(found[2])], [*kept, *carried])
+
+        return run
+
+    docs = docs.withColumns({"lang_pred": F.lit(UNKNOWN), "__top": F.lit(float("-inf")), "__mass": F.lit(0.0)})
+    for i, shared in enumerate(model.blocks):
+        # One matrix at a time in a worker.
+        docs = (cut(docs) if i else docs).mapInArrow(scored(shared), docs.schema)
+    return docs.select(*kept, "lang_pred", (1 / F.col("__mass")).alias("lang_score"))

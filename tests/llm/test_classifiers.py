@@ -50,6 +50,22 @@ def test_long_text_equals_its_repetition(spark):
     assert got == {1: "bb", 2: "aa"}
 
 
+def test_more_languages_than_a_block(spark, monkeypatch):
+    """Every language is learned, rare ones too, and blocks change nothing."""
+    rnd = random.Random(7)
+    words = {f"l{k}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(4)] for k in range(9)}
+    rows = [(100 * k + i, " ".join(rnd.choice(words[x]) for _ in range(20)), x) for k, x in enumerate(words) for i in range(12 - k)]
+    rows += [(9000, "12 -", "l0"), (9001, None, "l1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = []
+    for most in (256, 4):
+        monkeypatch.setattr(language_id, "MAX_LANGS", most)
+        got.append({r.doc_id: (r.lang_pred, r.lang_score) for r in language_id.predict(docs, language_id.fit(docs)).collect()})
+        assert all(got[-1][d][0] == x for d, _, x in rows if d < 9000)
+        assert got[-1][9000] == got[-1][9001] == ("und", 0.0)
+    assert all(abs(got[0][d][1] - got[1][d][1]) < 1e-9 for d in got[0])
+
+
 def test_nothing_to_learn_from(spark, tmp_path):
     write(spark, tmp_path, [(1, "abc", None, None)], [])
     assert [r.lang_pred for r in op10_language_id(spark, str(tmp_path)).collect()] == ["und"]
