@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from ..functions.bits import hamming
 
 #: Fixed value: distances of 64-bit signatures go up to this.
 FARTHEST = 64
+#: Rows, and queries, that a task of a search for many queries compares at once on average.
+BLOCK = 1 << 14
 
 
 def distances(table: DataFrame, query: int | Column, signature: str = "hash") -> DataFrame:
@@ -42,6 +48,11 @@ def report(hist: DataFrame, topk: int) -> DataFrame:
     return rows.where(F.col("cum") - F.col("n") < topk)
 
 
+def within(near: DataFrame, limit: int) -> DataFrame:
+    """The rows at a distance of limit or less; with the cutoff of a search, its candidates and all others that are as near as the last."""
+    return near.where(F.col("dist") <= limit)
+
+
 def candidates(near: DataFrame, topk: int, idx: str = "idx") -> DataFrame:
     """The topk rows nearest by (dist, idx): a heap a task, merged.  All lie within the cutoff."""
     return near.orderBy("dist", idx).limit(topk)
@@ -58,24 +69,45 @@ def best(ranked: DataFrame, idx: str = "idx") -> DataFrame:
     return ranked.agg(kept.alias("b")).select(F.col("b").isNotNull().alias("found"), F.coalesce("b.idx", F.lit(-1)).alias(idx), F.coalesce("b.dist", F.lit(-1)).alias("dist"), F.coalesce("b.sad", F.lit(-1)).alias("sad"), F.coalesce(F.col("b.sad").cast("float"), F.lit(0.0).cast("float")).alias("score"))
 
 
-def search_many(table: DataFrame, queries: DataFrame, topk: int, sad: Column, idx: str = "idx", block: int = 64) -> DataFrame:
+def _nearest(topk: int):
+    """Of the rows of a block the topk nearest to each query of a block, but for the query itself."""
+
+    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        idx, out = rows["idx"].to_numpy(np.int64), []
+        hashes = rows["hash"].to_numpy(np.int64).view(np.uint64)
+        for q, h in zip(queries["q_idx"], queries["q_hash"].to_numpy(np.int64).view(np.uint64), strict=True):
+            dist = np.bitwise_count(hashes ^ h).astype(np.int32)
+            # One more than topk, as the query may be among them; rows are in the order of idx.
+            best = np.argsort(dist, kind="stable")[: topk + 1]
+            best = best[idx[best] != q][:topk]
+            out.append(pd.DataFrame({"q_idx": np.full(len(best), q, np.int64), "idx": idx[best], "dist": dist[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"q_idx": [], "idx": [], "dist": []})
+
+    return run
+
+
+def search_many(table: DataFrame, queries: DataFrame, topk: int, sad: Column, idx: str = "idx", block: int = BLOCK) -> DataFrame:
     """q_idx, idx, dist, sad: for each of a stated set of queries its best row among its topk nearest other rows.
 
-    table: idx, hash, payload; queries: q_idx, q_hash, q_payload, a bounded set that is taken in
-    blocks of constants, so the table is scanned once a block and each task keeps topk rows a query.
-    sad: a column over payload and q_payload.
+    table: idx (unique), hash, payload; queries: q_idx, q_hash, q_payload.  Rows and queries are dealt into
+    blocks, and a task compares one of each: only numbers and signatures are copied to blocks, and
+    payloads are joined to the topk rows of a query alone.  sad: a column over payload and q_payload.
+    Queries of no other row, and empty tables, give no row.
     """
-    held = queries.collect()
-    out: DataFrame | None = None
-    for at in range(0, len(held), block):
-        part = table.sparkSession.createDataFrame(held[at : at + block], queries.schema)
-        ball = F.array(*(F.struct(F.lit(r["q_idx"]).cast("long").alias("q_idx"), F.lit(r["q_hash"]).cast("long").alias("q_hash")) for r in held[at : at + block]))
-        near = table.select(idx, "hash", "payload", F.explode(ball).alias("q")).where(F.col("q.q_idx") != F.col(idx)).select(F.col("q.q_idx").alias("q_idx"), idx, "payload", hamming(F.col("hash"), F.col("q.q_hash")).alias("dist"))
-        rank = F.row_number().over(Window.partitionBy("q_idx").orderBy("dist", idx))
-        top = near.withColumn("rank", rank).where(F.col("rank") <= topk).drop("rank")
-        scored = top.join(F.broadcast(part.drop("q_hash")), "q_idx").withColumn("sad", sad)
-        one = scored.groupBy("q_idx").agg(F.min(F.struct("sad", "dist", F.col(idx).alias("i"))).alias("b")).select("q_idx", F.col("b.i").alias(idx), "b.dist", "b.sad")
-        out = one if out is None else out.union(one)
-    if out is None:
-        out = table.sparkSession.createDataFrame([], f"q_idx long, {idx} long, dist int, sad long")
-    return out
+    rows, asked = table.select(F.col(idx).cast("long").alias("idx"), "hash"), queries.select(F.col("q_idx").cast("long").alias("q_idx"), "q_hash")
+    n_rows, n_asked = max(1, math.ceil(rows.count() / block)), max(1, math.ceil(asked.count() / block))
+
+    def dealt(of: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        return of.withColumns({own: F.pmod(F.xxhash64(key), F.lit(n)), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+
+    keys = ["row_block", "query_block"]
+    left = dealt(rows, "idx", "row_block", n_rows, "query_block", n_asked).groupBy(*keys)
+    right = dealt(asked, "q_idx", "query_block", n_asked, "row_block", n_rows).groupBy(*keys)
+    near = left.cogroup(right).applyInPandas(_nearest(topk), "q_idx long, idx long, dist int")
+    # topk rows a block of rows at most.
+    top = near.groupBy("q_idx").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "idx"))), 1, topk).alias("top"))
+    top = top.select("q_idx", F.explode("top").alias("t")).select("q_idx", "t.idx", "t.dist")
+    both = top.join(table.select(F.col(idx).cast("long").alias("idx"), "payload"), "idx").join(queries.select(F.col("q_idx").cast("long").alias("q_idx"), "q_payload"), "q_idx")
+    best = both.withColumn("sad", sad).groupBy("q_idx").agg(F.min(F.struct("sad", "dist", "idx")).alias("b"))
+    return best.select("q_idx", F.col("b.idx").alias(idx), "b.dist", "b.sad")

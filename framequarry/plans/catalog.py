@@ -43,14 +43,17 @@ def ahash64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signed(spark, sf_dir).select(F.col("idx").alias("vec_id"), as_hex(F.col("hash")).alias("hash"))
 
 
-def _query(spark: SparkSession, sf_dir: str) -> tuple[int, list[int]]:
-    """Signature and cells of the query vector, as constants for the plan."""
+def _query(spark: SparkSession, sf_dir: str) -> tuple[int, list[int]] | None:
+    """Signature and cells of the query vector, as constants for the plan; None if the table lacks it."""
     row = _signed(spark, sf_dir).where(F.col("idx") == QUERY).first()
-    return row["hash"], row["payload"]
+    return (row["hash"], row["payload"]) if row else None
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.distances(_signed(spark, sf_dir), _query(spark, sf_dir)[0])
+    """All vectors with their distance to the query vector; none without one."""
+    query = _query(spark, sf_dir)
+    near = search.distances(_signed(spark, sf_dir), query[0] if query else 0)
+    return near if query else near.where("false")
 
 
 def hamming_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +84,21 @@ def collect_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).select(F.col("idx").alias("vec_id"), "dist")
 
 
+def within_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors up to the cutoff, ties with the last candidate too."""
+    near = _near(spark, sf_dir)
+    limit = search.cutoff(search.histogram(near), TOPK).first()["cutoff"]
+    return search.within(near, limit).select(F.col("idx").alias("vec_id"), "dist")
+
+
 def candidate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten candidates with what is known of them."""
     return search.candidates(_near(spark, sf_dir), 10).select(F.col("idx").alias("vec_id"), "dist", "label")
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = F.array(*map(F.lit, _query(spark, sf_dir)[1]))
+    query = _query(spark, sf_dir)
+    cells = F.array(*map(F.lit, query[1] if query else [0]))
     return search.rerank(_candidates(spark, sf_dir), array_sad(F.col("payload"), cells))
 
 
@@ -110,9 +121,9 @@ def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in order of time and id, as one group."""
-    events = _table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "user_id", "value", F.lit("all").alias("all"))
-    return sequence.number(events, "all", ["ts", "event_id"], CHUNK)
+    """Events in order of time and id, in chunks."""
+    events = _table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    return sequence.chunked(sequence.positions(events, ["ts", "event_id"]), CHUNK)
 
 
 def _flagged(spark: SparkSession, sf_dir: str, reset: str | None = None, how=dedup.temporal_dedup) -> DataFrame:
@@ -207,14 +218,15 @@ def cell_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_sad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SAD of all bytes of each text to document 0, the shorter one filled up with zeros."""
     rows = _bytes(spark, sf_dir)
-    query = bytes(rows.where("doc_id = 0").first()["content"])
-    return rows.select("doc_id", pixels.byte_sad(F.col("content"), query).alias("sad"))
+    query = rows.where("doc_id = 0").first()
+    sad = rows.select("doc_id", pixels.byte_sad(F.col("content"), bytes(query["content"]) if query else b"").alias("sad"))
+    return sad if query else sad.where("false")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        quantized_cells, ahash64, hamming_distance, hamming_histogram, hamming_histogram_dense, hamming_histogram_cumulative, topk_cutoff, collect_candidates, candidate_report,
+        quantized_cells, ahash64, hamming_distance, hamming_histogram, hamming_histogram_dense, hamming_histogram_cumulative, topk_cutoff, collect_candidates, within_cutoff, candidate_report,
         sad_rerank, search_best, search_many, temporal_dedup, temporal_dedup_reset, temporal_dedup_joined, dedup_compaction, build_stats, chunk_stats, sequence_ids,
         luma_project, luma_of_vectors, grid_sample, cell_means, document_sad,
     )
@@ -257,6 +269,7 @@ ORACLE_SQL: dict[str, str] = {
     "hamming_histogram_cumulative": f"WITH {_HIST} SELECT dist, n, cum FROM s WHERE cum - n < {TOPK}",
     "topk_cutoff": f"WITH {_HIST} SELECT coalesce(min(dist) FILTER (WHERE cum >= {TOPK}), 64)::INT AS cutoff FROM s",
     "collect_candidates": f"WITH {_TOP} SELECT vec_id, dist FROM t",
+    "within_cutoff": f"WITH {_HIST} SELECT vec_id, dist FROM d WHERE dist <= (SELECT coalesce(min(dist) FILTER (WHERE cum >= {TOPK}), 64) FROM s)",
     "candidate_report": f"WITH {_NEAR} SELECT vec_id, dist, label FROM d ORDER BY dist, vec_id LIMIT 10",
     "sad_rerank": f"WITH {_RANK} SELECT vec_id, dist, sad FROM r",
     "search_best": f"WITH {_RANK} SELECT true AS found, vec_id, dist, sad, sad::FLOAT AS score FROM r ORDER BY sad, dist, vec_id LIMIT 1",

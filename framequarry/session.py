@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def findable(spark: SparkSession) -> SparkSession:
@@ -22,3 +23,21 @@ def session(cores: str = "*", **conf: str) -> SparkSession:
     for k, v in conf.items():
         build = build.config(k, v)
     return findable(build.getOrCreate())
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; only a local master may do with a temporary one."""
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        told = tempfile.mkdtemp(prefix="framequarry-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(told)
+    return spark.sparkContext.getCheckpointDir() or told
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df once to the shared folder and carry on from there (a reliable checkpoint)."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
