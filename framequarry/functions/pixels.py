@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Geometry
@@ -17,6 +18,18 @@ GRID = (32, 18)
 BATCH_FRAMES = 32
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_FRAMES rows for what runs or starts within; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_FRAMES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def luma_plane(content: bytes, g: Geometry) -> np.ndarray:
     """Luma of each pixel, as height by width."""
     a = np.frombuffer(content, np.uint8, g.nbytes).reshape(g.height, g.width, g.channels)

@@ -33,8 +33,9 @@ def ranked(spark: SparkSession, path: str, content: bytes, cfg: Config) -> DataF
 
 
 def find(spark: SparkSession, path: str, query: str, cfg: Config = Config()) -> QueryResult:
-    """The best frame for a query file; found is False in an empty database."""
+    """The best frame for a query file; found is False in an empty database, ValueError in one that lacks rows."""
     content = frames.read_query(spark, query, cfg.geometry)
+    database.validate(spark, path)
     row = ranked(spark, path, content, cfg).first()
     if row is None:
         return QueryResult()
@@ -45,3 +46,10 @@ def histogram_report(spark: SparkSession, path: str, query: str, cfg: Config = C
     """dist, n, cum of the distances up to the cutoff."""
     content = frames.read_query(spark, query, cfg.geometry)
     return search.report(search.histogram(search.distances(database.signatures(spark, path), query_hash(content, cfg))), cfg.topk)
+
+
+def candidate_report(spark: SparkSession, path: str, query: str, cfg: Config = Config(), most: int = 10) -> DataFrame:
+    """idx, dist, video_id, frame_id of the first candidates by distance."""
+    content = frames.read_query(spark, query, cfg.geometry)
+    near = search.distances(database.signatures(spark, path), query_hash(content, cfg))
+    return search.candidates(near, min(most, cfg.topk)).select("idx", "dist", "video_id", "frame_id")

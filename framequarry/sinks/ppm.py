@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..config import Geometry, QueryResult
-from ..sources.database import payload, validate
+from ..sources.database import payload
 
 
 def encode_ppm(content: bytes, geometry: Geometry) -> bytes:
@@ -20,8 +20,9 @@ def dump_winner(spark: SparkSession, database: str, geometry: Geometry, result:
     """Write the frame that a search found; False, and no file, if it found none."""
     if not result.found:
         return False
-    validate(spark, database, geometry.nbytes)
     row = payload(spark, database, [result.best_db_index]).first()
+    if row is None:
+        raise ValueError(f"{database} lacks the pixels of frame {result.best_db_index}")
     with open(to, "wb") as out:
         out.write(encode_ppm(bytes(row["content"]), geometry))
     return True

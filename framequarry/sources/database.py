@@ -23,12 +23,16 @@ def payload(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
     return spark.read.schema("idx long, content binary").parquet(f"{path}/frames").where(F.col("idx").isin(ids))
 
 
-def validate(spark: SparkSession, path: str, nbytes: int) -> int:
-    """Rows of the database; ValueError unless indexes are 0 to n - 1 in both tables and all frames have nbytes."""
-    n, low, high, distinct = signatures(spark, path).agg(F.count("*"), F.min("idx"), F.max("idx"), F.count_distinct("idx")).first()
-    frames = spark.read.parquet(f"{path}/frames").agg(F.count("*"), F.count_if(F.length("content") != nbytes)).first()
-    if n and (low, high, distinct) != (0, n - 1, n) or frames[0] != n or frames[1]:
-        raise ValueError(f"{path}: {n} signatures ({low} to {high}), {frames[0]} frames, {frames[1]} of another size")
+def validate(spark: SparkSession, path: str, nbytes: int | None = None) -> int:
+    """Rows of the database; ValueError unless indexes are 0 to n - 1 in both tables and, where nbytes is given, all frames have as many (this reads all pixels)."""
+    places = lambda table: tuple(table.agg(F.count("*"), F.min("idx"), F.max("idx"), F.count_distinct("idx")).first())
+    held = places(signatures(spark, path))
+    stored = spark.read.schema("idx long, content binary").parquet(f"{path}/frames")
+    copied = places(stored)
+    wrong = stored.where(F.length("content") != nbytes).count() if nbytes else 0
+    n = held[0]
+    if n and held != (n, 0, n - 1, n) or copied != held or wrong:
+        raise ValueError(f"{path}: {n} signatures ({held[1]} to {held[2]}), {copied[0]} frames ({copied[1]} to {copied[2]}), {wrong} of another size")
     return n
 
 

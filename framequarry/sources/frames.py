@@ -22,8 +22,8 @@ def videos(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(s.getPath().getName(),) for s in fs.listStatus(path) if s.isDirectory()], "video string")
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path, length, content of the files right under the folders of root, found by Spark's own parallel listing.
+def scan(spark: SparkSession, root: str, folders: list[str] | None = None) -> DataFrame:
+    """path, length, content of the files right under the folders of root, or under those named, found by Spark's own parallel listing.
 
     Names that begin with a dot or an underscore are not seen by Spark's file sources.  Columns
     that are not asked for, content above all, are not read.
@@ -32,7 +32,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.format("binaryFile").load(f"{root}/*/*").select("path", "length", "content")
+        return spark.read.format("binaryFile").load([f"{root}/{x}/*" for x in folders or ["*"]]).select("path", "length", "content")
     except (AnalysisException, Py4JJavaError) as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise

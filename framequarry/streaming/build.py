@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..config import Config
-from ..functions.pixels import BATCH_FRAMES, with_features
-from ..plans.build import flag
+from ..config import BuildStats, Config
+from ..functions.pixels import small_batches, with_features
+from ..plans.build import flag, write
 from ..sources import frames
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -16,7 +16,6 @@ SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 def ingest(spark: SparkSession, root: str, to: str, cfg: Config, checkpoint: str) -> StreamingQuery:
     """Append path, sig and cells of frames that are new under root to the table `to`/incoming, once each; ends when all are read."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_FRAMES))
     arrived = spark.readStream.format("binaryFile").schema(SCHEMA).load(f"{root}/*/*")
     read = arrived.select("path", frames.exact(F.col("content"), F.col("length"), cfg.geometry).alias("content"))
 
@@ -24,10 +23,16 @@ def ingest(spark: SparkSession, root: str, to: str, cfg: Config, checkpoint: str
         # A folder a batch: a batch that is run again replaces itself.
         batch.write.mode("overwrite").parquet(f"{to}/incoming/batch={number}")
 
-    return with_features(read, cfg.geometry, cfg.index_edge).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with small_batches(spark):
+        return with_features(read, cfg.geometry, cfg.index_edge).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def decisions(spark: SparkSession, root: str, to: str, cfg: Config) -> DataFrame:
     """All frames read so far with sad and keep, as a build over them would decide."""
     known = spark.read.parquet(f"{to}/incoming").select("path", "sig", "cells")
     return flag(known.join(frames.manifest(spark, root, cfg.chunk_frames), "path"), cfg)
+
+
+def commit(spark: SparkSession, root: str, to: str, cfg: Config) -> BuildStats:
+    """Bring the database under `to` up to all frames read so far: as a build over them, but features are not computed again."""
+    return write(spark, root, to, decisions(spark, root, to, cfg), cfg)

@@ -2,6 +2,7 @@
 
 import os
 import random
+import shutil
 
 import fixture
 import numpy as np
@@ -11,6 +12,7 @@ from framequarry import cli
 from framequarry.config import Config, Geometry, QueryResult
 from framequarry.functions import pixels
 from framequarry.operators import search
+from framequarry.plans import build as plan
 from framequarry.plans.build import build, features, flag
 from framequarry.plans.find import find, histogram_report, query_hash, ranked
 from framequarry.sinks.ppm import dump_winner, encode_ppm
@@ -162,12 +164,72 @@ def test_streamed_build_decides_alike(spark, trees, tmp_path):
     assert [(r.video_id, r.frame_id) for r in kept] == G3
 
 
+def test_streamed_frames_are_committed(spark, trees, tmp_path):
+    """A video that arrives later is in the database after a commit, which equals a build over all."""
+    tree, query = trees[64, 40]
+    cfg, root, to = Config(Geometry(64, 40), chunk_frames=5), f"{tmp_path}/t", f"{tmp_path}/s"
+    shutil.copytree(f"{tree}/video_a", f"{root}/video_a")
+    for video in ("video_a", "video_c"):
+        if video != "video_a":
+            shutil.copytree(f"{tree}/{video}", f"{root}/{video}")
+        stream.ingest(spark, root, to, cfg, f"{tmp_path}/c").awaitTermination()
+        got = stream.commit(spark, root, to, cfg)
+        assert got == build(spark, root, f"{tmp_path}/db", cfg)
+        rows = lambda at: sorted((r.idx, r.video_id, r.frame_id, r.hash, bytes(r.content)) for r in database.signatures(spark, at).join(spark.read.parquet(f"{at}/frames"), "idx").collect())
+        assert rows(to) == rows(f"{tmp_path}/db") and len(rows(to)) == got.signatures_written
+    assert find(spark, to, query, cfg) == find(spark, f"{tmp_path}/db", query, cfg)
+
+
+def test_pixels_are_copied_range_by_range(spark, trees, tmp_path, monkeypatch):
+    monkeypatch.setattr(plan, "RANGE", 7)
+    cfg = Config(Geometry(36, 21), dedup=False)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    build(spark, trees[36, 21][0], f"{tmp_path}/db", cfg)
+    assert spark.conf.get(key) == before
+    assert database.validate(spark, f"{tmp_path}/db", cfg.geometry.nbytes) == 25
+    with pytest.raises(ValueError, match="25 of another size"):
+        database.validate(spark, f"{tmp_path}/db", 5)
+
+
+def test_a_database_that_lacks_rows_is_refused(spark, trees, tmp_path):
+    cfg, to = Config(Geometry(36, 21)), f"{tmp_path}/db"
+    build(spark, trees[36, 21][0], to, cfg)
+    spark.read.parquet(f"{to}/frames").where("idx <> 1").write.parquet(f"{to}/some")
+    shutil.rmtree(f"{to}/frames")
+    os.rename(f"{to}/some", f"{to}/frames")
+    with pytest.raises(ValueError, match="4 signatures"):
+        find(spark, to, trees[36, 21][1], cfg)
+
+
+def test_grey_frames(spark, tmp_path, capsys):
+    """One byte a pixel: its own luma."""
+    g = Geometry(16, 9, 1)
+    rnd = np.random.default_rng(0)
+    os.makedirs(f"{tmp_path}/t/v")
+    planes = [rnd.integers(0, 256, (9, 16), np.uint8) for _ in range(3)]
+    for i, p in enumerate(planes):
+        p.tofile(f"{tmp_path}/t/v/{i}")
+    cfg = Config(g, dedup_threshold=1, topk=2)
+    assert build(spark, f"{tmp_path}/t", f"{tmp_path}/db", cfg).frames_after_dedup == 3
+    hashes = [r.hash for r in database.signatures(spark, f"{tmp_path}/db").orderBy("idx").collect()]
+    for p, h in zip(planes, hashes, strict=True):
+        cells = pixels.cell_means(p, "truncate")
+        assert h & (1 << 64) - 1 == sum(1 << k for k in range(64) if cells[k] > cells.sum() // 64)
+    args = ["--width", "16", "--height", "9", "--grey", "--index-edge", "absorb", "--dedup-threshold", "1", "--database", f"{tmp_path}/cli"]
+    assert cli.main([f"{tmp_path}/t", f"{tmp_path}/t/v/2", *args], spark) == 0
+    assert "frame_id=2 dist=0 sad=0" in capsys.readouterr().out
+
+
 def test_command_line(spark, trees, tmp_path, capsys):
     tree, query = trees[64, 40]
     args = ["--width", "64", "--height", "40", "--database", f"{tmp_path}/db", "--output", f"{tmp_path}/w.ppm", "--topk", "3", "--verbose", "--gpu", "1"]
     assert cli.main(["run", tree, query, *args], spark) == 0
     out = capsys.readouterr().out
     assert "kept 4" in out and "video_id=0 frame_id=3" in out
+    assert "|idx|dist|video_id|frame_id|" in out and "|  2|   0|       0|       6|" in out
+    assert cli.main([], spark) == cli.main(["only"], spark) == 0 and "usage" in capsys.readouterr().out
+    assert cli.main([tree, query, *args], spark) == 0 and "idx=1 " in capsys.readouterr().out
     data = open(f"{tmp_path}/w.ppm", "rb").read()
     assert data.startswith(b"P6\n64 40\n255\n") and data.endswith(fixture.pixels(0, 3, 64, 40))
     assert cli.main(["search", f"{tmp_path}/db", query, "--width", "64", "--height", "40", "--output", f"{tmp_path}/x.ppm"], spark) == 0
