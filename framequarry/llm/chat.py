@@ -2,8 +2,9 @@
 
 Calls and results are hash-joined by conversation and call identifier, calls are ordered
 topologically over the calls they follow, arguments are validated against schemas, and every
-message becomes one line of canonical JSON: sorted keys, no blanks, absent fields left out.
-Conversations are never gathered into one row: the lines carry their keys and depth.
+message becomes one line of canonical JSON: sorted keys, no blanks, absent fields left out, UTF-8
+with nothing escaped but quotes, backslashes and control characters below U+0020 (so U+2028 and
+U+2029 stand as they are).  Messages are never gathered: the lines carry their keys and depth.
 """
 
 from __future__ import annotations
@@ -11,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let
+
+#: Calls of a conversation that are ordered in one expression; the calls of larger ones are ordered in rounds.
+GATHER = 1024
 
 #: Type names of schemas, with how a variant's schema begins.
 TYPES = {"integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "string": ("STRING",), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",), "null": ("VOID",)}
@@ -33,24 +37,68 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     return both.select("conv_id", "call_id", "call", "result_turn", F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"), status.alias("status"))
 
 
+def _ordered(ids: Column, after: Column) -> Column:
+    """The depth of each call of one conversation: depths spread from call to call until none changes."""
+    places = F.transform(after, lambda deps: F.filter(F.transform(deps, lambda d: (F.array_position(ids, d) - 1).cast("int")), lambda j: j >= 0))
+
+    def spread(deps: Column, d: Column) -> Column:
+        known = F.transform(deps, lambda j: F.get(d, j))
+        return F.when(F.size(deps) == 0, 0).when(F.array_min(known) < 0, -1).otherwise(F.array_max(known) + 1)
+
+    def settled(every: Column) -> Column:
+        def step(state: Column, _: Column) -> Column:
+            once = let(F.transform(every, lambda deps: spread(deps, state["d"])), lambda d: F.struct(d.alias("d"), (d != state["d"]).alias("more")))
+            return F.when(state["more"], once).otherwise(state)
+
+        start = F.struct(F.transform(every, lambda _: F.lit(-1)).alias("d"), F.lit(True).alias("more"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(every)), start, step, lambda s: s["d"])
+
+    return let(places, settled)
+
+
 def depths(linked: DataFrame) -> DataFrame:
     """conv_id, call_id, depth: 0 for calls that follow no other call of the conversation, else one more than the deepest of those; null on or behind a cycle.
 
-    Rounds of a topological sort, as many as the longest chain; identifiers in `after` that are no
-    calls are ignored.
+    Identifiers in `after` that are no calls are ignored.  A conversation of up to GATHER calls is
+    ordered in one expression; larger ones in rounds of joins, as many as their longest chain, over
+    the calls that are still open.
     """
-    nodes = linked.where("call is not null").select("conv_id", "call_id", F.array_distinct(F.coalesce("call.after", F.array().cast("array<string>"))).alias("after"))
+    nodes = linked.where("call is not null").select("conv_id", "call_id", F.array_compact(F.array_distinct(F.coalesce("call.after", F.array().cast("array<string>")))).alias("after"))
     nodes = cut(nodes)
+    sizes = cut(nodes.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > GATHER).select("conv_id"))
+    gathered = nodes.join(sizes, "conv_id", "left_anti").groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "after")).alias("c"))
+    found = _ordered(F.transform("c", lambda x: x["call_id"]), F.transform("c", lambda x: x["after"]))
+    each = gathered.select("conv_id", F.explode(F.arrays_zip(F.transform("c", lambda x: x["call_id"]).alias("call_id"), found.alias("depth"))).alias("x"))
+    small = each.select("conv_id", "x.call_id", F.when(F.col("x.depth") >= 0, F.col("x.depth")).alias("depth"))
+    return small.union(_in_rounds(nodes.join(sizes, "conv_id", "left_semi"))) if sizes.count() else small
+
+
+def _in_rounds(nodes: DataFrame) -> DataFrame:
+    """The depths of all nodes (conv_id, call_id, after)."""
     wanted = nodes.select("conv_id", "call_id", F.explode("after").alias("dep"))
     edges = cut(wanted.join(nodes.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"]))
-    base = nodes.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("depth"))
-    settled, before = cut(base), -1
-    while (n := settled.count()) != before:
-        before = n
-        at = settled.withColumnRenamed("call_id", "dep")
-        ready = edges.join(at, ["conv_id", "dep"], "left").groupBy("conv_id", "call_id").agg((F.max("depth") + 1).alias("depth"), (F.count("depth") == F.count("*")).alias("all")).where("all")
-        settled = cut(base.union(ready.select("conv_id", "call_id", "depth")))
-    return nodes.select("conv_id", "call_id").join(settled, ["conv_id", "call_id"], "left")
+    counts = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("left"))
+    open_ = nodes.select("conv_id", "call_id").join(counts, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("left", F.lit(0)).alias("left"), F.lit(-1).alias("deepest"))
+    open_ = cut(open_)
+    done = []
+    while True:
+        front = cut(open_.where("left = 0").select("conv_id", "call_id", (F.col("deepest") + 1).alias("depth")))
+        if front.isEmpty():
+            break
+        done.append(front)
+        hits = edges.join(front.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("hit"), F.max("depth").alias("reached"))
+        rest = open_.where("left > 0").join(hits, ["conv_id", "call_id"], "left")
+        open_ = cut(rest.select("conv_id", "call_id", (F.col("left") - F.coalesce("hit", F.lit(0))).alias("left"), F.greatest("deepest", "reached").alias("deepest")))
+        if len(done) == 16:
+            done = [cut(_union(done))]
+    return _union([*done, open_.select("conv_id", "call_id", F.lit(None).cast("int").alias("depth"))])
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
 
 
 def _fits(kind: Column, wanted: Column) -> Column:

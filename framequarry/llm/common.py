@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_dir
+
+__all__ = ["BLANK", "ascii_lower", "cut", "let", "partitions", "shared_dir", "table"]
+
 #: The white space that the word and line contracts name, as a regular-expression class body.
 BLANK = r"\x20\x09-\x0D"
 
@@ -16,23 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the session names none."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not told:
-        told = tempfile.mkdtemp(prefix="framequarry-")
-        spark.sparkContext.setCheckpointDir(told)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(told)
-    return spark.sparkContext.getCheckpointDir() or told
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and carry on from there (a reliable checkpoint)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def ascii_lower(col: Column) -> Column:
     """A-Z lower-cased and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from framequarry.llm import chat
 
 M = "conv_id long, turn long, role string, text string, calls string"
@@ -36,7 +38,7 @@ def test_links_orders_validates_and_serialises(spark):
     by = {(r.conv_id, r.turn): r for r in got}
     for r in got:
         parsed = json.loads(r.line)
-        assert r.line == json.dumps(parsed, sort_keys=True, separators=(",", ":"), ensure_ascii=False) or " " in r.line
+        assert r.line == json.dumps(parsed, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     first = json.loads(by[1, 1].line)["tool_calls"]
     assert [(c["id"], c["depth"], c["status"], c.get("errors")) for c in first] == [("x", 0, "linked", None), ("y", 1, "no_result", ["type a", "unknown z"])]
     assert first[0]["arguments"] == {"a": 1, "b": 2.5}
@@ -50,10 +52,41 @@ def test_links_orders_validates_and_serialises(spark):
     assert (by[1, 1].status, by[1, 1].depth, by[1, 1].n_errors) == ("no_result", 1, 2)
 
 
-def test_deep_chain(spark):
-    calls = [(1, i, f"c{i}", "t", "{}", [f"c{i - 1}"] if i else []) for i in range(6)]
+def test_canonical_text(spark):
+    text = "\u2028\u2029 \u0000\u001f\x7f\"\\/é€\U0001f600<>&"
+    line = run(spark, [(1, 0, "user", text, None)], [], []).first().line
+    want = json.dumps({"content": text, "conv_id": 1, "role": "user", "turn": 0}, separators=(",", ":"), ensure_ascii=False)
+    assert json.loads(line)["content"] == text and line.lower() == want.lower()
+
+
+def graph():
+    """Conversations of several shapes: identifiers with those they follow, and the depths by hand."""
+    chain = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(60)}
+    fan = {f"f{i}": [f"f{j}" for j in range(i)] for i in range(7)}
+    cycle = {"a": ["c"], "b": ["a"], "c": ["b", "s"], "s": [], "t": ["s", "nowhere", None], "u": ["t", "a"], "self": ["self"]}
+    return {
+        1: (chain, {f"c{i}": i for i in range(60)}), 2: (fan, {f"f{i}": i for i in range(7)}),
+        3: (cycle, {"a": None, "b": None, "c": None, "s": 0, "t": 1, "u": None, "self": None}), 4: ({"only": None}, {"only": 0}),
+    }
+
+
+@pytest.mark.parametrize("gather", [1024, 5])
+def test_depths_in_one_expression_and_in_rounds(spark, monkeypatch, gather):
+    monkeypatch.setattr(chat, "GATHER", gather)
+    calls = [(conv, 99 - i, k, "t", "{}", after) for conv, (nodes, _) in graph().items() if gather > 5 or conv != 1 for i, (k, after) in enumerate(nodes.items())]
+    linked = chat.link(spark.createDataFrame(calls, C), spark.createDataFrame([], R))
+    got = {(r.conv_id, r.call_id): r.depth for r in chat.depths(linked).collect()}
+    assert got == {(conv, k): want[k] for conv, (nodes, want) in graph().items() if gather > 5 or conv != 1 for k in nodes}
+
+
+def test_a_chain_of_a_thousand_calls(spark):
+    import time
+
+    calls = [(1, i, f"c{i}", "t", "{}", [f"c{i - 1}"] if i else []) for i in range(1000)]
     linked = chat.link(spark.createDataFrame(calls, C), spark.createDataFrame([], R))
-    assert {r.call_id: r.depth for r in chat.depths(linked).collect()} == {f"c{i}": i for i in range(6)}
+    began = time.time()
+    assert {r.call_id: r.depth for r in chat.depths(linked).collect()} == {f"c{i}": i for i in range(1000)}
+    assert time.time() - began < 60
 
 
 def test_empty_tables(spark):
