@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .ngrams import blocks, codes, grams
+from .ngrams import BLOCK, grams, segments, sums
 
 BITS = 15
 ORDERS = (1, 2, 3)
-#: Languages of a block.
-MAX_LANGS = 256
+REACH = max(ORDERS) - 1
+#: Languages of a block, and numbers that are gathered for a block of characters at once.
+MAX_LANGS = 64
+GATHER = 1 << 22
 #: Labelled rows that a language is learned from, as an expected number.
 SAMPLE_PER_LANG = 1500
 UNKNOWN = "und"
@@ -49,15 +51,11 @@ def _count(langs: tuple[str, ...]):
         place = {x: i for i, x in enumerate(langs)}
         for b in batches:
             texts, names = b.column(1).to_pylist(), b.column(0).to_pylist()
-            for lo, hi in blocks(texts):
-                flat, at = codes(texts[lo:hi])
-                ends = np.append(at[1:], len(flat) - 1)
+            for flat, begins, ends, owner in segments(texts, REACH):
                 for k, n in enumerate(ORDERS):
                     g = grams(flat, n, BITS) + np.uint32(k << BITS)
-                    for i, (s, e) in enumerate(zip(at, ends, strict=True)):
-                        total[place[names[lo + i]]] += np.bincount(g[s:e], minlength=total.shape[1]) if e - s > 20_000 else 0
-                        if e - s <= 20_000:
-                            np.add.at(total[place[names[lo + i]]], g[s:e], 1)
+                    for s, e, i in zip(begins, ends, owner, strict=True):
+                        np.add.at(total[place[names[i]]], g[s:e], 1)
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], ["lang", "bucket", "n"])
 
@@ -95,22 +93,19 @@ def _fit_block(rows: DataFrame, counts: dict[str, int], seen: int) -> Block:
 
 def _predict(texts: list[str], block: Block, names: list[str], top: np.ndarray, mass: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The best language so far, its log-likelihood, and the sum of all likelihoods over that one (infinite for a text without a letter), with those of a block added."""
-    names, top, mass = list(names), top.copy(), mass.copy()
-    for lo, hi in blocks(texts):
-        flat, at = codes(texts[lo:hi])
-        total = np.tile(block.log_prior, (hi - lo, 1))
+    if not texts:
+        return names, top, mass
+    total, letters = np.tile(block.log_prior, (len(texts), 1)), np.zeros(len(texts), np.int64)
+    for flat, begins, ends, owner in segments(texts, REACH, max(1, min(BLOCK, GATHER // len(block.langs)))):
         for k, n in enumerate(ORDERS):
-            g = grams(flat, n, BITS) + np.uint32(k << BITS)
-            total += np.add.reduceat(block.log_prob[g[:-1]], at, axis=0, dtype=np.float64)
-        best = total.argmax(1)
-        high = total.max(1)
-        now = np.maximum(high, top[lo:hi])
-        own = np.exp(total - high[:, None]).sum(1) * np.exp(high - now)
-        letters = np.add.reduceat((flat[:-1] != 32).astype(np.int64), at) > 0
-        names[lo:hi] = [(block.langs[j] if new else old) if ok else UNKNOWN for j, new, old, ok in zip(best, high > top[lo:hi], names[lo:hi], letters, strict=True)]
-        mass[lo:hi] = np.where(letters, own + mass[lo:hi] * np.exp(top[lo:hi] - now), np.inf)
-        top[lo:hi] = np.where(letters, now, 0)
-    return names, top, mass
+            np.add.at(total, owner, sums(block.log_prob[grams(flat, n, BITS) + np.uint32(k << BITS)], begins, ends))
+        np.add.at(letters, owner, sums(flat != 32, begins, ends).astype(np.int64))
+    some = letters > 0
+    high = total.max(1)
+    now = np.maximum(high, top)
+    own = np.exp(total - high[:, None]).sum(1) * np.exp(high - now)
+    found = [(block.langs[j] if new else old) if ok else UNKNOWN for j, new, old, ok in zip(total.argmax(1), high > top, names, some, strict=True)]
+    return found, np.where(some, now, 0), np.where(some, own + mass * np.exp(top - now), np.inf)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngrams import blocks, codes, grams
+from .ngrams import grams, segments
 
 BITS = 20
 ORDERS = (4, 5)
+REACH = max(ORDERS) - 1
 #: Labelled rows of a class that are learned from, as an expected number.
 SAMPLE_PER_CLASS = 4000
 SELECT = 1024
@@ -33,25 +34,29 @@ class Model:
     weight: np.ndarray
 
 
-def _present(texts: list[str], wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
-    """For each block of texts: its range and the distinct (text in the block, bucket), as text << 32 | bucket; of wanted buckets only."""
-    for lo, hi in blocks(texts):
-        flat, at = codes(texts[lo:hi])
-        owner = np.repeat(np.arange(hi - lo, dtype=np.int64), np.diff(np.append(at, len(flat) - 1)))
-        out = []
+def _present(texts: list[str], wanted: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """The distinct (text, bucket) of texts, as text << 32 | bucket, in blocks of whole texts; of wanted buckets only."""
+    open_ = np.zeros(0, np.int64)  # of the text that the last block ended in
+    for flat, begins, ends, owner in segments(texts, REACH):
+        of, found = np.repeat(owner.astype(np.int64), ends - begins), [open_]
+        inside = np.concatenate([np.arange(s, e) for s, e in zip(begins, ends, strict=True)])
         for k, n in enumerate(ORDERS):
-            g = grams(flat, n, BITS)[:-1] + np.uint32(k << BITS)
-            at_least = slice(None) if wanted is None else np.flatnonzero(wanted[g])
-            out.append(owner[at_least] << 32 | g[at_least].astype(np.int64))
-        yield lo, hi, np.unique(np.concatenate(out))
+            g = grams(flat, n, BITS)[inside] + np.uint32(k << BITS)
+            at = slice(None) if wanted is None else np.flatnonzero(wanted[g])
+            found.append(of[at] << 32 | g[at].astype(np.int64))
+        every = np.unique(np.concatenate(found))
+        cut = np.searchsorted(every, int(owner[-1]) << 32)
+        open_ = every[cut:]
+        yield every[:cut]
+    yield open_
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2, len(ORDERS) << BITS), np.int32)
     for b in batches:
         toxic, texts = b.column(0).to_numpy(False), b.column(1).to_pylist()
-        for lo, hi, found in _present(texts):
-            of = toxic[lo:hi][found >> 32]
+        for found in _present(texts):
+            of = toxic[found >> 32]
             for y in (0, 1):
                 np.add.at(total[y], found[of == y] & 0xFFFFFFFF, 1)
     # An n-gram in under two toxic texts of a task's share says little; the sums below need it all the same.
@@ -101,9 +106,9 @@ def fit(labelled: DataFrame, toxic: str = "toxic", text: str = "text", key: str
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list[int]] = [[] for _ in range(len(b))]
-            for lo, _, pairs in _present(b.column(1).to_pylist(), wanted.value > 0):
+            for pairs in _present(b.column(1).to_pylist(), wanted.value > 0):
                 for i, g in zip((pairs >> 32).tolist(), (wanted.value[pairs & 0xFFFFFFFF] - 1).tolist(), strict=True):
-                    out[lo + i].append(g)
+                    out[i].append(g)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["toxic", "has"])
 
     seen = rows.mapInArrow(features, "toxic int, has array<int>").toArrow()  # a bounded sample
@@ -118,9 +123,9 @@ def fit(labelled: DataFrame, toxic: str = "toxic", text: str = "text", key: str
 
 
 def sample(docs: DataFrame, labels: DataFrame, allowed, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, toxic, text of a bounded sample of the labelled rows for which the condition on doc_id holds.
+    """doc_id, toxic, text of a bounded sample of the labelled rows for which the condition on doc_id holds: about SAMPLE_PER_CLASS of a class.
 
-    A document with several labels is toxic if one says so; null ids and labels are left out.
+    Rows with one id and text are one.  A document with several labels is toxic if one says so; null ids and labels are left out.
     """
     marks = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1))
     marks = marks.where(allowed(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -129,7 +134,11 @@ def sample(docs: DataFrame, labels: DataFrame, allowed, doc_id: str = "doc_id",
     marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     # About twice SAMPLE_PER_CLASS rows of two numbers: broadcast whatever the corpus.
-    return texts.join(F.broadcast(marks), texts["doc_id"] == marks["id"]).select("doc_id", "toxic", "text")
+    held = texts.join(F.broadcast(marks), texts["doc_id"] == marks["id"]).select("doc_id", "toxic", "text", F.xxhash64("doc_id", "text").alias("row"))
+    # An id may be on any number of texts: of each class a share of the rows is left that gives SAMPLE_PER_CLASS on average.
+    rows = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.count_distinct("row").alias("n")).collect()}
+    share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE_PER_CLASS / max(1, rows.get(1, 0)))).otherwise(min(1.0, SAMPLE_PER_CLASS / max(1, rows.get(0, 0))))
+    return held.where(F.pmod(F.shiftrightunsigned("row", 20), F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["row"]).drop("row")
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -143,11 +152,12 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        used = m.weight != 0
         for b in batches:
             texts = [x or "" for x in b.column(at).to_pylist()]
             z = np.full(len(texts), m.bias)
-            for lo, hi, pairs in _present(texts, m.weight != 0):
-                z[lo:hi] += np.bincount(pairs >> 32, weights=m.weight[pairs & 0xFFFFFFFF], minlength=hi - lo)
+            for pairs in _present(texts, used):
+                np.add.at(z, pairs >> 32, m.weight[pairs & 0xFFFFFFFF])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], [*kept, "toxic_score"])
 
     return docs.mapInArrow(run, docs.withColumn("toxic_score", F.lit(0.0)).schema)
