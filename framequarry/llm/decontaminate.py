@@ -3,13 +3,14 @@
 Items are partitioned by size.  An item's MinHash sketch is its bottom-k shingles by hash, where k
 follows from the upper size of its partition so that a document with the wanted containment must
 hold one of them at least (a document's own sketch would say nothing of a short part of it; see
-Koslicki and Zabeti, 2019).  Documents are tested against the sketches inside the scan; what
-remains is verified by exact counts of the item's shingles.  Built-in functions only.
+Koslicki and Zabeti, 2019).  Documents are tested against the sketches, inside the scan or, for an
+index that a task should not hold, by a join of sketched hashes; what remains is verified by exact
+counts of the item's shingles.  Built-in functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bits
@@ -17,7 +18,7 @@ from .common import cut, let
 
 WORDS = 5
 THRESHOLD = 0.8
-#: An index of more shingles or characters is joined by shuffling and not held in each task.
+#: An index of more shingles or characters is not held in each task: hashes are joined by shuffling.
 INDEX_SHINGLES = 1 << 17
 INDEX_CHARS = 1 << 24
 
@@ -33,6 +34,11 @@ def _shingles(words: Column, width: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(width)), " "))
 
 
+def all_shingles(text: Column, widths) -> Column:
+    """The shingles of a text at all widths, repeats included."""
+    return let(tokens(text), lambda w: F.flatten(F.array(*(_shingles(w, k) for k in widths))))
+
+
 def index(items: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """item_id, ix (hash of the text), width, n_shingles, needed, shingle, sketched: a row for each distinct shingle of each item.
 
@@ -53,6 +59,18 @@ def index(items: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, it
     return rows.select("item_id", "ix", "width", "n_shingles", "needed", F.col("r.shingle").alias("shingle"), (F.col("i") < F.col("k")).alias("sketched"))
 
 
+def sketched_pairs(docs: DataFrame, rows: DataFrame, shingles: Column) -> DataFrame:
+    """doc_id, tx, item_id, ix: the pairs whose document holds as many of the item's sketched shingles as it needs, by their 64-bit hashes.
+
+    docs: doc_id, tx and what the column of all its shingles needs; rows: an index.  Only hashes
+    are shuffled, and no pair at the threshold is lost.
+    """
+    sketches = rows.where("sketched").select("item_id", "ix", "needed", F.xxhash64("shingle").alias("h")).distinct()
+    hashes = docs.select("doc_id", "tx", F.explode(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s)))).alias("h")).distinct()
+    met = hashes.join(sketches, "h").groupBy("doc_id", "tx", "item_id", "ix", "needed").agg(F.count("*").alias("n"))
+    return met.where("n >= needed").select("doc_id", "tx", "item_id", "ix")
+
+
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """doc_id, tx (hash of the text), item_id, n_shingles, n_shared, containment: the pairs at threshold or above.
 
@@ -66,7 +84,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, w
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tx"), F.col(text).alias("text"))
     held = size["n"] <= INDEX_SHINGLES and size["chars"] <= INDEX_CHARS
     widths = size["widths"] or [words]
-    every = let(tokens(F.col("text")), lambda w: F.flatten(F.array(*(_shingles(w, k) for k in widths))))
+    every = all_shingles(F.col("text"), widths)
     if held:
         slots = rows.select(bits.slot(F.xxhash64("shingle")).alias("slot"), "sketched").groupBy("slot").agg(F.max("sketched").alias("sketched")).collect()  # INDEX_SHINGLES rows at most
         known, sketch = bits.bit_table(r["slot"] for r in slots), bits.bit_table(r["slot"] for r in slots if r["sketched"])
@@ -76,6 +94,8 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, w
         own = own.select("doc_id", "tx", F.explode(hits).alias("shingle"))
         rows = F.broadcast(rows)
     else:
+        leads = cut(sketched_pairs(own, rows, every).select("doc_id", "tx").distinct().toDF("led_id", "led_tx"))
+        own = own.join(leads, F.col("doc_id").eqNullSafe(F.col("led_id")) & (F.col("tx") == F.col("led_tx")), "left_semi")
         own = own.select("doc_id", "tx", F.explode(F.array_distinct(every)).alias("shingle"))
     pairs = own.distinct().join(rows, "shingle").groupBy("doc_id", "tx", "item_id", "ix", "n_shingles", "needed").agg(F.count("*").alias("n_shared"), F.count_if("sketched").alias("n_sketched"))
     found = pairs.where((F.col("n_sketched") >= F.col("needed")) & (F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - 1e-9)))

@@ -64,6 +64,21 @@ def test_against_brute_force(spark, monkeypatch, held):
     assert set(rows) == brute(docs, items) and len(rows) == len(set(rows)) and len(rows) > 20
 
 
+def test_sketches_prune_pairs_and_lose_none(spark):
+    from pyspark.sql import functions as F
+
+    docs, items = case()
+    own = spark.createDataFrame(docs, "doc_id long, text string").withColumn("tx", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = decontaminate.index(spark.createDataFrame(items, "item_id long, text string"))
+    every = decontaminate.all_shingles(F.col("text"), range(1, 6))
+    led = {(r.doc_id, r.item_id) for r in decontaminate.sketched_pairs(own, rows, every).collect()}
+    whole = {(d, i) for d, i, _, _ in brute(docs, items)}
+    touching = {(d, i) for d, i, _, _ in brute(docs, items, 1e-9)}
+    assert whole <= led
+    assert led < touching
+    assert len(led) - len(whole) < len(touching) - len(whole), (len(whole), len(led), len(touching))
+
+
 def test_empty_tables(spark):
     d, i = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
