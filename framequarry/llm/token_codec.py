@@ -1,193 +1,360 @@
-"""A context-mixing range coder for token ids, with many blocks coded side by side in numpy.
+"""An adaptive context-mixing range coder for token ids, with many blocks coded side by side in numpy.
 
-A frame holds ids cut into blocks of equal length.  Every block starts with fresh models and has a
-checksum of its ids; one step codes one id of each block.  Order-1 and order-2 contexts predict
-the id that followed last, with a confidence; order 0 predicts by the frame's counts of ids, which
-its head holds.  How often each prediction at each confidence held in the block so far decides its
-weight, and the mixture of all three gives the interval that the range coder narrows to.
+A block is a byte string that is read alone: a head, a checksum of its ids, and the coder's words.
+All models start anew with it.  Order 2 and order 1 each predict the id that followed their
+context last, with a confidence; how often they were right in the block so far, by both
+confidences, gives their shares of the interval that the range coder narrows to.  The rest is order
+0's: it counts the ids that neither predicts, and ids without a count follow a fixed law.  The
+counts are summed up anew every few ids, alike by coder and decoder.  One step codes one id of each
+block; a table has a row a slot and a column a block.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Sequence
+from functools import cache
 
 import numpy as np
 
-MAGIC = b"CMR1"
-LANES = 4096
-#: Least ids of a block, so that short frames have fewer blocks; a block has at most 2**16 - 1.
-LEAST_BLOCK = 1024
-_T = 24  # the interval is 2**24 parts
-_FLOOR = 8  # parts of an id that never occurs; the weights leave an eighth, so one is left
-_S1, _S2 = 1 << 8, 1 << 8
-_HEAD = "<QIIII"
+#: Ids of a block at most, and blocks that are coded side by side.
+BLOCK, LANES = 1 << 13, 1 << 11
+#: Ids of a block at least, unless there are fewer in all.
+LEAST_BLOCK = 1 << 11
+#: Ids that are coded side by side.
+RUN = 1 << 23
+#: Steps between two sums of the counts: an eighth of the steps so far, within these bounds.
+OFTEN, SELDOM = 16, 64
+_HEAD = "<III"
+_ALL = 1 << 24  # parts of the interval
+_SHARE = 224  # parts of a prediction that always held, over 2**16
+_LAW = 1 << 17  # parts of the law; ids without a count have as many at least
+_WIDE, _LOW = 1 << 48, 1 << 32  # the range is the first at first, and never under the second
+_SLOTS1, _SLOTS2 = 1 << 10, 1 << 11  # contexts of a block
+_SPAN = 4  # children of a node of the search, whose sums of 15 bits are compared in one word
+_LEVELS = 3
+_EACH, _FLAGS = np.uint64(0x0001000100010001), np.uint64(0x8000800080008000)
+#: Trials and hits that a context begins with: hits of order 2, then of order 1, by order 1's confidence and order 2's, where the predictions differ; then where they agree.
+_TRIALS = 32
+_HITS2 = [1, 6, 12, 18] * 4 + [6, 16, 24, 28] * 4
+_HITS1 = [x for x in (2, 4, 6, 8) for _ in range(4)] + [0] * 16
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    """Order-0 counts as steps of a quarter of a bit."""
-    return np.rint(4 * np.log2(counts + 1.0)).astype(np.uint8)
+@cache
+def _law(vocab: int) -> np.ndarray:
+    """Where each id's part of _LAW begins, and the end: a vocabulary lists its ids by frequency, so the share falls with the id."""
+    if not 0 < vocab <= 1 << 16:
+        raise ValueError("a vocabulary has 1 to 65,536 ids")
+    share = 1 / (np.arange(vocab) + 700.0)
+    parts = 1 + np.floor(share / share.sum() * (_LAW - vocab)).astype(np.int64)
+    parts[0] += _LAW - int(parts.sum())
+    return np.concatenate(([0], np.cumsum(parts)))
 
 
-def _cumulated(levels: np.ndarray) -> np.ndarray:
-    """Where each id's part of 2**24 begins, and the end."""
-    share = np.array([int(2 ** (k / 4)) for k in range(160)], np.int64)[levels] - 1
-    spare = (1 << _T) - _FLOOR * len(levels)
-    parts = _FLOOR + share * spare // max(1, int(share.sum()))
-    parts[int(parts.argmax())] += (1 << _T) - int(parts.sum())
-    return np.concatenate(([0], np.cumsum(parts)))
+@cache
+def _lawful(vocab: int) -> np.ndarray:
+    """The id of each part of _LAW."""
+    return np.repeat(np.arange(vocab, dtype=np.uint16), np.diff(_law(vocab)))
+
+
+@cache
+def _slots(lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each id the row of its slot as order 1's context, and the two parts of order 2's."""
+    x = np.arange(1 << 16, dtype=np.int64)
+    return tuple((x * k >> 7 & n - 1) * lanes for k, n in ((40503, _SLOTS1), (50333, _SLOTS2 // 2), (27361, _SLOTS2 // 2)))
+
+
+class _Models:
+    """The models of so many blocks; a context's entry is an id and four bits, two of them its confidence: the lower ones for order 2."""
+
+    def __init__(self, lanes: int, steps: int, search: bool):
+        self.lanes, self.lane, self.search = lanes, np.arange(lanes), search
+        self.t1, self.t2 = np.zeros(_SLOTS1 * lanes, np.int32), np.zeros(_SLOTS2 * lanes, np.int32)
+        self.at_context = self.lane * 32
+        self.trials = np.full(32 * lanes, _TRIALS, np.int32)
+        self.hits2, self.hits1 = (np.tile(np.array(h, np.int32), lanes) for h in (_HITS2, _HITS1))
+        # A row a rank, and one for what is not counted.
+        self.rows = (-(-steps // _SPAN**_LEVELS) + 1) * _SPAN**_LEVELS
+        self.counts, self.nowhere = np.zeros((self.rows + 1) * lanes, np.uint16), self.rows * lanes
+        self.every_sum = np.zeros((self.rows + 1, lanes), np.uint16)
+        self.known = np.zeros(lanes, np.int64)  # ranks so far
+        self.fresh = np.full(lanes, 0.9, np.float32)  # how often an id had no count
+        self.sum_up()
 
+    def sum_up(self) -> None:
+        """Make the counts so far those that the shares go by."""
+        ranks = (int(self.known.max()) // _SPAN**_LEVELS + 1) * _SPAN**_LEVELS  # one more than there are
+        sums = self.every_sum[: ranks + 1]
+        for before, count, after in zip(sums, self.counts[: ranks * self.lanes].reshape(ranks, -1), sums[1:]):
+            np.add(before, count, out=after)
+        self.total = sums[-1].astype(np.int32)
+        if self.search:
+            # Of each node, whose children are nodes or ranks, a word of the sums before its children.
+            self.top = sums[: -1 : _SPAN**_LEVELS]
+            self.nodes = [self._words(sums[: -1 : _SPAN**k]) for k in reversed(range(_LEVELS))]
+        # Of what the predictions leave the share of one occurrence; counted ids, and those without a count, have a sixteenth at least.
+        self.each = np.clip(1 - self.fresh, np.float32(0.0625), np.float32(0.9375)) / np.maximum(self.total, 1).astype(np.float32)
+        part = np.float32(_SHARE << 16) / (self.trials + 2)
+        share2 = ((self.hits2 + np.float32(0.25)) * part).astype(np.int64)
+        self.shares = share2 << 32 | share2 + ((self.hits1 + np.float32(0.25)) * part).astype(np.int64)
 
-class _Mixer:
-    """The models of all blocks of a frame; a table's entry is an id and, in its last two bits, its confidence."""
-
-    def __init__(self, lanes: int, base: np.ndarray):
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.base, self.part, self.at1, self.at2 = base[:-1], np.diff(base), self.lane * _S1, self.lane * _S2
-        self.ends = base
-        self.t1, self.t2 = np.zeros(lanes * _S1, np.int32), np.zeros(lanes * _S2, np.int32)
-        # How often a prediction held, by confidence, in parts of 2**16: order 2, then order 1.
-        self.held = np.repeat(np.array([2000, 16000, 30000, 45000] * 2, np.int64), lanes)
-        self.one = np.zeros(lanes, np.int64)  # hash of the last id, and of the last two
-        self.two = np.zeros(lanes, np.int64)
-        self.lanes = lanes
-
-    def predict(self) -> None:
-        self.s1, self.s2 = self.at1 + (self.one & (_S1 - 1)), self.at2 + (self.two & (_S2 - 1))
-        e1, e2 = self.t1.take(self.s1, mode="clip").astype(np.int64), self.t2.take(self.s2, mode="clip").astype(np.int64)
-        self.g1, self.g2 = e1 & 3, e2 & 3
-        self.h1, self.h2 = (self.g1 + 4) * self.lanes + self.lane, self.g2 * self.lanes + self.lane
-        self.q1, self.q2 = self.held.take(self.h1, mode="clip"), self.held.take(self.h2, mode="clip")
-        self.p1, self.p2 = e1 >> 2, e2 >> 2
-        left = 7 << _T - 3
-        self.w2 = self.q2 * left >> 16
-        rest = left - self.w2
-        self.w1 = rest * self.q1 >> 16
-        self.rem = (1 << _T) - self.w2 - self.w1
-
-    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where x begins and how wide it is."""
-        at = self.base.take(x, mode="clip")
-        begin = at * self.rem >> _T
-        width = ((at + self.part.take(x, mode="clip")) * self.rem >> _T) - begin
-        begin += self.w1 * (self.p1 < x)
-        begin += self.w2 * (self.p2 < x)
-        width += self.w1 * (self.p1 == x)
-        width += self.w2 * (self.p2 == x)
-        return begin, width
+    def _words(self, sums: np.ndarray) -> np.ndarray:
+        parts = [x.astype(np.uint64) << np.uint64(16 * k) for k, x in enumerate(sums.reshape(-1, _SPAN, self.lanes).transpose(1, 0, 2))]
+        return (parts[0] | parts[1] | parts[2] | parts[3]).ravel()
+
+    def learn(self, counted: np.ndarray, new: np.ndarray, contexts: np.ndarray, hits1: np.ndarray, hits2: np.ndarray) -> None:
+        """Add the steps since the last sum: places in the counts, ids without one, contexts and what held there."""
+        np.add.at(self.counts, counted.ravel(), np.uint16(1))
+        context = contexts.ravel()
+        np.add.at(self.trials, context, np.int32(1))
+        np.add.at(self.hits2, context[hits2.ravel().nonzero()[0]], np.int32(1))
+        np.add.at(self.hits1, context[(hits1 > hits2).ravel().nonzero()[0]], np.int32(1))
+        n, fresh = len(new) - (hits1 | hits2).sum(0, dtype=np.int32), new.sum(0, dtype=np.int32)
+        self.known += fresh
+        self.fresh += (fresh - n * self.fresh) / np.float32(128)
+        self.sum_up()
+
+    def predict(self, s1: np.ndarray, s2: np.ndarray, context: np.ndarray) -> None:
+        """Shares for the contexts in these places; context: where to put that of both confidences."""
+        self.s1, self.s2 = s1, s2
+        self.e1, self.e2 = self.t1.take(s1, mode="clip"), self.t2.take(s2, mode="clip")
+        self.p1, self.p2 = self.e1 >> 4, self.e2 >> 4
+        self.c1, self.c2 = self.e1 & 12, self.e2 & 3
+        np.add((self.p1 == self.p2) << np.int8(4) | self.c1 | self.c2, self.at_context, out=context)
+        shares = self.shares.take(context, mode="clip")
+        self.w2, self.w = (shares >> 32).astype(np.int32), shares.astype(np.int32)
+        self.unit = ((_ALL - self.w).astype(np.float32) * self.each).astype(np.int32)
 
     def find(self, v: np.ndarray) -> np.ndarray:
-        """The id whose interval holds v: a guess if v lies in the guess's own weight, which its interval begins with, or by the order-0 part."""
-        w1, w2, p1, p2 = self.w1, self.w2, self.p1, self.p2
-        in2 = v - (self.base.take(p2, mode="clip") * self.rem >> _T) - w1 * (p1 < p2)
-        in1 = v - (self.base.take(p1, mode="clip") * self.rem >> _T) - w2 * (p2 <= p1)
-        y = v + 1 - w1 * (in1 >= w1) - w2 * (in2 >= w2)
-        y = ((y << _T) - 1) // self.rem
-        x = self.inverse.take(y >> 3, mode="clip").astype(np.int64)
-        x += self.ends.take(x + 1, mode="clip") <= y
-        np.copyto(x, p1, where=(in1 >= 0) & (in1 < w1))
-        np.copyto(x, p2, where=(in2 >= 0) & (in2 < w2))
-        return x
-
-    def invert(self) -> None:
-        """For each eighth of parts the id that holds its first: no id has less than eight, so that one or the next holds any part of it."""
-        self.inverse = np.searchsorted(self.ends, np.arange(0, 1 << _T, 8), "right").astype(np.int32) - 1
-
-    def update(self, x: np.ndarray) -> None:
-        kept = x << 2
-        for p, g, q, h, s, t in ((self.p2, self.g2, self.q2, self.h2, self.s2, self.t2), (self.p1, self.g1, self.q1, self.h1, self.s1, self.t1)):
-            e = p == x
-            self.held[h] = q + ((e * 65000 - q) >> 5)
-            # A hit raises the confidence to 3 at most, a miss lowers it; without any, the new id moves in.
-            t[s] = np.where(e, kept + np.minimum(g + 1, 3), np.where(g > 0, (p << 2) + g - 1, kept))
-        self.two = (x * 40503 + self.one * 30011) >> 5
-        self.one = x
-
-
-def encode(ids: np.ndarray, vocab: int) -> bytes:
-    """A frame of ids, each under vocab (at most 2**20)."""
-    n = len(ids)
-    ids = np.asarray(ids, np.int64)
-    if not 0 < vocab <= 1 << 20 or n and not (0 <= ids.min() and ids.max() < vocab):
+        """The place in the counts of the rank that holds the v-th occurrence."""
+        node = (self.top <= v.astype(np.uint16)).view(np.uint8).sum(0, dtype=np.uint8).astype(np.int64) - 1
+        flagged = v.astype(np.uint64) * _EACH | _FLAGS
+        for level in self.nodes:
+            # A flag stays where the child's sum is v at most.
+            child = np.bitwise_count(flagged - level.take(node * self.lanes + self.lane, mode="clip") & _FLAGS)
+            node = node * _SPAN + child - 1
+        return node * self.lanes + self.lane
+
+    def update(self, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
+        """Learn the ids of a step; hit: whether order 1, and order 2, predicted them."""
+        moved = x << 4
+        # A hit raises the confidence to 3 at most; after a miss the new id is in.
+        self.t2[self.s2] = np.where(hit2, self.e2 + (self.c2 < 3), moved)
+        self.t1[self.s1] = np.where(hit1, moved + np.minimum(self.c1 + 4, 12), moved)
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """Blocks of a run of n ids, and their ids at most: all have as many, or one less."""
+    lanes = max(1, min(LANES, n // LEAST_BLOCK), -(-n // BLOCK))
+    return lanes, -(-n // lanes)
+
+
+def _stretches(steps: int) -> list[tuple[int, int]]:
+    """Ranges of steps between two sums."""
+    ends = [0]
+    while ends[-1] < steps:
+        k = ends[-1]
+        ends.append(min(steps, k + min(max(k >> 3, min(OFTEN, k)), SELDOM)) if k else 1)
+    return list(zip(ends[:-1], ends[1:]))
+
+
+def encode(ids: np.ndarray, vocab: int) -> list[bytes]:
+    """Blocks of ids in order, each id under vocab (at most 2**16)."""
+    ids = np.asarray(ids)
+    if len(ids) and not (0 <= ids.min() and ids.max() < vocab):
         raise ValueError("ids lie outside the vocabulary")
-    lanes = max(1, min(LANES, n // LEAST_BLOCK), -(-n // 0xFFFF))
-    steps = -(-n // lanes)
-    grid = np.concatenate((ids, np.zeros(lanes * steps - n, np.int64))).reshape(lanes, steps)
-    levels = _levels(np.bincount(ids, minlength=vocab))
-    mixer = _Mixer(lanes, _cumulated(levels))
-    low, wide = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+    return [b for at in range(0, len(ids), RUN) for b in _encode_run(ids[at : at + RUN], vocab)]
+
+
+def _encode_run(ids: np.ndarray, vocab: int) -> list[bytes]:
+    law = _law(vocab)
+    lanes, steps = _shape(len(ids))
+    h1, h2, h3 = _slots(lanes)
+    # So many blocks are full, the others have one id less; they code one more at their end, which is not read.
+    full = len(ids) - lanes * (steps - 1)
+    sizes = np.where(np.arange(lanes) < full, steps, steps - 1)
+    grid = np.zeros((steps + 2, lanes), np.uint16)  # two zeros are before
+    grid[2:, :full] = ids[: full * steps].reshape(full, steps).T
+    grid[2:-1, full:] = ids[full * steps :].reshape(lanes - full, steps - 1).T
+    m = _Models(lanes, steps, False)
+    lane, nowhere = m.lane, m.nowhere
+    # Places of counts by id, the commonest ids in the first rows.
+    often = np.bincount(ids, minlength=vocab)
+    often[0] += 1
+    row = np.zeros(vocab, np.int64)
+    row[np.argsort(-often, kind="stable")] = np.arange(vocab) * lanes
+    seats = np.full(int((often > 0).sum()) * lanes, nowhere, np.int32)
+    low, wide = np.zeros(lanes, np.int64), np.full(lanes, _WIDE, np.int64)
     room = steps * 2 + 8
-    out, row, at = np.zeros(lanes * room, np.uint16), np.arange(lanes) * room, np.zeros(lanes, np.int64)
-
-    def put(i: np.ndarray) -> None:
-        out[row[i] + at[i]] = low[i] >> 32
-        at[i] += 1
-        low[i] = (low[i] & 0xFFFFFFFF) << 16
-
-    for x in np.ascontiguousarray(grid.T):
-        mixer.predict()
-        begin, width = mixer.interval(x)
-        part = wide >> _T
-        low += part * begin
-        wide = part * width
-        carry = np.flatnonzero(low >> 48)
+    out, spot = np.zeros(room * lanes, np.uint16), np.arange(lanes)  # a lane's next word
+
+    def add(more: np.ndarray) -> np.ndarray:
+        total = low + more
+        carry = (total >= _WIDE).nonzero()[0]
         if len(carry):
-            low[carry] &= (1 << 48) - 1
-            spot = row[carry] + at[carry] - 1
-            while len(spot):
-                out[spot] += 1
-                spot = spot[out[spot] == 0] - 1
-        # Every block's top word is written; it stays where the range has become too narrow.
-        narrow = wide < 1 << 32
-        out[row + at] = low >> 32
-        at += narrow
-        low = np.where(narrow, (low & 0xFFFFFFFF) << 16, low)
-        wide <<= narrow * 16
-        while len(i := np.flatnonzero(wide < 1 << 32)):  # seldom a second word
-            put(i)
-            wide[i] <<= 16
-        mixer.update(x)
+            total[carry] -= _WIDE
+            back = spot[carry] - lanes
+            while len(back):
+                out[back] += 1
+                back = back[out[back] == 0] - lanes
+        return total
+
+    for begin_step, end_step in _stretches(steps):
+        every = grid[begin_step : end_step + 2].astype(np.int32)
+        before, last, xs = every[:-2], every[1:-1], every[2:]
+        s1s = h1.take(last) + lane
+        s2s = h2.take(last) + h3.take(before) + lane
+        # What order 0 says of all ids of the stretch.
+        held = row.take(xs) + lane
+        places = seats.take(held)
+        lacks = places == nowhere
+        firsts, owns = m.every_sum.take(places, mode="clip").astype(np.int32), m.counts.take(places, mode="clip").astype(np.int32)
+        contexts, hits1, hits2 = np.zeros(xs.shape, np.int64), np.zeros(xs.shape, bool), np.zeros(xs.shape, bool)
+        for k, x in enumerate(xs):
+            m.predict(s1s[k], s2s[k], contexts[k])
+            hit1, hit2 = np.equal(m.p1, x, out=hits1[k]), np.equal(m.p2, x, out=hits2[k])
+            begin, width = m.w + firsts[k] * m.unit, owns[k] * m.unit
+            hit = hit1 | hit2
+            if len(i := hit.nonzero()[0]):
+                w2, second = m.w2.take(i), hit2.take(i)
+                begin[i], width[i] = np.where(second, 0, w2), np.where(second, w2, m.w.take(i) - w2)
+            if len(i := (lacks[k] > hit).nonzero()[0]):
+                old, y = (m.w[i] + m.unit[i] * m.total[i]).astype(np.int64), x[i]
+                lo = law.take(y) * (_ALL - old) >> 17
+                begin[i], width[i] = old + lo, (law.take(y + 1) * (_ALL - old) >> 17) - lo
+            part = wide >> 24
+            low = add(part * begin)
+            wide = part * width
+            # Every block's top word is written; it stays where the range has become too narrow.
+            narrow = wide < _LOW
+            out[spot] = (low >> 32).astype(np.uint16)
+            spot += narrow * lanes
+            by = narrow * 16
+            low <<= by
+            low &= _WIDE - 1
+            wide <<= by
+            while len(i := (wide < _LOW).nonzero()[0]):  # seldom a second word
+                out[spot[i]] = low[i] >> 32
+                spot[i] += lanes
+                low[i] = (low[i] << 16) & _WIDE - 1
+                wide[i] <<= 16
+            m.update(x, hit1, hit2)
+        hit = hits1 | hits2
+        new = lacks > hit
+        np.copyto(places, nowhere, where=hit)
+        i = new.ravel().nonzero()[0]
+        seat = ((np.cumsum(new, axis=0, dtype=np.int16) - 1).ravel().take(i) + m.known.take(i % lanes)) * lanes + i % lanes
+        places.ravel()[i] = seat
+        seats[held.ravel().take(i)] = seat
+        m.learn(places, new, contexts, hits1, hits2)
+    # The last word names a point of the range with zeros behind it.
+    low = add(np.full(lanes, _LOW - 1))
+    out[spot] = low >> 32
+    spot += lanes
+    words = np.ascontiguousarray(out.reshape(room, lanes)[: int(spot.max()) // lanes].T).astype("<u2")
+    ends = np.cumsum(sizes).tolist()
+    return [struct.pack(_HEAD, n, vocab, zlib.crc32(ids[e - n : e].astype("<u4"))) + words[k, :w].tobytes() for k, (n, e, w) in enumerate(zip(sizes.tolist(), ends, (spot // lanes).tolist(), strict=True))]
+
+
+def decode(blocks: Sequence[bytes]) -> np.ndarray:
+    """The ids of blocks in order, of any number and choice; ValueError if a checksum doesn't hold."""
+    out: list[np.ndarray] = []
+    heads = [_head(b) for b in blocks]
+    at = 0
+    while at < len(blocks):
+        # Side by side: neighbours of one vocabulary whose lengths differ by one at most.
+        (n, vocab, _), upto = heads[at], at + 1
+        longest, shortest = n, n
+        while upto < len(blocks) and upto - at < LANES:
+            n, v, _ = heads[upto]
+            if v != vocab or max(longest, n) - min(shortest, n) > 1:
+                break
+            longest, shortest, upto = max(longest, n), min(shortest, n), upto + 1
+        out += _decode_run(blocks[at:upto], longest, vocab)
+        at = upto
+    return np.concatenate(out) if out else np.zeros(0, np.uint16)
+
+
+def _head(block: bytes) -> tuple[int, int, int]:
+    if len(block) < struct.calcsize(_HEAD):
+        raise ValueError("a block is damaged")
+    n, vocab, crc = struct.unpack_from(_HEAD, block)
+    if not 0 < n <= BLOCK or not 0 < vocab <= 1 << 16:
+        raise ValueError("a block is damaged")
+    return n, vocab, crc
+
+
+def _decode_run(blocks: Sequence[bytes], steps: int, vocab: int) -> list[np.ndarray]:
+    lanes, skip = len(blocks), struct.calcsize(_HEAD)
+    law, lawful, (h1, h2, h3) = _law(vocab), _lawful(vocab), _slots(lanes)
+    held = [np.frombuffer(b, "<u2", (len(b) - skip) // 2, skip) for b in blocks]
+    words = np.zeros((lanes, max(map(len, held)) + 4), np.uint16)
+    for k, w in enumerate(held):
+        words[k, : len(w)] = w
+    words = np.ascontiguousarray(words.T).ravel()
+    m = _Models(lanes, steps, True)
+    lane, nowhere = m.lane, m.nowhere
+    ids = np.zeros((m.rows + 1) * lanes, np.uint16)  # by rank
+    spot = np.arange(lanes)
+    code, wide = np.zeros(lanes, np.int64), np.full(lanes, _WIDE, np.int64)
     for _ in range(3):
-        put(np.arange(lanes))
-    words = out.reshape(lanes, room)[np.arange(room) < at[:, None]]
-    sums = [zlib.crc32(b.astype("<u4").tobytes()) for b in grid]
-    table = zlib.compress(levels.tobytes(), 6)
-    body = struct.pack(_HEAD, n, lanes, steps, vocab, len(table)) + table + at.astype("<u4").tobytes() + np.array(sums, "<u4").tobytes() + words.astype("<u2").tobytes()
-    return MAGIC + body + struct.pack("<I", zlib.crc32(body))
-
-
-def decode(frame: bytes) -> np.ndarray:
-    """The ids of a frame; ValueError if a checksum doesn't hold."""
-    body = frame[4:-4]
-    if frame[:4] != MAGIC or struct.unpack("<I", frame[-4:])[0] != zlib.crc32(body):
-        raise ValueError("the frame is damaged")
-    n, lanes, steps, vocab, size = struct.unpack_from(_HEAD, body)
-    at = struct.calcsize(_HEAD)
-    mixer = _Mixer(lanes, _cumulated(np.frombuffer(zlib.decompress(body[at : at + size]), np.uint8)))
-    mixer.invert()
-    at += size
-    counts, sums = np.frombuffer(body, "<u4", lanes, at).astype(np.int64), np.frombuffer(body, "<u4", lanes, at + 4 * lanes)
-    words = np.frombuffer(body, "<u2", offset=at + 8 * lanes).astype(np.int64)
-    spot = np.cumsum(counts) - counts
-    code = words[spot] << 32 | words[spot + 1] << 16 | words[spot + 2]
-    spot += 3
-    wide = np.full(lanes, 1 << 48, np.int64)
-    grid = np.zeros((steps, lanes), np.uint32)
-    for k in range(steps):
-        mixer.predict()
-        part = wide >> _T
-        x = mixer.find(np.minimum(code // part, (1 << _T) - 1))
-        begin, width = mixer.interval(x)
-        code -= part * begin
-        wide = part * width
-        while len(i := np.flatnonzero(wide < 1 << 32)):
-            code[i] = code[i] << 16 | words[spot[i]]
-            spot[i] += 1
-            wide[i] <<= 16
-        mixer.update(x)
-        grid[k] = x
-    blocks = np.ascontiguousarray(grid.T)
-    for k, b in enumerate(blocks):
-        if zlib.crc32(b.astype("<u4").tobytes()) != sums[k]:
-            raise ValueError(f"block {k} is damaged")
-    return blocks.ravel()[:n]
+        code = code << 16 | words.take(spot)
+        spot += lanes
+    grid = np.zeros((steps, lanes), np.uint16)
+    x, before = np.zeros(lanes, np.int32), lane
+    for begin_step, end_step in _stretches(steps):
+        shape = (end_step - begin_step, lanes)
+        places, contexts = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        news, hits1, hits2 = (np.zeros(shape, bool) for _ in range(3))
+        known, most = m.known.copy(), np.maximum(m.total - 1, 0)
+        for k in range(shape[0]):
+            m.predict(h1.take(x) + lane, h2.take(x) + before, contexts[k])
+            before = h3.take(x) + lane
+            part = wide >> 24
+            # Quotients of numbers under 2**53, and under 2**24 in single precision, are exact.
+            v = np.minimum((code / part).astype(np.int32), _ALL - 1)
+            over = v - m.w
+            guess, guess2 = over < 0, v < m.w2  # by order 1 or 2, by order 2
+            nth = (over.astype(np.float32) / np.maximum(m.unit, 1).astype(np.float32)).astype(np.int32)
+            new = np.greater(nth >= m.total, guess, out=news[k])
+            place = m.find(np.minimum(np.maximum(nth, 0), most))
+            width = m.counts.take(place, mode="clip") * m.unit
+            begin = m.w + m.every_sum.take(place, mode="clip") * m.unit
+            x = ids.take(place, mode="clip").astype(np.int32)
+            if len(i := guess.nonzero()[0]):
+                w2, second = m.w2.take(i), guess2.take(i)
+                begin[i], width[i] = np.where(second, 0, w2), np.where(second, w2, m.w.take(i) - w2)
+                x[i], place[i] = np.where(second, m.p2.take(i), m.p1.take(i)), nowhere
+            if len(i := new.nonzero()[0]):
+                old = (m.w[i] + m.unit[i] * m.total[i]).astype(np.int64)
+                y = lawful.take((((v[i] - old + 1) * _LAW - 1) / (_ALL - old)).astype(np.int64)).astype(np.int64)
+                lo = law.take(y) * (_ALL - old) >> 17
+                begin[i], width[i] = old + lo, (law.take(y + 1) * (_ALL - old) >> 17) - lo
+                seat = known[i] * lanes + i
+                x[i], place[i], ids[seat] = y, seat, y
+                known[i] += 1
+            places[k] = place
+            code -= part * begin
+            wide = part * width
+            # A block's next word moves in where the range has become too narrow.
+            narrow = wide < _LOW
+            by = narrow * 16
+            code <<= by
+            wide <<= by
+            code |= words.take(spot, mode="clip") * narrow
+            spot += narrow * lanes
+            while len(i := (wide < _LOW).nonzero()[0]):  # seldom a second word
+                code[i] = code[i] << 16 | words.take(spot[i], mode="clip")
+                spot[i] += lanes
+                wide[i] <<= 16
+            m.update(x, np.equal(m.p1, x, out=hits1[k]), np.equal(m.p2, x, out=hits2[k]))
+            grid[begin_step + k] = x
+        m.learn(places, news, contexts, hits1, hits2)
+    out = []
+    for b, x in zip(blocks, np.ascontiguousarray(grid.T), strict=True):
+        n, _, crc = _head(b)
+        if zlib.crc32(x[:n].astype("<u4")) != crc:
+            raise ValueError("a block is damaged")
+        out.append(x[:n])
+    return out

@@ -1,9 +1,9 @@
-"""Token ids of whole texts by the tokenizers library, with each distinct piece between blanks encoded once a worker.
+"""Token ids of whole texts by the tokenizers library, with each distinct word encoded once a worker.
 
-The vocabulary's pre-tokeniser cuts a text into words that are encoded on their own, that no blank
-is part of, and whose last token ends with `</w>`.  So the ids of a text are those of its pieces
-between blanks.  Texts of Latin letters, whose classes are certain, are split and coded by a
-dictionary in Arrow; the library encodes pieces that are new.  All other texts go to it whole.
+The vocabulary's pre-tokeniser cuts a text into words that are encoded on their own.  Texts of
+Latin letters, whose classes are certain, are cut in numpy over all bytes of a batch, and their
+words are coded by a dictionary in Arrow; the library's model encodes words that are new.  All
+other texts go to the library whole.
 """
 
 from __future__ import annotations
@@ -16,68 +16,116 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers before it begins anew.
+#: Words that a worker remembers before it begins anew.
 REMEMBERED = 800_000
-#: Contractions that the pre-tokeniser keeps apart.
-CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+#: Words that the library takes as one text.
+JOINED = 512
+#: Contractions that the pre-tokeniser keeps apart, by their length.
+CONTRACTIONS = {2: ("'s", "'t", "'m", "'d"), 3: ("'re", "'ve", "'ll")}
 #: The normaliser and the pre-tokeniser that the short cut stands for.
 NORMALISER = ["NFC", "Replace", "Lowercase"]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: White space within ASCII that separates words.
+BLANKS = " \t\n\x0b\x0c\r"
+_BLANK, _LETTER, _NUMBER, _OTHER = range(4)
+#: The short cut takes characters below this, which have two bytes at most.
+_END = 0x250
 
 
-def _classes() -> tuple[str, str, str]:
-    """Letters, numbers and all characters up to U+024F that the short cut takes: no controls, no blanks but ASCII's."""
-    known = [chr(i) for i in range(0x21, 0x250) if not 0x7F <= i <= 0xA0]
-    kind = lambda k: "".join(re.escape(c) for c in known if unicodedata.category(c)[0] == k)
-    return kind("L"), kind("N"), "".join(re.escape(c) for c in known)
+def _classes() -> bytes:
+    """The class of each character below _END."""
+    kinds = {"L": _LETTER, "N": _NUMBER}
+    return bytes(_BLANK if chr(i) in BLANKS else kinds.get(unicodedata.category(chr(i))[0], _OTHER) for i in range(_END))
 
 
 class Encoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        # The same model for words that are cut already.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         spec = json.loads(self.whole.to_str())
         vocab = self.whole.get_vocab()
         self.vocab = max(vocab.values()) + 1
-        steps = spec["normalizer"] or {}
-        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
-        self.short_cut = spec["model"].get("end_of_word_suffix") == "</w>" and [x["type"] for x in steps.get("normalizers", [])] == NORMALISER and split.get("pattern", {}).get("Regex") == PATTERN
-        self.last = np.zeros(self.vocab, bool)
+        self.last = np.zeros(self.vocab, bool)  # ids that end a word
         for token, i in vocab.items():
             self.last[i] = token.endswith("</w>")
-        letters, numbers, known = _classes()
-        self.plain = re.compile(rf"[{known} \t\n\x0b\x0c\r]*")
-        self.word = re.compile(f"{'|'.join(CONTRACTIONS)}|[{letters}]+|[{numbers}]|[^{letters}{numbers} \t\n\x0b\x0c\r]+")
+        steps, cut = spec["normalizer"] or {}, (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.short_cut = [x["type"] for x in steps.get("normalizers", [])] == NORMALISER and cut[0].get("pattern", {}).get("Regex") == PATTERN and [x.get("type") for x in cut] == ["Split", "ByteLevel"] and spec["model"].get("end_of_word_suffix") == "</w>"
+        known = "".join(re.escape(chr(i)) for i in range(0x21, _END) if not 0x7F <= i <= 0xA0)
+        self.plain = re.compile(f"[{known}{BLANKS}]*")
+        self.classes = np.frombuffer(_classes(), np.uint8)
+        self.of_byte = self.classes[:128].tobytes() + bytes([_LETTER]) * 128
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.begin = np.zeros(REMEMBERED + (1 << 16), np.int64)  # of each word, and of the next to come
+        self.words = pa.array([], pa.binary())
+        self.ids = np.zeros(0, np.int32)
+        self.ends = np.zeros(1, np.int64)  # of the words' ids, and a zero before
 
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 1 << 14):
-            part = pieces[at : at + (1 << 14)]
-            flat = np.concatenate(self._encode([" ".join(part[i : i + 512]) for i in range(0, len(part), 512)]))
-            words = np.cumsum([len(self.word.findall(p)) for p in part])
-            ends = np.append(0, np.flatnonzero(self.last[flat]) + 1)
-            if len(ends) == words[-1] + 1:
-                ends = ends[words]
-            else:  # a word was cut after all: one by one
-                each = self._encode(part)
-                flat, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
-            n, used = len(self.place), self.begin[len(self.place)]
-            while used + len(flat) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            if n + len(part) >= len(self.begin):
-                self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
-            self.ids[used : used + len(flat)] = flat
-            self.begin[n + 1 : n + len(part) + 1] = used + ends
-            self.place.update(zip(part, range(n, n + len(part)), strict=True))
+    def _learn(self, words: pa.Array) -> None:
+        held = words.to_pylist()
+        joined = [b" ".join(held[i : i + JOINED]).decode() for i in range(0, len(held), JOINED)]
+        flat = np.concatenate([np.array(e.ids, np.int32) for e in self.bare.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = self.last[flat].nonzero()[0] + 1
+        if len(ends) != len(held):
+            raise ValueError("a word's ids have another end than its last")
+        self.words = pa.concat_arrays([self.words, words])
+        self.ends = np.concatenate((self.ends, len(self.ids) + ends))
+        self.ids = np.concatenate((self.ids, flat))
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    def _cut(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of a text in UTF-8 begin, and the class of each byte; the text ends with a blank."""
+        b, kind = np.frombuffer(raw, np.uint8), np.frombuffer(bytearray(raw.translate(self.of_byte)), np.uint8)
+        lead = (b >= 0xC0).nonzero()[0]
+        if len(lead):
+            of = self.classes[(b[lead] & 0x1F).astype(np.int32) << 6 | b[lead + 1] & 0x3F]
+            kind[lead] = kind[lead + 1] = of
+        begins = np.empty(len(b), bool)
+        begins[0] = kind[0] != _BLANK
+        np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+        begins &= kind != _BLANK
+        number = (kind == _NUMBER).nonzero()[0]
+        begins[number[(b[number] & 0xC0) != 0x80]] = True  # each alone
+        mark = (b == ord("'")).nonzero()[0]
+        mark = mark[(mark == 0) | (kind[mark - 1] != _OTHER)]
+        for n, endings in CONTRACTIONS.items():
+            for e in endings:
+                at = mark[mark + n < len(b)]
+                at = at[(b[at + 1] == ord(e[1])) & (b[at + n - 1] == ord(e[-1]))]
+                begins[at + 1] = False
+                begins[at + n] |= kind[at + n] == _LETTER
+        return begins.nonzero()[0], kind
+
+    def _short(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of plain texts in lower case."""
+        raw = "\n".join([*texts, ""]).encode()
+        at, kind = self._cut(raw)
+        solid = kind != _BLANK
+        gaps = np.cumsum(~solid, dtype=np.int32)
+        letters = np.frombuffer(raw, np.uint8)[solid]
+        offsets = np.append(at - gaps[at], len(letters)).astype(np.int32)
+        coded = pc.dictionary_encode(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]))
+        own = coded.dictionary
+        if len(self.words) > REMEMBERED:
+            self._forget()
+        word = pc.index_in(own, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = word < 0
+        word[new] = len(self.words) + np.arange(new.sum())
+        if new.any():
+            self._learn(own.filter(pa.array(new)))
+        word = word[coded.indices.to_numpy()]
+        begin = self.ends[word]
+        size = self.ends[word + 1] - begin
+        ends = np.cumsum(size)
+        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)]
+        # A text's words begin before its end.
+        sizes = np.cumsum([len(t.encode()) + 1 if not t.isascii() else len(t) + 1 for t in texts])
+        upto = np.append(0, ends)[np.append(0, np.searchsorted(at, sizes))]
+        return [flat[s:e] for s, e in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the library gives them for the whole text without special tokens."""
@@ -89,25 +137,10 @@ class Encoder:
                 low = t.lower()
                 if len(low) == len(t) and (low.isascii() or self.plain.fullmatch(low)):
                     cut[i] = low
+        if cut:
+            for i, ids in zip(cut, self._short(list(cut.values())), strict=True):
+                out[i] = ids
         rest = [i for i in range(len(texts)) if i not in cut]
-        for i, ids in zip(rest, self._encode([texts[i] for i in rest]) if rest else [], strict=True):
-            out[i] = ids
-        if not cut:
-            return out
-        split = pc.utf8_split_whitespace(pa.array(cut.values(), pa.large_string()))
-        coded = pc.dictionary_encode(split.flatten())
-        pieces = coded.dictionary.to_pylist()  # an empty one, at a text's end, has no ids
-        if len(self.place) > REMEMBERED:
-            self._forget()
-        new = [p for p in pieces if p not in self.place]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))[coded.indices.to_numpy()]
-        begin = self.begin[at]
-        size = self.begin[at + 1] - begin
-        ends = np.cumsum(size)
-        flat = self.ids[np.arange(ends[-1] if len(at) else 0) + np.repeat(begin - ends + size, size)]
-        upto = np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        for k, i in enumerate(cut):
-            out[i] = flat[upto[k] : upto[k + 1]]
+        for i, e in zip(rest, self.whole.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False) if rest else [], strict=True):
+            out[i] = np.array(e.ids, np.int32)
         return out

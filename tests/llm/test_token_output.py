@@ -31,20 +31,56 @@ def test_encoder_equals_library():
 @pytest.mark.parametrize("lanes", [1, 7, 2048])
 def test_codec_round_trip(monkeypatch, lanes):
     monkeypatch.setattr(token_codec, "LANES", lanes)
+    monkeypatch.setattr(token_codec, "LEAST_BLOCK", 100)
     rng = np.random.default_rng(lanes)
-    for ids in ([], [0], [5] * 3000, np.arange(5000), rng.integers(0, 5000, 9000), rng.zipf(1.2, 9000) % 5000, np.tile([1, 2, 3], 2000)):
-        frame = token_codec.encode(np.array(ids), 5000)
-        assert (token_codec.decode(frame) == np.array(ids)).all()
-    assert len(token_codec.encode(np.full(9000, 4999), 5000)) < 2500
+    for ids in ([], [0], [5] * 3000, np.arange(5000), rng.integers(0, 1 << 16, 9000), rng.zipf(1.2, 9000) % 5000, np.tile([1, 2, 3], 2000)):
+        blocks = token_codec.encode(np.array(ids, int), 1 << 16)
+        assert (token_codec.decode(blocks) == np.array(ids)).all()
+
+
+def test_codec_cuts_long_runs(monkeypatch):
+    monkeypatch.setattr(token_codec, "RUN", 1000)
+    monkeypatch.setattr(token_codec, "BLOCK", 300)
+    monkeypatch.setattr(token_codec, "LEAST_BLOCK", 300)
+    ids = np.random.default_rng(0).integers(0, 50, 4567)
+    blocks = token_codec.encode(ids, 50)
+    assert len(blocks) == 18 and (token_codec.decode(blocks) == ids).all()
+
+
+def test_codec_reads_each_block_alone(monkeypatch):
+    monkeypatch.setattr(token_codec, "LEAST_BLOCK", 500)
+    ids = np.random.default_rng(3).zipf(1.3, 20_003) % 300
+    blocks = token_codec.encode(ids, 300)
+    assert len(blocks) == 40
+    each = [token_codec.decode([b]) for b in blocks]
+    assert (np.concatenate(each) == ids).all()
+    assert (token_codec.decode(blocks[::-7]) == np.concatenate(each[::-7])).all()
+
+
+def test_codec_adapts(monkeypatch):
+    """Close to the entropy of the ids that are drawn, and far fewer bits where contexts tell."""
+    monkeypatch.setattr(token_codec, "LEAST_BLOCK", token_codec.BLOCK)
+    rng = np.random.default_rng(4)
+    p = 1 / np.arange(1, 301)
+    ids = rng.choice(np.arange(40_000, 40_300), 60_000, p=p / p.sum())
+    entropy = -(p / p.sum() * np.log2(p / p.sum())).sum()
+    bits = lambda x: sum(map(len, token_codec.encode(x, 49_408))) * 8 / len(x)
+    assert bits(ids) < entropy * 1.15  # each block learns the ids for itself
+    phrases = np.concatenate([ids[k : k + 12] for k in rng.integers(0, 600, 5000)])
+    assert bits(phrases) < 0.6 * entropy
+    assert bits(np.full(60_000, 7)) < 0.3
 
 
 def test_codec_refuses_damage_and_foreign_ids():
-    frame = bytearray(token_codec.encode(np.arange(4000) % 50, 100))
-    frame[len(frame) // 2] ^= 1
-    with pytest.raises(ValueError):
-        token_codec.decode(bytes(frame))
-    with pytest.raises(ValueError):
-        token_codec.encode(np.array([100]), 100)
+    blocks = token_codec.encode(np.random.default_rng(1).integers(0, 100, 9000), 100)
+    for at in (2, 9, 12, len(blocks[1]) // 2):
+        harmed = bytearray(blocks[1])
+        harmed[at] ^= 1
+        with pytest.raises(ValueError):
+            token_codec.decode([blocks[0], bytes(harmed), blocks[2]])
+    for ids, vocab in (([100], 100), ([-1], 100), ([1], 0), ([1], (1 << 16) + 1)):
+        with pytest.raises(ValueError):
+            token_codec.encode(np.array(ids), vocab)
 
 
 def test_contract(spark, tmp_path, monkeypatch):
