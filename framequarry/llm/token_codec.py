@@ -31,7 +31,7 @@ _ALL = 1 << 24  # parts of the interval
 _SHARE = 224  # parts of a prediction that always held, over 2**16
 _LAW = 1 << 17  # parts of the law; ids without a count have as many at least
 _WIDE, _LOW = 1 << 48, 1 << 32  # the range is the first at first, and never under the second
-_SLOTS1, _SLOTS2 = 1 << 10, 1 << 11  # contexts of a block
+_SLOTS1, _SLOTS2 = 1 << 11, 1 << 12  # contexts of a block
 _SPAN = 4  # children of a node of the search, whose sums of 15 bits are compared in one word
 _LEVELS = 3
 _EACH, _FLAGS = np.uint64(0x0001000100010001), np.uint64(0x8000800080008000)
@@ -139,9 +139,9 @@ class _Models:
     def update(self, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
         """Learn the ids of a step; hit: whether order 1, and order 2, predicted them."""
         moved = x << 4
-        # A hit raises the confidence to 3 at most; after a miss the new id is in.
-        self.t2[self.s2] = np.where(hit2, self.e2 + (self.c2 < 3), moved)
-        self.t1[self.s1] = np.where(hit1, moved + np.minimum(self.c1 + 4, 12), moved)
+        # A hit raises the confidence to 3 at most, a miss lowers it; without any, the new id moves in.
+        self.t2[self.s2] = np.where(hit2, self.e2 + (self.c2 < 3), np.where(self.c2, self.e2 - 1, moved))
+        self.t1[self.s1] = np.where(hit1, moved + np.minimum(self.c1 + 4, 12), np.where(self.c1, self.e1 - 4, moved))
 
 
 def _shape(n: int) -> tuple[int, int]:
