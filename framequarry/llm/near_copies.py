@@ -1,15 +1,17 @@
-"""Near copies by exact Jaccard similarity of word shingles; several min-hash fingerprints find the pairs to compare.
-
-A SimHash of two texts at similarity 0.8 differs in about 10 of 64 bits and at times in 17, beyond any
-table of segments.  Here a text has BANDS fingerprints of ROWS min-hashes each: two texts at 0.8
-agree on one at least but for 3 pairs in a million, and more similar ones more surely.  What agrees is
-a candidate only; links are verified on the whole shingle sets.
-
-Texts that agree on a fingerprint are a bucket.  First all members are compared with one hub, the
-member with most company in its buckets, so a large group costs a row a member.  Then in each
-bucket that is not yet one component, the members outside its hub's component are compared with
-all members of other components, within the join.  Pairs inside a component change nothing and
-are left out; all other pairs of a bucket are compared.
+"""Near copies: several SimHash fingerprints of word shingles find the pairs to compare, exact Jaccard similarity links them.
+
+One 64-bit SimHash of two texts at similarity 0.8 differs in about 10 bits and at times in 20, which
+no ball around its segments reaches.  So each text has FINGERPRINTS of them, from as many hashes of its
+shingles, and each is entered by its four 16-bit segments (multi-index hashing, with more tables in
+place of balls).  At 0.8 a bit differs with a chance of 0.15, a segment agrees with one of 0.07, and
+all SEGMENTS fail with one of 7 in 100,000; more similar texts agree more surely.  Texts in a
+bucket are matched on CHECKS more fingerprints within RADIUS bits (missed at 0.8: 5 in a
+million, let through though unlike: 4 in a million), and what is left is verified on whole shingle sets.
+
+A bucket is read in order of its key, so its rows pass one task in a stream.  In a bucket of up to
+FEW texts all pairs are matched.  In a larger one each text is matched with leaders alone, the first
+text within RADIUS; after these links are verified, all pairs of different components are matched.
+So a large group costs a row a member, and pairs inside a component, which change nothing, are left out.
 """
 
 from __future__ import annotations
@@ -21,19 +23,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partitions
 from .components import components
+from .simhash import majority
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 24, 4
-#: Shingles that are min-hashed at once.
-CHUNK = 1 << 10
+#: 64-bit fingerprints that are cut into segments, and those that a pair of a bucket is matched on.
+FINGERPRINTS, CHECKS = 32, 2
+SEGMENTS = FINGERPRINTS * 4
+#: Bits of the CHECKS fingerprints in which texts of a pair differ at most.
+RADIUS = 38
+#: Texts of a bucket whose pairs are all matched at once.
+FEW = 512
+#: Words of shingle hashes that are counted at once.
+CHUNK = 1 << 17
 
 _RANDOM = np.random.Generator(np.random.PCG64(20))
-_TIMES, _PLUS = (_RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64, False) for _ in range(2))
-_TIMES |= np.uint64(1)
-_WITHIN = _RANDOM.integers(0, 1 << 64, (BANDS, ROWS), np.uint64, False) | np.uint64(1)
+_TIMES = _RANDOM.integers(0, 1 << 64, FINGERPRINTS + CHECKS, np.uint64, False) | np.uint64(1)
+_HALF = np.uint64(32)
 
 
 def shingles(text: str | None, words: int = WORDS) -> tuple[int, np.ndarray]:
@@ -51,12 +59,46 @@ def shingles(text: str | None, words: int = WORDS) -> tuple[int, np.ndarray]:
     return digest(whole, 7), np.unique(np.array(found, np.uint64))
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """FINGERPRINTS + CHECKS SimHashes, a row a set of shingle hashes."""
+    wide = FINGERPRINTS + CHECKS
+    out = np.zeros((len(sets), wide), np.uint64)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(sizes, kind="stable")
+
+    at = 0
+    while at < len(order):
+        # Sets of like size side by side; shorter ones are filled up with zeros, which set no bit.
+        upto = at + 1
+        while upto < len(order) and sizes[order[upto]] * wide * (upto + 1 - at) <= CHUNK and sizes[order[upto]] <= 16 + sizes[order[at]] * 5 // 4:
+            upto += 1
+        own = order[at:upto]
+        most, step = int(sizes[own[-1]]), max(1, CHUNK // wide)
+
+        def parts(own=own, most=most, step=step) -> Iterator[np.ndarray]:
+            for low in range(0, most, step):
+                n = min(step, most - low)
+                rows = np.zeros((n, len(own), wide), np.uint64)
+                for k, i in enumerate(own):
+                    held = sets[i][low : low + n, None]
+                    np.multiply(held, _TIMES, out=rows[: len(held), k])
+                rows ^= rows >> _HALF
+                yield rows
+
+        out[own] = majority(parts(), sizes[own][:, None])
+        at = upto
+    return out
+
+
+def _segments(found: np.ndarray) -> np.ndarray:
+    """The keys of rows of fingerprints: which segment it is, then its bits."""
+    bits = np.ascontiguousarray(found[:, :FINGERPRINTS].astype("<u8")).view("<u2").astype(np.int32)
+    return bits + (np.arange(SEGMENTS, dtype=np.int32) << 16)
+
+
 def bands(found: np.ndarray) -> np.ndarray:
-    """BANDS fingerprints of a set of shingle hashes."""
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(found), CHUNK):
-        least = np.minimum(least, (found[at : at + CHUNK] * _TIMES + _PLUS).min(1))
-    return (least.reshape(BANDS, ROWS) * _WITHIN).sum(1, dtype=np.uint64)
+    """The SEGMENTS keys of a set of shingle hashes."""
+    return _segments(fingerprints([found]))[0]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -65,19 +107,23 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, keys = [], []
-            for t in b.column(2):
-                n, found = shingles(t.as_py(), words)
-                node.append(n)
-                keys.append(_signed(bands(found)))
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_signed(np.array(node, np.uint64))), lists], ["doc_id", "tx", "node", "bands"])
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                b = whole.slice(at, 512)
+                both = [shingles(t.as_py(), words) for t in b.column(2)]
+                found = fingerprints([s for _, s in both])
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(both) + 1, dtype=np.int32) * SEGMENTS), pa.array(_segments(found).ravel()))
+                node = pa.array(_signed(np.array([n for n, _ in both], np.uint64)))
+                checks = [pa.array(_signed(np.ascontiguousarray(found[:, FINGERPRINTS + k]))) for k in range(CHECKS)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, keys, *checks], ["doc_id", "tx", "node", "bands", *_CHECKS])
 
     return run
 
 
+_CHECKS = [f"check{k}" for k in range(CHECKS)]
+_SKETCH = f"doc_id long, tx long, node long, bands array<int>, {', '.join(f'{c} long' for c in _CHECKS)}"
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,48 +141,117 @@ def _alike(a: Column, b: Column, threshold: float) -> Column:
     return (F.least(n, m) >= least) & (F.size(F.array_intersect(a, b)) >= least)
 
 
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16) <= RADIUS
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Whole buckets of rows in order of their first column: the columns in numpy."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not len(b):
+            continue
+        new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        last = int(np.searchsorted(new[0], new[0][-1]))  # where the bucket begins that may go on
+        if held and (last or held[0][0][0] != new[0][0]):
+            held.append([c[:last] for c in new])
+            yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            held = []
+        elif last:
+            yield tuple(c[:last] for c in new)
+        held.append([c[last:] for c in new])
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def _pairs_of_few(key: np.ndarray, fp: np.ndarray, i: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of near pairs in buckets, i being places of the rows to match with those behind them."""
+    d = 0
+    while len(i):
+        d += 1
+        i = i[i + d < len(key)]
+        i = i[key[i] == key[i + d]]
+        hit = i[_near(fp[i], fp[i + d])]
+        if len(hit):
+            yield hit, hit + d
+
+
+def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, u, v: near pairs of nodes (key null), or v null: a member of a bucket where not all pairs were matched."""
+    names = ["key", "u", "v"]
+
+    def rows(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int32()), pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names)
+
+    for key, node, *checks in _buckets(batches):
+        fp = np.stack(checks, 1).view(np.uint64)
+        begins = np.append(0, (key[1:] != key[:-1]).nonzero()[0] + 1)
+        sizes = np.diff(np.append(begins, len(key)))
+        for i, j in _pairs_of_few(key, fp, np.repeat(sizes <= FEW, sizes).nonzero()[0]):
+            yield rows(node[i], node[j])
+        for k in (sizes > FEW).nonzero()[0]:
+            i = own = np.arange(begins[k], begins[k] + sizes[k])
+            while len(i) > 1:
+                near = _near(fp[i[1:]], fp[i[0]])
+                hit = i[1:][near]
+                yield rows(node[hit], np.full(len(hit), node[i[0]]))
+                i = i[1:][~near]
+            yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(node[own]), pa.nulls(len(own), pa.int64())], names)
+
+
+def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u, v: near pairs of different roots; in each bucket, texts outside its commonest root against all."""
+    for key, node, root, *checks in _buckets(batches):
+        fp = np.stack(checks, 1).view(np.uint64)
+        begins = np.append(0, (key[1:] != key[:-1]).nonzero()[0] + 1).tolist()
+        for b, e in zip(begins, [*begins[1:], len(key)], strict=True):
+            r, n, f = root[b:e], node[b:e], fp[b:e]
+            kinds, kind, many = np.unique(r, return_inverse=True, return_counts=True)
+            for i in (kind != many.argmax()).nonzero()[0]:
+                j = (_near(f, f[i]) & (r != r[i])).nonzero()[0]
+                if len(j):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n[i], n[j])), pa.array(np.maximum(n[i], n[j]))], ["u", "v"])
+
+
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows with all of a key in one task, in its order."""
+    return rows.select("key", *columns, *_CHECKS).repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "node")
+
+
 def links(rows: DataFrame, texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """u, v: verified pairs that join all candidates of rows (node, tx, bands; node distinct) at the threshold; texts: tx, text."""
-    each = rows.select("node", "tx", F.explode("bands").alias("band"))
-    full = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(each.join(full, "band"))
-    # The sets of texts that are in a bucket with another.
-    wanted = shared.select("node", "tx").distinct()
-    sets = texts.join(wanted, "tx").dropDuplicates(["node"]).select("node", "text")
+    """u, v: verified pairs that join all candidates of rows (node, tx, bands, checks; node distinct) at the threshold; texts: tx, text."""
+    found = cut(_dealt(rows.select("node", *_CHECKS, F.explode("bands").alias("key")), "node").mapInArrow(_first_pairs, "key int, u long, v long"))
+    pairs = cut(found.where("v is not null").select("u", "v").distinct())
+    # The sets of texts that are to be compared.
+    members = found.where("v is null").select("key", F.col("u").alias("node"))
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(members.select("node")).distinct()
+    sets = texts.join(rows.select("node", "tx").join(wanted, "node"), "tx").dropDuplicates(["node"]).select("node", "text")
     sets = cut(sets.mapInArrow(_sets(words), "node long, s array<bigint>"))
 
-    score = shared.groupBy("node").agg(F.sum("n").alias("score"))
-    scored = shared.select("band", "node").join(score, "node")
-    hubs = cut(scored.groupBy("band").agg(F.max(F.struct("score", "node"))["node"].alias("hub")))
-    pairs = shared.select("band", "node").join(hubs, "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    of = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"))
-    near = pairs.join(of("v"), "v").join(of("u"), "u")
-    first = cut(near.where(_alike(F.col("su"), F.col("sv"), threshold)).select("u", "v"))
-
-    # Buckets that are not one component yet.
-    roots = cut(components(first))
-    named = shared.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    open_ = named.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("band")
-    main = named.join(hubs.select("band", F.col("hub").alias("node")), ["band", "node"]).select("band", F.col("root").alias("main"))
-    named = cut(named.join(open_, "band").join(main, "band"))
-    held = named.join(sets, "node")
-    apart = held.where("root <> main").select("band", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("s").alias("su"))
-    # A pair with the hub has been compared.
-    others = held.join(hubs, "band").where("node <> hub").select("band", F.col("node").alias("v"), F.col("root").alias("rv"), (F.col("root") == F.col("main")).alias("in_main"), F.col("s").alias("sv"))
-    met = apart.join(others, "band").where((F.col("ru") != F.col("rv")) & (F.col("in_main") | (F.col("u") < F.col("v"))) & _alike(F.col("su"), F.col("sv"), threshold))
-    return first.union(met.select("u", "v"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        of = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"))
+        return cut(pairs.join(of("v"), "v").join(of("u"), "u").where(_alike(F.col("su"), F.col("sv"), threshold)).select("u", "v"))
+
+    first = verified(pairs)
+    if members.isEmpty():
+        return first
+    # Buckets in which texts were matched with leaders alone.
+    named = rows.select("node", *_CHECKS).join(cut(components(first)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = _dealt(members.join(named, "node"), "node", "root").mapInArrow(_other_pairs, "u long, v long")
+    return first.union(verified(more.distinct().join(pairs, ["u", "v"], "left_anti")))
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, tx (hash of the text), component for each row of docs.
 
     Rows have one component if a chain of texts joins theirs, each at least threshold similar to
-    the next by the Jaccard similarity of their sets of word shingles.  Texts that differ in ASCII
-    case and white space alone are equal; null and blank texts are one text.  Empty table: no rows.
+    the next by the Jaccard similarity of their sets of word shingles; segments and radius are made for
+    a threshold of 0.8 or more.  Texts that differ in ASCII case and white space alone are equal;
+    null and blank texts are one text.  Empty table: no rows.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tx"), F.col(text).alias("text"))
-    rows = cut(own.mapInArrow(_sketches(words), "doc_id long, tx long, node long, bands array<bigint>"))
-    nodes = cut(rows.select("node", "tx", "bands").dropDuplicates(["node"]))
+    rows = cut(own.mapInArrow(_sketches(words), _SKETCH))
+    nodes = cut(rows.drop("doc_id").dropDuplicates(["node"]))
     roots = cut(components(links(nodes, own.select("tx", "text"), words, threshold)))
     # Rows in a component are found by their text; all others are their own.
     return rows.select("doc_id", "tx", "node").join(roots, "node", "left").select("doc_id", "tx", F.coalesce("root", "node").alias("component"))

@@ -47,6 +47,48 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
+def majority(parts: Iterator[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """The bits set in over half of the words, of any number of fingerprints side by side.
+
+    parts: arrays of uint64, whose first axis is counted over and whose values are lost; sizes: how many words count, for the
+    other axes.  Counts are held bitwise, a plane a power of two, and added by full adders.
+    """
+    planes: list[np.ndarray] = []
+    for rows in parts:
+        level = 0
+        while len(rows):
+            if level == len(planes):
+                planes.append(np.zeros(rows.shape[1:], np.uint64))
+            # Each adder leaves one row of three here and a carry for the next plane.
+            m, at = len(rows), 0
+            carries, spare = np.empty((m // 2 + 1, *rows.shape[1:]), np.uint64), np.empty((m // 3 + 1, *rows.shape[1:]), np.uint64)
+            while m > 1:
+                k = max(1, m // 3)
+                a, b, c = rows[:k], rows[k : 2 * k], rows[2 * k : 3 * k] if m > 2 else planes[level][None]
+                carry, odd = carries[at : at + k], spare[:k]
+                np.bitwise_xor(a, b, out=odd)
+                np.bitwise_and(a, b, out=carry)
+                np.bitwise_and(odd, c, out=a)
+                carry |= a
+                np.bitwise_xor(odd, c, out=a)
+                if m == 2:
+                    planes[level][...] = 0
+                rows[k : m - 2 * k] = rows[3 * k : m]
+                at, m = at + k, max(1, m - 2 * k)
+            np.bitwise_and(rows[0], planes[level], out=carries[at])
+            planes[level] ^= rows[0]
+            rows, level = carries[: at + bool(carries[at].any())], level + 1
+    # A count is over half if it is over the whole part of the half.
+    half, every = sizes // 2, np.uint64((1 << 64) - 1)
+    over, same = (np.full(planes[0].shape, x, np.uint64) for x in (0, every))
+    for level in reversed(range(max(len(planes), int(half.max()).bit_length()))):
+        bit = planes[level] if level < len(planes) else np.uint64(0)
+        of_half = np.where(half >> level & 1, every, np.uint64(0))
+        over |= same & bit & ~of_half
+        same &= ~(bit ^ of_half)
+    return over
+
+
 def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (long) for each row; null and blank texts have fp 0, shorter texts are one shingle."""
 

@@ -109,3 +109,37 @@ def test_survivors_by_component(spark):
 
 def test_empty_table(spark):
     assert near_copies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_fingerprints_are_majorities_of_bits():
+    rng = near_copies.np.random.default_rng(3)
+    np = near_copies.np
+    sets = [rng.integers(0, 1 << 64, n, np.uint64) for n in (1, 2, 3, 8, 101, 100, 5000)]
+    for s, got in zip(sets, near_copies.fingerprints(sets), strict=True):
+        x = s[:, None] * near_copies._TIMES
+        x ^= x >> np.uint64(32)
+        ones = sum(np.unpackbits(x[i : i + 1].view(np.uint8), bitorder="little").astype(int) for i in range(len(x)))
+        assert (np.packbits(ones * 2 > len(s), bitorder="little").view("<u8") == got).all()
+
+
+def test_large_buckets_lose_no_pair(monkeypatch):
+    """Leaders first, then all pairs of different roots; a bucket may lie in several batches."""
+    np, pa = near_copies.np, near_copies.pa
+    fps = np.zeros((40, 2), np.uint64)
+    fps[:, 0] = [(1 << i) - 1 for i in range(0, 60, 3)] + [(1 << 60) - (1 << i) for i in range(0, 60, 3)]
+    near = lambda i, j: sum(bin(int(a ^ b)).count("1") for a, b in zip(fps[i], fps[j], strict=True)) <= near_copies.RADIUS
+    want = {(i, j) for j in range(40) for i in range(j) if near(i, j)}
+
+    def batches(*more):
+        columns = [np.full(40, 5, np.int32), np.arange(40), *more, *(np.ascontiguousarray(c).view(np.int64) for c in fps.T)]
+        whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [str(k) for k in range(len(columns))])
+        return iter([whole.slice(0, 7), whole.slice(7, 20), whole.slice(27)])
+
+    pairs = lambda found: {p for b in found for p in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True) if p[1] is not None}
+    assert 40 < len(want) < 780 and pairs(near_copies._first_pairs(batches())) == want
+    monkeypatch.setattr(near_copies, "FEW", 4)
+    found = list(near_copies._first_pairs(batches()))
+    assert pairs(found) < want and sum(b.column("v").null_count for b in found) == 40
+    assert pairs(near_copies._other_pairs(batches(np.arange(40)))) == want
+    root = np.arange(40) % 3
+    assert pairs(near_copies._other_pairs(batches(root))) == {(i, j) for i, j in want if root[i] != root[j]}
