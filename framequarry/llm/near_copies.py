@@ -9,9 +9,17 @@ bucket are matched on CHECKS more fingerprints within RADIUS bits (missed at 0.8
 million, let through though unlike: 4 in a million), and what is left is verified on whole shingle sets.
 
 A bucket is read in order of its key, so its rows pass one task in a stream.  In a bucket of up to
-FEW texts all pairs are matched.  In a larger one each text is matched with leaders alone, the first
-text within RADIUS; after these links are verified, all pairs of different components are matched.
-So a large group costs a row a member, and pairs inside a component, which change nothing, are left out.
+FEW texts all pairs are matched.  In a larger one, or one with over MANY near pairs, each text is matched
+with leaders alone, the first text within RADIUS; after these links are verified, all pairs of different
+components are matched.  So a large group costs a row a member, and pairs inside a component, which change
+nothing, are left out.
+
+
+Pairs are a list a text and are verified in groups that share texts: those whose lower text has one
+smallest neighbour, cut into blocks by size.  A text moves once a group that compares it, not once a
+pair, and as text, which is smaller on disk than its hashes.  Inside a group a pair that is joined
+already is skipped; before its texts are read its sizes must allow the similarity, and FINER fingerprints
+must lie within FINE_RADIUS bits (at 0.8: 116 in the mean, deviation 10), unless a set is SMALL.
 """
 
 from __future__ import annotations
@@ -36,8 +44,16 @@ SEGMENTS = FINGERPRINTS * 4
 RADIUS = 38
 #: Texts of a bucket whose pairs are all matched at once.
 FEW = 512
+#: Near pairs of a bucket that are all named.
+MANY = 1024
+#: Fingerprints that a pair is matched on before its texts are read, their bits that differ at most, and the least set that they tell of.
+FINER, FINE_RADIUS, SMALL = 12, 170, 32
 #: Words of shingle hashes that are counted at once.
 CHUNK = 1 << 17
+#: Shingles that texts of a block of a group have in all, more or less, and those that a text counts for at least.
+BLOCK, LIGHT = 1 << 20, 1 << 10
+#: log2 of the bits of the table that tells which texts are to be compared; rows that it lets through besides cost room alone.
+WANTED = 25
 
 _RANDOM = np.random.Generator(np.random.PCG64(20))
 _TIMES = _RANDOM.integers(0, 1 << 64, FINGERPRINTS + CHECKS, np.uint64, False) | np.uint64(1)
@@ -112,33 +128,73 @@ def _sketches(words: int):
                 b = whole.slice(at, 512)
                 both = [shingles(t.as_py(), words) for t in b.column(2)]
                 found = fingerprints([s for _, s in both])
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(both) + 1, dtype=np.int32) * SEGMENTS), pa.array(_segments(found).ravel()))
-                node = pa.array(_signed(np.array([n for n, _ in both], np.uint64)))
+                flat = pa.array(_signed(np.ascontiguousarray(found[:, :FINGERPRINTS])).ravel())
+                fps = pa.ListArray.from_arrays(pa.array(np.arange(len(both) + 1, dtype=np.int32) * FINGERPRINTS), flat)
+                node, size = pa.array(_signed(np.array([n for n, _ in both], np.uint64))), pa.array([len(s) for _, s in both], pa.int64())
                 checks = [pa.array(_signed(np.ascontiguousarray(found[:, FINGERPRINTS + k]))) for k in range(CHECKS)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, keys, *checks], ["doc_id", "tx", "node", "bands", *_CHECKS])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, size, fps, *checks], ["doc_id", "tx", "node", "size", "fps", *_CHECKS])
 
     return run
 
 
 _CHECKS = [f"check{k}" for k in range(CHECKS)]
-_SKETCH = f"doc_id long, tx long, node long, bands array<int>, {', '.join(f'{c} long' for c in _CHECKS)}"
+_SKETCH = f"doc_id long, tx long, node long, size long, fps array<long>, {', '.join(f'{c} long' for c in _CHECKS)}"
+
+
+def entries(rows: DataFrame) -> DataFrame:
+    """key, node and checks: each row (node, fps, checks) by its SEGMENTS keys."""
+    each = rows.select("node", *_CHECKS, F.posexplode("fps").alias("i", "fp"))
+    keys = (((F.col("i") * 4 + k) * (1 << 16)).bitwiseOR(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int")) for k in range(4))
+    return each.select("node", *_CHECKS, F.explode(F.array(*keys)).alias("key"))
 
 
-def _sets(words: int):
+def _links(words: int, threshold: float):
+    share = threshold / (1 + threshold)  # of both sizes, that both sets must hold
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for node, t in zip(b.column(0), b.column(1), strict=True):
-                found = pa.array([_signed(shingles(t.as_py(), words)[1])], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), found], ["node", "s"])
+        """u, v of rows (g, a, b, u, vs, size, fps, text) in order: the texts of a group (vs null), then its pairs."""
+        group, place, texts, sets, above = None, {}, [], {}, []
+        sizes: list | np.ndarray = []
+        prints: list | np.ndarray = []
 
-    return run
+        def top(i: int) -> int:
+            while above[i] != i:
+                above[i] = i = above[above[i]]
+            return i
+
+        def held(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingles(texts[i], words)[1]
+            return sets[i]
 
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                links: list[tuple[int, int]] = []
+                for *own, u, vs, size, fps, text in zip(*(c.to_pylist() for c in whole.slice(at, 512).columns), strict=True):
+                    if own != group:
+                        group, place, texts, sets, above, sizes, prints = own, {}, [], {}, [], [], []
+                    if vs is None:
+                        place[u] = len(texts)
+                        above.append(len(texts))
+                        texts.append(text)
+                        sizes.append(size)
+                        prints.append(fps)
+                        continue
+                    if isinstance(sizes, list):
+                        sizes, prints = np.array(sizes), np.array(prints, np.int64).view(np.uint64)
+                    i, j = place[u], np.array([place[v] for v in vs])
+                    n, least = sizes[j] + sizes[i], np.minimum(sizes[j], sizes[i])
+                    need = np.ceil(n * share - 1e-9)
+                    apart = np.bitwise_count(prints[j] ^ prints[i]).sum(1, dtype=np.int64)
+                    for k in ((least >= need) & ((least < SMALL) | (apart <= FINE_RADIUS))).nonzero()[0].tolist():
+                        x, y = top(i), top(int(j[k]))
+                        if x != y and len(np.intersect1d(held(i), held(int(j[k])), assume_unique=True)) >= need[k]:
+                            above[y] = x
+                            links.append((u, vs[k]))
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["u", "v"])
 
-def _alike(a: Column, b: Column, threshold: float) -> Column:
-    """Whether two sets have the similarity, by their sizes first."""
-    n, m = F.size(a), F.size(b)
-    least = F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
-    return (F.least(n, m) >= least) & (F.size(F.array_intersect(a, b)) >= least)
+    return run
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -187,10 +243,17 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp = np.stack(checks, 1).view(np.uint64)
         begins = np.append(0, (key[1:] != key[:-1]).nonzero()[0] + 1)
         sizes = np.diff(np.append(begins, len(key)))
-        for i, j in _pairs_of_few(key, fp, np.repeat(sizes <= FEW, sizes).nonzero()[0]):
-            yield rows(node[i], node[j])
-        for k in (sizes > FEW).nonzero()[0]:
-            i = own = np.arange(begins[k], begins[k] + sizes[k])
+        both = [*_pairs_of_few(key, fp, np.repeat(sizes <= FEW, sizes).nonzero()[0])]
+        u, v = (np.concatenate([np.zeros(0, np.int64), *side]) for side in zip(*both, strict=True)) if both else (np.zeros(0, np.int64),) * 2
+        of = np.searchsorted(begins, u, "right") - 1
+        dense = np.bincount(of, minlength=len(begins)) > MANY
+        yield rows(node[u[~dense[of]]], node[v[~dense[of]]])
+        # Texts that are near no other in the bucket are in no pair of it.
+        near_another = np.zeros(len(key), bool)
+        near_another[u] = near_another[v] = True
+        for k in (dense | (sizes > FEW)).nonzero()[0]:
+            i = np.arange(begins[k], begins[k] + sizes[k])
+            i = own = i[near_another[i]] if dense[k] else i
             while len(i) > 1:
                 near = _near(fp[i[1:]], fp[i[0]])
                 hit = i[1:][near]
@@ -218,27 +281,45 @@ def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select("key", *columns, *_CHECKS).repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "node")
 
 
-def links(rows: DataFrame, texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """u, v: verified pairs that join all candidates of rows (node, tx, bands, checks; node distinct) at the threshold; texts: tx, text."""
-    found = cut(_dealt(rows.select("node", *_CHECKS, F.explode("bands").alias("key")), "node").mapInArrow(_first_pairs, "key int, u long, v long"))
-    pairs = cut(found.where("v is not null").select("u", "v").distinct())
-    # The sets of texts that are to be compared.
-    members = found.where("v is null").select("key", F.col("u").alias("node"))
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(members.select("node")).distinct()
-    sets = texts.join(rows.select("node", "tx").join(wanted, "node"), "tx").dropDuplicates(["node"]).select("node", "text")
-    sets = cut(sets.mapInArrow(_sets(words), "node long, s array<bigint>"))
+def _grouped(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """g, a, b, u, vs: the pairs of u with texts above it, in blocks of those whose u has one smallest neighbour."""
+    ends = pairs.union(pairs.select("v", "u")).toDF("u", "v").groupBy("u").agg(F.min("v").alias("m"), F.collect_set(F.when(F.col("v") > F.col("u"), F.col("v"))).alias("vs"))
+    near = cut(ends.where(F.size("vs") > 0).select(F.least("u", "m").alias("g"), "u", "vs"))
+    members = near.select("g", F.explode(F.concat(F.array("u"), "vs")).alias("node")).distinct().join(nodes.select("node", "size"), "node")
+    parts = members.groupBy("g").agg(F.ceil(F.sum(F.greatest("size", F.lit(LIGHT))) / BLOCK).alias("n"))
+    a, b = (F.pmod(F.xxhash64(x), F.col("n")).cast("int") for x in "uv")
+    each = near.join(parts, "g").select("g", "n", "u", F.explode("vs").alias("v"))
+    return cut(each.groupBy("g", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "u").agg(F.collect_list("v").alias("vs")))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """u, v: links that join all of the pairs (u under v, repeated or not) at the threshold; nodes: node, tx, size, fps; texts: tx, text."""
+    dealt, key = _grouped(pairs, nodes), ["g", "a", "b"]
+    known = nodes.select("node", "tx", "size", F.slice("fps", 1, FINER).alias("fps"))
+    members = cut(dealt.select(*key, F.explode(F.concat(F.array("u"), "vs")).alias("node")).distinct().join(known, "node"))
+    # Only texts that are to be compared are shuffled, and a few whose hash falls on the same bit.
+    slot = F.col("tx").bitwiseAND(F.lit((1 << WANTED) - 1))
+    at, bit = F.shiftright(slot, 6).alias("at"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit")
+    bits = members.select(at, bit).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    held = texts.select("tx", "text", at, bit).join(F.broadcast(bits), "at").where(F.getbit("bits", "bit") == 1).select("tx", "text").dropDuplicates(["tx"])
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    rows = members.join(held, "tx").select(*key, F.col("node").alias("u"), none("vs", "array<long>"), "size", "fps", "text")
+    rows = rows.union(dealt.select(*key, "u", "vs", none("size", "long"), none("fps", "array<long>"), none("text", "string")))
+    rows = rows.repartition(partitions(pairs.sparkSession), *key).sortWithinPartitions(*key, F.col("vs").isNotNull())
+    return cut(rows.mapInArrow(_links(words, threshold), "u long, v long"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        of = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"))
-        return cut(pairs.join(of("v"), "v").join(of("u"), "u").where(_alike(F.col("su"), F.col("sv"), threshold)).select("u", "v"))
 
-    first = verified(pairs)
+def links(rows: DataFrame, texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """u, v: verified pairs that join all candidates of rows (node, tx, size, fps, checks; node distinct) at the threshold; texts: tx, text."""
+    found = cut(_dealt(entries(rows), "node").mapInArrow(_first_pairs, "key int, u long, v long"))
+    first = verified(found.where("v is not null").select("u", "v"), rows, texts, words, threshold)
+    members = found.where("v is null").select("key", F.col("u").alias("node"))
     if members.isEmpty():
         return first
     # Buckets in which texts were matched with leaders alone.
     named = rows.select("node", *_CHECKS).join(cut(components(first)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     more = _dealt(members.join(named, "node"), "node", "root").mapInArrow(_other_pairs, "u long, v long")
-    return first.union(verified(more.distinct().join(pairs, ["u", "v"], "left_anti")))
+    return first.union(verified(more, rows, texts, words, threshold))
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

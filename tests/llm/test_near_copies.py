@@ -143,3 +143,75 @@ def test_large_buckets_lose_no_pair(monkeypatch):
     assert pairs(near_copies._other_pairs(batches(np.arange(40)))) == want
     root = np.arange(40) % 3
     assert pairs(near_copies._other_pairs(batches(root))) == {(i, j) for i, j in want if root[i] != root[j]}
+
+
+def sketched(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) as tx", "text")
+    return docs, near_copies.cut(docs.mapInArrow(near_copies._sketches(5), near_copies._SKETCH))
+
+
+def edits(rnd, n, words, changes):
+    """Texts with so many changed words of one base."""
+    base, out = [f"w{rnd.getrandbits(40)}" for _ in range(words)], []
+    for _ in range(n):
+        copy = list(base)
+        for i in rnd.sample(range(words), changes):
+            copy[i] = f"x{rnd.getrandbits(40)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_entries_are_the_segments(spark):
+    docs, rows = sketched(spark, edits(random.Random(1), 3, 50, 2))
+    got = {}
+    for r in near_copies.entries(rows).collect():
+        got.setdefault(r.node, []).append(r.key)
+    for r in docs.collect():
+        node, found = near_copies.shingles(r.text)
+        assert sorted(got[int(near_copies.np.uint64(node).view("i8"))]) == sorted(near_copies.bands(found).tolist())
+
+
+def test_pairs_of_blocks_are_verified_like_all(spark, monkeypatch):
+    """Small blocks lose no link between texts that blocks part."""
+    texts = [t for k in range(3) for t in edits(random.Random(k), 12, 100, 1)] + edits(random.Random(9), 12, 100, 3)
+    docs, rows = sketched(spark, texts)
+    pairs = rows.select(near_copies.F.col("node").alias("u")).crossJoin(rows.select(near_copies.F.col("node").alias("v"))).where("u < v")
+    ids = {r.node: r.doc_id for r in rows.collect()}
+    for block in (near_copies.BLOCK, near_copies.LIGHT * 5):
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        found = {i: i for i in range(len(texts))}
+        for r in near_copies.verified(pairs, rows, docs).collect():
+            a, b = found[ids[r.u]], found[ids[r.v]]
+            found = {i: min(a, b) if c in (a, b) else c for i, c in found.items()}
+        assert groups(found) == groups(dict(enumerate(brute_components(texts))))
+
+
+def shuffled(spark):
+    """Bytes that the session has written to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    each = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+
+def test_pairs_move_no_text_of_their_own(spark):
+    """120 texts that are all candidates of each other but no near copies: 7,140 pairs, which must not cost a set of hashes each."""
+    docs, rows = sketched(spark, edits(random.Random(5), 120, 600, 16))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if the tables were large
+    try:
+        before = shuffled(spark)
+        assert near_copies.links(rows, docs.select("tx", "text")).count() == 0
+        assert shuffled(spark) - before < 4_000_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+def test_a_dense_bucket_names_leaders():
+    """Copies in a small bucket cost a row each; the texts that are near none are not met again."""
+    np, pa = near_copies.np, near_copies.pa
+    rng = np.random.default_rng(1)
+    fps = np.concatenate((np.zeros((100, 2), np.uint64), rng.integers(0, 1 << 64, (20, 2), np.uint64)))
+    columns = [np.full(120, 5, np.int32), np.arange(120), *(np.ascontiguousarray(c).view(np.int64) for c in fps.T)]
+    got = [r for b in near_copies._first_pairs(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list("abcd"))])) for r in b.to_pylist()]
+    assert sorted((r["u"], r["v"]) for r in got if r["v"] is not None) == [(0, i) for i in range(1, 100)]
+    assert sorted(r["u"] for r in got if r["v"] is None) == list(range(100))
