@@ -184,7 +184,8 @@ def _encode_run(ids: np.ndarray, vocab: int) -> list[bytes]:
     often[0] += 1
     row = np.zeros(vocab, np.int64)
     row[np.argsort(-often, kind="stable")] = np.arange(vocab) * lanes
-    seats = np.full(int((often > 0).sum()) * lanes, nowhere, np.int32)
+    # Ranks, of 15 bits, as a column an id would be twice as large with places.
+    seats = np.full(int((often > 0).sum()) * lanes, m.rows, np.int16)
     low, wide = np.zeros(lanes, np.int64), np.full(lanes, _WIDE, np.int64)
     room = steps * 2 + 8
     out, spot = np.zeros(room * lanes, np.uint16), np.arange(lanes)  # a lane's next word
@@ -207,8 +208,9 @@ def _encode_run(ids: np.ndarray, vocab: int) -> list[bytes]:
         s2s = h2.take(last) + h3.take(before) + lane
         # What order 0 says of all ids of the stretch.
         held = row.take(xs) + lane
-        places = seats.take(held)
-        lacks = places == nowhere
+        ranks = seats.take(held)
+        lacks = ranks == m.rows
+        places = np.where(lacks, nowhere, ranks * np.int32(lanes) + lane)
         firsts, owns = m.every_sum.take(places, mode="clip").astype(np.int32), m.counts.take(places, mode="clip").astype(np.int32)
         contexts, hits1, hits2 = np.zeros(xs.shape, np.int64), np.zeros(xs.shape, bool), np.zeros(xs.shape, bool)
         for k, x in enumerate(xs):
@@ -244,9 +246,9 @@ def _encode_run(ids: np.ndarray, vocab: int) -> list[bytes]:
         new = lacks > hit
         np.copyto(places, nowhere, where=hit)
         i = new.ravel().nonzero()[0]
-        seat = ((np.cumsum(new, axis=0, dtype=np.int16) - 1).ravel().take(i) + m.known.take(i % lanes)) * lanes + i % lanes
-        places.ravel()[i] = seat
-        seats[held.ravel().take(i)] = seat
+        rank = (np.cumsum(new, axis=0, dtype=np.int16) - 1).ravel().take(i) + m.known.take(i % lanes)
+        places.ravel()[i] = rank * lanes + i % lanes
+        seats[held.ravel().take(i)] = rank
         m.learn(places, new, contexts, hits1, hits2)
     # The last word names a point of the range with zeros behind it.
     low = add(np.full(lanes, _LOW - 1))

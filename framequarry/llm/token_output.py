@@ -22,7 +22,7 @@ from . import token_codec
 
 FRAME_IDS = 1 << 23
 #: Characters of the texts that are encoded at once.
-BATCH_CHARS = 1 << 23
+BATCH_CHARS = 1 << 22
 _FRAME = "part int, frame int, n_ids long, doc_ids array<long>, lengths array<long>, blocks array<binary>"
 _READ = "part int, frame int, doc_id long, before long, n_tokens long, ids_crc32 long"
 
@@ -75,6 +75,7 @@ def _frames(path: str, end_id: int):
                         frame, docs, pieces, held = frame + 1, [], [], 0
         if docs:
             yield row()
+        encode.forget()  # a worker that is used again keeps the vocabulary alone
 
     return run
 

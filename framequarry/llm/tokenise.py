@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker remembers before it begins anew.
-REMEMBERED = 800_000
+#: Words that a task remembers before it begins anew.
+REMEMBERED = 200_000
 #: Words that the library takes as one text.
 JOINED = 512
 #: Contractions that the pre-tokeniser keeps apart, by their length.
@@ -43,25 +43,25 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        # The same model for words that are cut already.
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = None
+        # The same model, held once, for words that are cut already.
+        self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        spec = json.loads(self.whole.to_str())
+        state = lambda part: json.loads(part.__getstate__()) if part else {}
         vocab = self.whole.get_vocab()
         self.vocab = max(vocab.values()) + 1
         self.last = np.zeros(self.vocab, bool)  # ids that end a word
         for token, i in vocab.items():
             self.last[i] = token.endswith("</w>")
-        steps, cut = spec["normalizer"] or {}, (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        self.short_cut = [x["type"] for x in steps.get("normalizers", [])] == NORMALISER and cut[0].get("pattern", {}).get("Regex") == PATTERN and [x.get("type") for x in cut] == ["Split", "ByteLevel"] and spec["model"].get("end_of_word_suffix") == "</w>"
+        steps, cut = state(self.whole.normalizer), state(self.whole.pre_tokenizer).get("pretokenizers", [{}])
+        self.short_cut = [x["type"] for x in steps.get("normalizers", [])] == NORMALISER and cut[0].get("pattern", {}).get("Regex") == PATTERN and [x.get("type") for x in cut] == ["Split", "ByteLevel"] and getattr(self.whole.model, "end_of_word_suffix", None) == "</w>"
         known = "".join(re.escape(chr(i)) for i in range(0x21, _END) if not 0x7F <= i <= 0xA0)
         self.plain = re.compile(f"[{known}{BLANKS}]*")
         self.classes = np.frombuffer(_classes(), np.uint8)
         self.of_byte = self.classes[:128].tobytes() + bytes([_LETTER]) * 128
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop the words learnt so far."""
         self.words = pa.array([], pa.binary())
         self.ids = np.zeros(0, np.int32)
         self.ends = np.zeros(1, np.int64)  # of the words' ids, and a zero before
@@ -111,7 +111,7 @@ class Encoder:
         coded = pc.dictionary_encode(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]))
         own = coded.dictionary
         if len(self.words) > REMEMBERED:
-            self._forget()
+            self.forget()
         word = pc.index_in(own, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
         new = word < 0
         word[new] = len(self.words) + np.arange(new.sum())

@@ -24,7 +24,7 @@ def test_encoder_equals_library():
     assert mine.short_cut
     rows = [t or "" for t in texts()] * 2
     assert [x.tolist() for x in mine(rows)] == [whole.encode(t, add_special_tokens=False).ids for t in rows]
-    mine._forget()
+    mine.forget()
     assert mine(["again"])[0].tolist() == whole.encode("again", add_special_tokens=False).ids
 
 
