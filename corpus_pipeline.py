@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequarry.llm import decontaminate, language_id, mixing, near_copies, token_output
-from framequarry.llm.common import shared_dir, table
+from framequarry.llm.common import BLANK, shared_dir, table
 from framequarry.llm.queries import END_ID, tokenizer_file
 
 #: No SQL expresses the classifier, the coder and the 64-bit hashes; tests hold the stages against brute force.
@@ -20,24 +20,46 @@ ORACLE_SQL = None
 
 #: Names of columns that find a row again by equal joins, null ids and repeated ids too.
 _ID, _NULL, _TEXT = "_key_id", "_key_null", "_key_text"
+_KEYS = [_ID, _NULL, _TEXT]
 
 
-def _id_keys() -> dict[str, Column]:
-    return {_ID: F.coalesce(F.col("doc_id"), F.lit(0).cast("long")), _NULL: F.col("doc_id").isNull()}
+def _at(docs: DataFrame, name: str) -> str:
+    return f"c{docs.columns.index(name)}"
 
 
-def _row_keys() -> dict[str, Column]:
-    return _id_keys() | {_TEXT: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))}
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with columns c0, c1, ... in place of its own names, so that no column of a stage meets one of them."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
 
-def _keyed(rows: DataFrame, *more: Column) -> DataFrame:
-    """doc_id and tx (hash of the text) of an operator's rows under those names, with more columns."""
-    return rows.select(*(c.alias(k) for k, c in _id_keys().items()), F.col("tx").alias(_TEXT), *more)
+def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The numbered columns of rows under the names that docs has."""
+    return rows.select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)))
+
+
+def _keyed(rows: DataFrame, doc_id: str, text: Column, *more: Column) -> DataFrame:
+    """The keys of rows from an id and the hash of a text, with more columns."""
+    return rows.select(F.coalesce(F.col(doc_id), F.lit(0).cast("long")).alias(_ID), F.col(doc_id).isNull().alias(_NULL), text.alias(_TEXT), *more)
+
+
+def _with_keys(docs: DataFrame) -> DataFrame:
+    """Numbered columns of docs and its keys."""
+    rows = _numbered(docs)
+    return _keyed(rows, _at(docs, "doc_id"), F.xxhash64(F.coalesce(F.col(_at(docs, "text")), F.lit(""))), *rows.columns)
+
+
+def _one_each(rows: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
+    """Of rows with equal keys the least by lang, source and the other columns that have an order; columns of `more` are equal among them."""
+    held = [f"c{i}" for i in range(len(docs.columns))]
+    order = [f"c{i}" for i, (_, kind) in enumerate(docs.dtypes) if not kind.startswith(("map", "variant", "array", "struct"))]
+    return rows.groupBy(*_KEYS, *more).agg(F.min_by(F.struct(*held), F.struct(*order)).alias("r")).select("r.*", *more)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: null texts and texts without a letter go."""
-    return language_id.predict(docs, language_id.fit(docs)).where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    """Documents whose language is known: null texts and texts without a letter go; columns of any name stay as they are."""
+    model = language_id.fit(docs)
+    found = language_id.predict(_numbered(docs), model, _at(docs, "text"))
+    return _named(found.where(F.col("lang_pred") != language_id.UNKNOWN), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,31 +67,46 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Near are texts that share 0.8 or more of their five-word shingles (Jaccard).  Different texts under one id, or without an id, are different documents.
     """
-    near = _keyed(near_copies.near_copies(docs), "component")
-    keys = [_NULL, _ID, _TEXT]
-    kept = near.groupBy("component").agg(F.min(F.struct(*keys)).alias("least")).select("least.*")
-    return docs.withColumns(_row_keys()).join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    near = near_copies.near_copies(docs)
+    near = _keyed(near, "doc_id", F.col("tx"), "component")
+    kept = near.groupBy("component").agg(F.min(F.struct(_NULL, _ID, _TEXT)).alias("least")).select("least.*")
+    return _named(_one_each(_with_keys(docs).join(kept, _KEYS, "left_semi"), docs), docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, nor 0.8 or more of one's five-word shingles; null texts and equal rows stay, an empty benchmark drops none."""
     found = decontaminate.contained(docs, table(spark, sf_dir, "benchmark"))
-    leaks = _keyed(found).distinct()
-    return docs.withColumns(_row_keys()).join(leaks, [_ID, _NULL, _TEXT], "left_anti").select(*docs.columns)
+    leaks = _keyed(found, "doc_id", F.col("tx")).distinct()
+    return _named(_with_keys(docs).join(leaks, _KEYS, "left_anti"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, rounded to whole documents."""
-    mix = mixing.mix(docs)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
-    keys = [_ID, _NULL, _TEXT]
-    counts = _keyed(mix, copies.alias("_copies")).groupBy(*keys).agg(F.sum("_copies").cast("int").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumns(_row_keys()).join(counts, keys).dropDuplicates(keys)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each document as often as the mix takes it, so that each source gives its target to the word.
+
+    A document whose words are taken in part besides comes once more, cut after the last of those
+    words (n_chars, where it is a column, follows); the operator fills a source from its first word on, so
+    there is one such document a source at most.  Documents without words stay once; rows with equal id and text
+    are one document.
+    """
+    once = _named(_one_each(_with_keys(docs), docs), docs)
+    mix = mixing.mix(once)
+    size = F.greatest("size", F.lit(1))
+    takes = _keyed(mix, "doc_id", F.col("tx"), F.when(F.col("size") > 0, F.floor(F.col("taken") / size)).otherwise(1).cast("int").alias("_whole"), F.when(F.col("size") > 0, F.col("taken") % size).otherwise(0).cast("int").alias("_rest"))
+    rows = _with_keys(once).join(takes.where("_whole > 0 or _rest > 0"), _KEYS)
+    # Null stands for a whole copy.
+    copies = F.concat(F.array_repeat(F.lit(None).cast("int"), F.col("_whole")), F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn("_upto", F.explode(copies))
+    text = _at(docs, "text")
+    begun = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"[{BLANK}]*[^{BLANK}]+"), F.lit(0)), F.lit(1), F.col("_upto")), "")
+    rows = rows.withColumn(text, F.when(F.col("_upto").isNull(), F.col(text)).otherwise(begun))
+    if "n_chars" in docs.columns:
+        n = _at(docs, "n_chars")
+        rows = rows.withColumn(n, F.when(F.col("_upto").isNull(), F.col(n)).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+    return _named(rows, docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, read back from the coded frames."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, read back from the coded frames; null texts are the end id alone, equal rows are all written, no documents give no rows."""
     to = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_output.write_tokens(docs, to, tokenizer_file(), END_ID)
     return token_output.read_tokens(spark, to)
