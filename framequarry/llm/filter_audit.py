@@ -51,7 +51,8 @@ def failures(docs: DataFrame, part: str, doc_id: str = "doc_id", text: str = "te
     body = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), body.alias("text"))
     own = cut(own.select("doc_id", "part", F.struct(*(c.alias(k) for k, c in text_failures(F.col("text")).items())).alias("f"), F.unhex(F.sha2("text", 256)).alias("same")))
-    first = own.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("same").alias("_same"), "first")
+    # Written, so that the join shuffles both sides and can split a hot one.
+    first = cut(own.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("same").alias("_same"), "first"))
     copies = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     return own.join(first, F.col("same") == F.col("_same"), "left").select("doc_id", "part", "f.*", copies.alias("E"))
 
