@@ -1,4 +1,4 @@
-"""Command line: build, search, or both at once as `run`, which is also meant where a folder and a query frame come first."""
+"""Command line: build, update, search, or build and search at once as `run`, which is also meant where a folder and a query frame come first."""
 
 from __future__ import annotations
 
@@ -7,19 +7,19 @@ import sys
 import time
 
 from .config import Config, Geometry
-from .plans.build import build
+from .plans.build import build, update
 from .plans.find import candidate_report, find, histogram_report
 from .session import session
 from .sinks.ppm import dump_winner
 
 
-COMMANDS = ("build", "search", "run")
+COMMANDS = ("build", "update", "search", "run")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="framequarry", description=__doc__)
     p.add_argument("command", choices=COMMANDS)
-    p.add_argument("frames", help="folder of videos (build, run) or database (search)")
+    p.add_argument("frames", help="folder of videos (build, update, run) or database (search)")
     p.add_argument("query", nargs="?", help="raw query frame (search, run)")
     p.add_argument("--database", default="newDB", help="where a build writes")
     p.add_argument("--output", default="winner.ppm")
@@ -45,7 +45,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if argv[0] not in COMMANDS and not argv[0].startswith("-"):
         argv = ["run", *argv]
     args = parser().parse_args(argv)
-    if args.command != "build" and args.query is None:
+    if args.command in ("search", "run") and args.query is None:
         parser().error("a query frame is needed")
     try:
         cfg = Config(Geometry(args.width, args.height, 1 if args.grey else 3), args.chunk_frames, args.dedup_threshold, args.topk, reset_on_video=args.reset_on_video, index_edge=args.index_edge)
@@ -56,13 +56,14 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     try:
         spark = spark or session()
         if args.command != "search":
-            s = build(spark, args.frames, database, cfg)
+            s = (update if args.command == "update" else build)(spark, args.frames, database, cfg)
             print(f"frames {s.frames_total}, kept {s.frames_after_dedup}, signatures {s.signatures_written}")
             if args.verbose:
                 from .operators.stats import chunk_stats
+                from .sources.database import features
 
-                chunk_stats(spark.read.parquet(f"{database}/features")).orderBy("chunk_id").show(1000, False)
-        if args.command != "build":
+                chunk_stats(features(spark, database)).orderBy("chunk_id").show(1000, False)
+        if args.command in ("search", "run"):
             if args.verbose:
                 histogram_report(spark, database, args.query, cfg).orderBy("dist").show(65)
                 candidate_report(spark, database, args.query, cfg).show(cfg.topk)

@@ -108,6 +108,11 @@ def search_many(table: DataFrame, queries: DataFrame, topk: int, sad: Column, id
     # topk rows a block of rows at most.
     top = near.groupBy("q_idx").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "idx"))), 1, topk).alias("top"))
     top = top.select("q_idx", F.explode("top").alias("t")).select("q_idx", "t.idx", "t.dist")
+    return reranked(top, table, queries, sad, idx)
+
+
+def reranked(top: DataFrame, table: DataFrame, queries: DataFrame, sad: Column, idx: str = "idx") -> DataFrame:
+    """q_idx, idx, dist, sad of the best of each query's candidates (q_idx, idx, dist), whose payloads are joined to them alone."""
     both = top.join(table.select(F.col(idx).cast("long").alias("idx"), "payload"), "idx").join(queries.select(F.col("q_idx").cast("long").alias("q_idx"), "q_payload"), "q_idx")
     best = both.withColumn("sad", sad).groupBy("q_idx").agg(F.min(F.struct("sad", "dist", "idx")).alias("b"))
     return best.select("q_idx", F.col("b.idx").alias(idx), "b.dist", "b.sad")

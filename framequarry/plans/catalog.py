@@ -6,17 +6,20 @@ the UTF-8 bytes of documents for pixels.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Geometry
 from ..functions import pixels
 from ..functions.bits import array_sad, as_hex, average_hash, luma, quantised
-from ..operators import dedup, search, sequence, stats
+from ..operators import dedup, hamming_index, search, sequence, stats
+from ..session import shared_dir
+from ..sources import database, flat
 
 QUERY, TOPK = 7, 50
 CHUNK, THRESHOLD = 1200, 20.0
@@ -117,6 +120,31 @@ def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_many(table, asked, TOPK, array_sad(F.col("payload"), F.col("q_payload"))).select("q_idx", F.col("idx").alias("vec_id"), "dist", "sad")
 
 
+def search_many_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by substring tables."""
+    table = _signed(spark, sf_dir)
+    asked = table.where("idx % 50 = 0").select(F.col("idx").alias("q_idx"), F.col("hash").alias("q_hash"), F.col("payload").alias("q_payload"))
+    return hamming_index.search_many(table, asked, TOPK, array_sad(F.col("payload"), F.col("q_payload"))).select("q_idx", F.col("idx").alias("vec_id"), "dist", "sad")
+
+
+def _packed(cells: Column) -> Column:
+    """Cells of 0 to 255 as bytes."""
+    return F.unhex(F.array_join(F.transform(cells, lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+
+
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as frames of a database, which is checked, searched by signatures, and opened where the candidates' pixels are."""
+    to = f"{shared_dir(spark)}/database-{uuid.uuid4().hex}"
+    rows = sequence.positions(_signed(spark, sf_dir), ["idx"])
+    database.store(spark, to, rows.select(F.col("seq").alias("idx"), F.col("idx").cast("int").alias("video_id"), F.lit(0).alias("frame_id"), "hash", _packed(F.col("payload")).alias("content")))
+    database.validate(spark, to, 64)
+    query = _query(spark, sf_dir)
+    top = search.candidates(search.distances(database.signatures(spark, to), query[0] if query else 0), TOPK if query else 0).collect()
+    near = spark.createDataFrame(top, "idx long, video_id int, frame_id int, hash long, dist int").select("idx", F.col("video_id").cast("long").alias("vec_id"), "dist")
+    pixel = database.payload(spark, to, [r["idx"] for r in top]).select("idx", "content")
+    return search.rerank(pixel.join(F.broadcast(near), "idx"), pixels.byte_sad(F.col("content"), bytes(query[1] if query else []))).select("vec_id", "dist", "sad")
+
+
 # Events ----------------------------------------------------------------------------------------
 
 
@@ -223,12 +251,43 @@ def document_sad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sad if query else sad.where("false")
 
 
+#: Bytes of a frame that a text is cut into.
+PIECE = 256
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as frames of PIECE bytes, the last one filled up with zeros: idx, video_id (the document), frame_id (the piece), hash (the text's bytes), content."""
+    whole = _bytes(spark, sf_dir).withColumn("n", F.octet_length("content"))
+    rows = whole.where("n > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {PIECE} as int)"))))
+    rows = rows.select("doc_id", "piece", F.col("n").cast("long").alias("hash"), F.expr(f"rpad(substring(content, {PIECE} * piece + 1, {PIECE}), {PIECE}, x'00')").alias("content"))
+    placed = sequence.positions(rows, ["doc_id", "piece"], "idx")
+    return placed.select("idx", F.col("doc_id").cast("int").alias("video_id"), F.col("piece").alias("frame_id"), "hash", "content")
+
+
+def flat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as frames, written as flat files and read back."""
+    to = f"{shared_dir(spark)}/flat-{uuid.uuid4().hex}"
+    flat.write_flat(_pieces(spark, sf_dir), to, PIECE)
+    return flat.read_flat(spark, to, PIECE).select("idx", "video_id", "frame_id", "hash", F.md5("content").alias("digest"))
+
+
+def stored_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as frames of a database in three commits: a third of the rows, then twice what follows, the first time with other signatures."""
+    to, rows = f"{shared_dir(spark)}/database-{uuid.uuid4().hex}", _pieces(spark, sf_dir)
+    third = rows.count() // 3
+    database.store(spark, to, rows.where(F.col("idx") < third))
+    database.store(spark, to, rows.where(F.col("idx") >= third).withColumn("hash", -F.col("hash")), third)
+    database.store(spark, to, rows.where(F.col("idx") >= third), third)
+    database.validate(spark, to)
+    return database.frames(spark, to).select("idx", "video_id", "frame_id", "hash", F.md5("content").alias("digest"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         quantized_cells, ahash64, hamming_distance, hamming_histogram, hamming_histogram_dense, hamming_histogram_cumulative, topk_cutoff, collect_candidates, within_cutoff, candidate_report,
-        sad_rerank, search_best, search_many, temporal_dedup, temporal_dedup_reset, temporal_dedup_joined, dedup_compaction, build_stats, chunk_stats, sequence_ids,
-        luma_project, luma_of_vectors, grid_sample, cell_means, document_sad,
+        sad_rerank, search_best, search_many, search_many_indexed, stored_search, temporal_dedup, temporal_dedup_reset, temporal_dedup_joined, dedup_compaction, build_stats, chunk_stats, sequence_ids,
+        luma_project, luma_of_vectors, grid_sample, cell_means, document_sad, flat_round_trip, stored_snapshots,
     )
 }
 
@@ -295,3 +354,7 @@ SELECT doc_id, a.cells AS truncated, b.cells AS absorbed FROM ({_cell_sql(False)
     "document_sad": f"""WITH {_BYTES}, q AS (SELECT p AS q FROM y WHERE doc_id = 0)
 SELECT doc_id, coalesce(list_sum(list_transform(range(1, greatest(len(p), len(q)) + 1), lambda i: abs(coalesce(p[i], 0) - coalesce(q[i], 0)))), 0)::BIGINT AS sad FROM y, q""",
 }
+_PIECES = f"""WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, length(x) // 2 AS n, x, unnest(range(0, (length(x) // 2 + {PIECE - 1}) // {PIECE})) AS piece FROM x)
+SELECT row_number() OVER (ORDER BY doc_id, piece) - 1 AS idx, doc_id::INT AS video_id, piece::INT AS frame_id, n::BIGINT AS hash, md5(unhex(rpad(substr(x, piece * {2 * PIECE} + 1, {2 * PIECE}), {2 * PIECE}, '0'))) AS digest FROM p"""
+ORACLE_SQL |= {"search_many_indexed": ORACLE_SQL["search_many"], "stored_search": ORACLE_SQL["sad_rerank"], "flat_round_trip": _PIECES, "stored_snapshots": _PIECES}

@@ -23,13 +23,13 @@ def ranked(spark: SparkSession, path: str, content: bytes, cfg: Config) -> DataF
     """idx, video_id, frame_id, dist, sad of the candidates, best first.
 
     Signatures alone are scanned for the topk candidates; their ids, topk numbers, go to the
-    driver and into the scan of the pixels, which reads only row groups that hold one.
+    driver, which finds the files that hold one in the layout and opens no other.
     """
     near = search.distances(database.signatures(spark, path), query_hash(content, cfg))
     top = search.candidates(near, cfg.topk).select("idx", "video_id", "frame_id", "dist").collect()
     rows = spark.createDataFrame(top, "idx long, video_id int, frame_id int, dist int")
     pixels = database.payload(spark, path, [r["idx"] for r in top])
-    return search.rerank(pixels.join(F.broadcast(rows), "idx"), byte_sad(F.col("content"), content)).select("idx", "video_id", "frame_id", "dist", "sad")
+    return search.rerank(pixels.select("idx", "content").join(F.broadcast(rows), "idx"), byte_sad(F.col("content"), content)).select("idx", "video_id", "frame_id", "dist", "sad")
 
 
 def find(spark: SparkSession, path: str, query: str, cfg: Config = Config()) -> QueryResult:

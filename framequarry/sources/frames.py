@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ def videos(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(s.getPath().getName(),) for s in fs.listStatus(path) if s.isDirectory()], "video string")
 
 
-def scan(spark: SparkSession, root: str, folders: list[str] | None = None) -> DataFrame:
-    """path, length, content of the files right under the folders of root, or under those named, found by Spark's own parallel listing.
+def scan(spark: SparkSession, root: str, folders: list[str] | None = None, more: list[str] = []) -> DataFrame:
+    """path, length, content (and `more`) of the files right under the folders of root, or under those named, found by Spark's own parallel listing.
 
     Names that begin with a dot or an underscore are not seen by Spark's file sources.  Columns
     that are not asked for, content above all, are not read.
@@ -32,17 +34,29 @@ def scan(spark: SparkSession, root: str, folders: list[str] | None = None) -> Da
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.format("binaryFile").load([f"{root}/{x}/*" for x in folders or ["*"]]).select("path", "length", "content")
+        return spark.read.format("binaryFile").load([f"{root}/{_literal(x)}/*" for x in folders] if folders else f"{root}/*/*").select("path", "length", "content", *more)
     except (AnalysisException, Py4JJavaError) as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], "path string, length long, content binary")  # no file in any folder
+        return spark.createDataFrame([], "path string, length long, content binary, modificationTime timestamp").select("path", "length", "content", *more)  # no file in any folder
+
+
+def _literal(path: str) -> str:
+    """A path that names one file, whatever signs of a pattern are in it."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, length, content of the files named, as a scan gives their paths, in that order as far as Spark deals equal files; no other file is listed."""
+    if not paths:
+        return spark.createDataFrame([], "path string, length long, content binary")
+    return spark.read.format("binaryFile").load([_literal(p) for p in paths]).select("path", "length", "content")
 
 
 def manifest(spark: SparkSession, root: str, chunk_frames: int) -> DataFrame:
-    """path, length, video, video_id, frame_id, seq, chunk_id of every frame, from names; no pixel is read."""
-    names = scan(spark, root).select("path", "length", F.element_at(F.split("path", "/"), -2).alias("video"), F.element_at(F.split("path", "/"), -1).alias("file"))
-    return number(names, "video", ["file"], chunk_frames, videos(spark, root)).select("path", "length", "video", "video_id", "frame_id", "seq", "chunk_id")
+    """path, length, modified, video, video_id, frame_id, seq, chunk_id of every frame, from names; no pixel is read."""
+    names = scan(spark, root, more=["modificationTime"]).select("path", "length", F.col("modificationTime").alias("modified"), F.element_at(F.split("path", "/"), -2).alias("video"), F.element_at(F.split("path", "/"), -1).alias("file"))
+    return number(names, "video", ["file"], chunk_frames, videos(spark, root)).select("path", "length", "modified", "video", "video_id", "frame_id", "seq", "chunk_id")
 
 
 def exact(content: Column, length: Column, geometry: Geometry) -> Column:

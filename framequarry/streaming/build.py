@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import BuildStats, Config
 from ..functions.pixels import small_batches, with_features
-from ..plans.build import flag, write
+from ..plans.build import flag, update
 from ..sources import frames
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -34,5 +34,5 @@ def decisions(spark: SparkSession, root: str, to: str, cfg: Config) -> DataFrame
 
 
 def commit(spark: SparkSession, root: str, to: str, cfg: Config) -> BuildStats:
-    """Bring the database under `to` up to all frames read so far: as a build over them, but features are not computed again."""
-    return write(spark, root, to, decisions(spark, root, to, cfg), cfg)
+    """Bring the database under `to` up to the frames under root: features of frames that were read are not computed again, and only what is new since the last commit is decided and copied."""
+    return update(spark, root, to, cfg, spark.read.parquet(f"{to}/incoming").select("path", "sig", "cells").dropDuplicates(["path"]))

@@ -16,7 +16,7 @@ from framequarry.plans import build as plan
 from framequarry.plans.build import build, features, flag
 from framequarry.plans.find import find, histogram_report, query_hash, ranked
 from framequarry.sinks.ppm import dump_winner, encode_ppm
-from framequarry.sources import database, frames
+from framequarry.sources import database, flat, frames
 from framequarry.streaming import build as stream
 
 G1 = [(0, 0), (0, 3), (0, 6), (2, 0)]
@@ -82,23 +82,67 @@ def test_lag_sads(spark, trees):
     assert sum(r.keep for r in flag(features(spark, trees[64, 40][0], exact), exact).collect()) == 2  # equal is dropped
 
 
+def rows_of(df):
+    return sorted((r.idx, r.video_id, r.frame_id, r.hash, bytes(r.content)) for r in df.collect())
+
+
 def test_flat_files_round_trip(spark, trees, tmp_path):
-    cfg = Config(Geometry(36, 21), dedup=False)
+    cfg, to = Config(Geometry(36, 21), dedup=False), f"{tmp_path}/flat"
     build(spark, trees[36, 21][0], f"{tmp_path}/db", cfg)
-    table = database.signatures(spark, f"{tmp_path}/db").join(spark.read.parquet(f"{tmp_path}/db/frames"), "idx")
-    assert database.export_flat(table, f"{tmp_path}/flat") == 25
-    assert os.path.getsize(f"{tmp_path}/flat/hashes.bin") == 200
-    back = database.import_flat(spark, f"{tmp_path}/flat", cfg.geometry.nbytes)
-    rows = lambda df: sorted((r.idx, r.video_id, r.frame_id, r.hash, bytes(r.content)) for r in df.collect())
-    assert rows(back) == rows(table)
-    with open(f"{tmp_path}/flat/hashes.bin", "ab") as f:
+    n = cfg.geometry.nbytes
+    table = database.frames(spark, f"{tmp_path}/db")
+    flat.write_flat(table.repartition(3), to, n)
+    assert sorted(os.listdir(to)) == ["frame_id.bin", "hashes.bin", "raw_frame.bin", "video_id.bin"]
+    assert os.path.getsize(f"{to}/hashes.bin") == 200 and os.path.getsize(f"{to}/raw_frame.bin") == 25 * n
+    assert np.fromfile(f"{to}/frame_id.bin", "=i4").tolist() == [r.frame_id for r in table.orderBy("idx").collect()]
+    back = flat.read_flat(spark, to, n, partition_bytes=4 * n)
+    assert rows_of(back) == rows_of(table)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "ExistingRDD" not in plan
+    assert flat.read_flat(spark, to, n, content=False).columns == ["idx", "video_id", "frame_id", "hash"]
+    with open(f"{to}/hashes.bin", "ab") as f:
         f.write(b"12345678")
-    with pytest.raises(ValueError, match="lengths"):
-        database.import_flat(spark, f"{tmp_path}/flat", cfg.geometry.nbytes)
-    with open(f"{tmp_path}/flat/hashes.bin", "ab") as f:
+    with pytest.raises(Exception, match="lengths"):
+        flat.read_flat(spark, to, n).collect()
+    with open(f"{to}/hashes.bin", "ab") as f:
         f.write(b"1")
-    with pytest.raises(ValueError, match="whole"):
-        database.import_flat(spark, f"{tmp_path}/flat", cfg.geometry.nbytes)
+    with pytest.raises(Exception, match="whole"):
+        flat.read_flat(spark, to, n).collect()
+    os.truncate(f"{to}/hashes.bin", 200)
+    os.remove(f"{to}/video_id.bin")
+    with pytest.raises(Exception, match="lacks video_id.bin"):
+        flat.read_flat(spark, to, n).collect()
+
+
+def test_flat_files_are_all_there_or_not_at_all(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id as idx", "cast(id as int) as video_id", "cast(-id as int) as frame_id", "id << 56 as hash", "cast(lpad(cast(id as string), 9, 'x') as binary) as content").repartition(4)
+    to = f"{tmp_path}/f"
+    flat.write_flat(rows, to, 9)
+    before = rows_of(flat.read_flat(spark, to, 9))
+    assert [r[0] for r in before] == list(range(100)) and before == rows_of(rows)
+    bad = {"not 0 to 99": rows.where("idx <> 7"), "there twice": rows.union(rows.limit(1)), "bytes of 9": rows.selectExpr("idx", "video_id", "frame_id", "hash", "if(idx = 50, cast('x' as binary), content) as content"), "no nulls": rows.selectExpr("idx", "nullif(video_id, 5) as video_id", "frame_id", "hash", "content"), "lack": None}
+    for message, table in bad.items():
+        with pytest.raises(Exception, match="cannot be resolved|video_id" if table is None else message):
+            flat.write_flat(rows.drop("video_id") if table is None else table, to, 9)
+        assert rows_of(flat.read_flat(spark, to, 9)) == before, message
+        assert not [x for x in os.listdir(to) if x.startswith(".")], message
+    flat.write_flat(rows.limit(0), to, 9)
+    assert flat.read_flat(spark, to, 9).count() == 0 and os.path.getsize(f"{to}/raw_frame.bin") == 0
+
+
+def test_flat_files_are_read_where_filters_say(spark, tmp_path):
+    rows = spark.range(500).selectExpr("id as idx", "0 as video_id", "cast(id as int) as frame_id", "id as hash", "cast('abc' as binary) as content")
+    flat.write_flat(rows, f"{tmp_path}/f", 3)
+    key = "spark.sql.python.filterPushdown.enabled"
+    spark.conf.set(key, "true")
+    try:
+        read = lambda q: [r.idx for r in flat.read_flat(spark, f"{tmp_path}/f", 3, partition_bytes=190).where(q).orderBy("idx").collect()]
+        assert read("idx in (3, 4, 499, 700)") == [3, 4, 499] and read("idx = 5 and frame_id = 6") == []
+        assert read("idx >= 497") == [497, 498, 499] and read("idx < 2 and idx > 0") == [1] and read("idx > 498 or idx = 0") == [0, 499]
+    finally:
+        spark.conf.unset(key)
+    reader = flat.FilteringReader(f"{tmp_path}/f", 3, True, 190)
+    assert [*reader.pushFilters([flat.In(("idx",), (3, 4, 499, 700))])] and [(p.first, p.end) for p in reader.partitions()] == [(3, 5), (499, 500)]
 
 
 def test_sizes_of_files(spark, trees, tmp_path):
@@ -175,7 +219,7 @@ def test_streamed_frames_are_committed(spark, trees, tmp_path):
         stream.ingest(spark, root, to, cfg, f"{tmp_path}/c").awaitTermination()
         got = stream.commit(spark, root, to, cfg)
         assert got == build(spark, root, f"{tmp_path}/db", cfg)
-        rows = lambda at: sorted((r.idx, r.video_id, r.frame_id, r.hash, bytes(r.content)) for r in database.signatures(spark, at).join(spark.read.parquet(f"{at}/frames"), "idx").collect())
+        rows = lambda at: rows_of(database.frames(spark, at))
         assert rows(to) == rows(f"{tmp_path}/db") and len(rows(to)) == got.signatures_written
     assert find(spark, to, query, cfg) == find(spark, f"{tmp_path}/db", query, cfg)
 
@@ -192,14 +236,138 @@ def test_pixels_are_copied_range_by_range(spark, trees, tmp_path, monkeypatch):
         database.validate(spark, f"{tmp_path}/db", 5)
 
 
+def database_files(to, kind="frames"):
+    return sorted(f"{d}/{f}" for d, _, names in os.walk(to) if d.endswith(f"/{kind}") for f in names if f.endswith(".parquet"))
+
+
 def test_a_database_that_lacks_rows_is_refused(spark, trees, tmp_path):
-    cfg, to = Config(Geometry(36, 21)), f"{tmp_path}/db"
+    """By names and sizes of its files; the check shuffles no idx and reads no column of a table."""
+    cfg, to, query = Config(Geometry(36, 21)), f"{tmp_path}/db", trees[36, 21][1]
+    with pytest.raises(ValueError, match="no snapshot"):
+        find(spark, to, query, cfg)
     build(spark, trees[36, 21][0], to, cfg)
-    spark.read.parquet(f"{to}/frames").where("idx <> 1").write.parquet(f"{to}/some")
-    shutil.rmtree(f"{to}/frames")
-    os.rename(f"{to}/some", f"{to}/frames")
-    with pytest.raises(ValueError, match="4 signatures"):
-        find(spark, to, trees[36, 21][1], cfg)
+    for kind in ("frames", "signatures"):
+        held = [f for f in database_files(to, kind)][0]
+        os.rename(held, f"{tmp_path}/away")
+        with pytest.raises(ValueError, match="missing or changed, of 4 signatures"):
+            find(spark, to, query, cfg)
+        spark.read.parquet(f"{tmp_path}/away").limit(0).coalesce(1).write.parquet(f"{tmp_path}/less-{kind}")
+        shutil.copy([f"{tmp_path}/less-{kind}/{x}" for x in os.listdir(f"{tmp_path}/less-{kind}") if x.endswith(".parquet")][0], held)
+        with pytest.raises(ValueError, match="missing or changed, of 4 signatures"):
+            find(spark, to, query, cfg)
+        os.replace(f"{tmp_path}/away", held)
+        assert find(spark, to, query, cfg).found
+
+
+def test_payload_opens_the_files_of_its_ids_alone(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id as idx", "0 as video_id", "cast(id as int) as frame_id", "id as hash", "cast(concat('p', id) as binary) as content")
+    to = f"{tmp_path}/db"
+    database.store(spark, to, rows.repartitionByRange(40, "idx"))
+    assert len(database_files(to)) == 40
+    for ids in ([5], [5, 6, 7], [0, 333, 999], [2000], []):
+        got = database.payload(spark, to, ids)
+        assert sorted(bytes(r.content) for r in got.collect()) == sorted(f"p{i}".encode() for i in ids if i < 1000)
+        files = got.inputFiles()
+        assert len(files) <= len(ids) and len(files) == sum(map(len, database.files_of(spark, to, ids).values())) if ids and ids[0] < 1000 else not files
+    os.remove([f for f in database_files(to) if f not in {x.removeprefix("file://") for x in database.payload(spark, to, [5]).inputFiles()}][0])
+    assert database.payload(spark, to, [5]).count() == 1  # no other file is looked for
+
+
+def test_stored_rows_follow_each_other(spark, tmp_path):
+    rows = spark.range(10).selectExpr("id as idx", "0 as video_id", "cast(id as int) as frame_id", "id as hash", "cast(concat('p', id) as binary) as content")
+    to = f"{tmp_path}/db"
+    database.store(spark, to, rows.where("idx < 6"))
+    more = rows.where("idx >= 4").withColumn("hash", rows.hash + 100)
+    assert database.store(spark, to, more, keep=4).kept == 10 and database.validate(spark, to, 2) == 10
+    assert [r.hash for r in database.signatures(spark, to).orderBy("idx").collect()] == [*range(4), *range(104, 110)]
+    assert [r.hash for r in database.payload(spark, to, [3, 4, 5]).orderBy("idx").collect()] == [3, 104, 105]
+    assert database.signatures(spark, to, database.snapshot(spark, to, 0)).count() == 6  # an older snapshot is still there
+    with pytest.raises(ValueError, match="written of"):
+        database.store(spark, to, more.where("idx <> 5"), keep=4)
+    with pytest.raises(ValueError, match="has 10 rows"):
+        database.store(spark, to, more, keep=11)
+    assert database.validate(spark, to) == 10
+    assert database.vacuum(spark, to) == 1 and database.validate(spark, to) == 10
+    with pytest.raises(ValueError, match="by another"):
+        database.publish(spark, to, database.snapshot(spark, to))
+
+
+def opened(monkeypatch):
+    """Files that are named for reading: a list for each scan, and None for a scan of all."""
+    log, read, scan = [], frames.read, frames.scan
+    monkeypatch.setattr(frames, "read", lambda spark, paths: log.append(sorted(p.split("/", 1)[1].rsplit("/", 2)[-2] + "/" + p.rsplit("/", 1)[1] for p in paths)) or read(spark, paths))
+    monkeypatch.setattr(frames, "scan", lambda spark, root, folders=None, more=[]: (None if more else log.append(folders)) or scan(spark, root, folders, more))
+    return log
+
+
+def test_update_reads_and_copies_what_is_new_alone(spark, trees, tmp_path, monkeypatch):
+    """One more video, a video in the middle, a changed frame, a video that goes: each time the rows are those of a build, and only files from the first change on are opened."""
+    tree, query = trees[64, 40]
+    cfg, root, to = Config(Geometry(64, 40), chunk_frames=5), f"{tmp_path}/t", f"{tmp_path}/db"
+    shutil.copytree(f"{tree}/video_a", f"{root}/video_a")
+    build(spark, root, to, cfg)
+    log = opened(monkeypatch)
+
+    def step(whole=True):
+        log.clear()
+        got = plan.update(spark, root, to, cfg)
+        asked = [x for x in log if x is not None and x != []]
+        assert got == build(spark, root, f"{tmp_path}/other", cfg)
+        assert rows_of(database.frames(spark, to)) == rows_of(database.frames(spark, f"{tmp_path}/other"))
+        keep = lambda at: [(r.path, r.seq, r.keep, r.sad) for r in database.features(spark, at).orderBy("seq").collect()]
+        assert keep(to) == keep(f"{tmp_path}/other")
+        assert database.validate(spark, to, cfg.geometry.nbytes) == got.signatures_written
+        assert find(spark, to, query, cfg) == find(spark, f"{tmp_path}/other", query, cfg)
+        return asked
+
+    assert step() == []  # nothing new: no file is opened and no snapshot written
+    assert database.snapshot(spark, to).number == 0
+    shutil.copytree(f"{tree}/video_c", f"{root}/video_c")
+    new = [f"video_c/frame_{i + 1:06d}.raw" for i in range(12)]
+    first, copied = step()
+    assert first == new and copied == [new[i] for i in (1, 6, 11)] or first == new and set(copied) <= set(new)
+    sizes = [len(database_files(f"{to}/segments/{s.name}")) for s in database.snapshot(spark, to).segments]
+    assert len(sizes) == 2 and all(sizes)
+    shutil.copytree(f"{tree}/video_d", f"{root}/video_b")  # sorts before video_c, whose features are known
+    first, copied = step()
+    assert first == [f"video_b/frame_{i + 1:06d}.raw" for i in range(4)] and not any(x.startswith("video_a") for x in copied)
+    with open(f"{root}/video_c/frame_000009.raw", "wb") as f:
+        f.write(fixture.pixels(0, 8, 64, 40))
+    first, copied = step()
+    assert first == ["video_c/frame_000009.raw"] and all(x >= "video_c/frame_000009" for x in copied)
+    shutil.rmtree(f"{root}/video_c")
+    assert step() == []
+    shutil.rmtree(f"{root}/video_a")
+    step()
+    assert database.vacuum(spark, to) > 0 and database.validate(spark, to, cfg.geometry.nbytes) > 0
+    other = Config(Geometry(64, 40), chunk_frames=3)  # other settings: a build
+    assert plan.update(spark, root, to, other) == build(spark, root, f"{tmp_path}/other", other)
+
+
+@pytest.mark.parametrize("at", ["write_layout", "publish", "copy"])
+def test_a_build_that_dies_leaves_the_database(spark, trees, tmp_path, monkeypatch, at):
+    tree, query = trees[36, 21]
+    cfg, to = Config(Geometry(36, 21)), f"{tmp_path}/db"
+    build(spark, tree, to, cfg)
+    before, found = rows_of(database.frames(spark, to)), find(spark, to, query, cfg)
+    dies = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed"))
+    with monkeypatch.context() as m:
+        m.setattr(plan if at == "copy" else database, at, dies)
+        for how in (build, plan.update):
+            with pytest.raises(RuntimeError, match="killed"):
+                how(spark, tree, to, Config(Geometry(36, 21), dedup=False))
+    assert rows_of(database.frames(spark, to)) == before and find(spark, to, query, cfg) == found
+    assert database.vacuum(spark, to) == 2 and find(spark, to, query, cfg) == found
+
+
+def test_names_that_look_like_patterns(spark, tmp_path):
+    names = ["a[1].raw", "a{x,y}.raw", "b c%20.raw", "é?*.raw", "back\\slash.raw"][:4]
+    os.makedirs(f"{tmp_path}/t/v[0]")
+    for i, name in enumerate(names):
+        np.full(192, 60 * i, np.uint8).tofile(f"{tmp_path}/t/v[0]/{name}")
+    cfg = Config(Geometry(8, 8), dedup_threshold=1)
+    assert build(spark, f"{tmp_path}/t", f"{tmp_path}/db", cfg).signatures_written == 4
+    assert sorted(r[4][0] for r in rows_of(database.frames(spark, f"{tmp_path}/db"))) == [0, 60, 120, 180]
 
 
 def test_grey_frames(spark, tmp_path, capsys):
