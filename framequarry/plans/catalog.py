@@ -20,6 +20,7 @@ from ..functions.bits import array_sad, as_hex, average_hash, luma, quantised
 from ..operators import dedup, hamming_index, search, sequence, stats
 from ..session import shared_dir
 from ..sources import database, flat
+from ..streaming import dedup as streamed
 
 QUERY, TOPK = 7, 50
 CHUNK, THRESHOLD = 1200, 20.0
@@ -170,6 +171,18 @@ def temporal_dedup_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flagged(spark, sf_dir, "event_type", dedup.temporal_dedup_joined).select("event_id", "seq", "keep")
 
 
+def temporal_dedup_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a stream of files, one a micro-batch, whose rows come in no order."""
+    to = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = _sequence(spark, sf_dir).select("event_id", "seq", "chunk_id", "value", "event_type")
+    rows.repartition(4, F.xxhash64("event_id")).write.parquet(f"{to}/in")
+    arrived = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{to}/in")
+    out = streamed.temporal_dedup(arrived, "value", THRESHOLD, lambda a, b: abs(a - b), CHUNK, reset="event_type")
+    query = out.select("event_id", "seq", "keep").writeStream.format("parquet").option("path", f"{to}/out").option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("event_id long, seq long, keep boolean").parquet(f"{to}/out")
+
+
 def dedup_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.compact(_flagged(spark, sf_dir, "event_type")).select("idx", "event_id")
 
@@ -286,7 +299,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         quantized_cells, ahash64, hamming_distance, hamming_histogram, hamming_histogram_dense, hamming_histogram_cumulative, topk_cutoff, collect_candidates, within_cutoff, candidate_report,
-        sad_rerank, search_best, search_many, search_many_indexed, stored_search, temporal_dedup, temporal_dedup_reset, temporal_dedup_joined, dedup_compaction, build_stats, chunk_stats, sequence_ids,
+        sad_rerank, search_best, search_many, search_many_indexed, stored_search, temporal_dedup, temporal_dedup_reset, temporal_dedup_joined, temporal_dedup_streamed, dedup_compaction, build_stats, chunk_stats, sequence_ids,
         luma_project, luma_of_vectors, grid_sample, cell_means, document_sad, flat_round_trip, stored_snapshots,
     )
 }
@@ -357,4 +370,4 @@ SELECT doc_id, coalesce(list_sum(list_transform(range(1, greatest(len(p), len(q)
 _PIECES = f"""WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 p AS (SELECT doc_id, length(x) // 2 AS n, x, unnest(range(0, (length(x) // 2 + {PIECE - 1}) // {PIECE})) AS piece FROM x)
 SELECT row_number() OVER (ORDER BY doc_id, piece) - 1 AS idx, doc_id::INT AS video_id, piece::INT AS frame_id, n::BIGINT AS hash, md5(unhex(rpad(substr(x, piece * {2 * PIECE} + 1, {2 * PIECE}), {2 * PIECE}, '0'))) AS digest FROM p"""
-ORACLE_SQL |= {"search_many_indexed": ORACLE_SQL["search_many"], "stored_search": ORACLE_SQL["sad_rerank"], "flat_round_trip": _PIECES, "stored_snapshots": _PIECES}
+ORACLE_SQL |= {"temporal_dedup_streamed": ORACLE_SQL["temporal_dedup_reset"], "search_many_indexed": ORACLE_SQL["search_many"], "stored_search": ORACLE_SQL["sad_rerank"], "flat_round_trip": _PIECES, "stored_snapshots": _PIECES}

@@ -18,6 +18,7 @@ from framequarry.plans.find import find, histogram_report, query_hash, ranked
 from framequarry.sinks.ppm import dump_winner, encode_ppm
 from framequarry.sources import database, flat, frames
 from framequarry.streaming import build as stream
+from framequarry.streaming import dedup as streamed
 
 G1 = [(0, 0), (0, 3), (0, 6), (2, 0)]
 G3 = [(0, 0), (0, 3), (0, 5), (0, 6), (2, 0), (2, 1), (2, 6), (2, 11)]
@@ -406,3 +407,41 @@ def test_command_line(spark, trees, tmp_path, capsys):
         with pytest.raises(SystemExit) as e:
             cli.main(bad, spark)
         assert e.value.code == 2
+
+
+@pytest.mark.parametrize("reset", [False, True])
+def test_streamed_decisions_equal_the_build(spark, trees, tmp_path, reset):
+    """Frames of a video that arrives later are decided by the state of the chunk that it goes on with; full chunks leave none."""
+    cfg, root, to = Config(Geometry(64, 40), chunk_frames=5, reset_on_video=reset), f"{tmp_path}/t", f"{tmp_path}/s"
+    for videos in (["video_a"], ["video_c", "video_d"]):
+        for v in videos:
+            shutil.copytree(f"{trees[64, 40][0]}/{v}", f"{root}/{v}")
+        q = streamed.decide(spark, root, to, cfg, f"{tmp_path}/c")
+        q.awaitTermination()
+    got = {r.seq: (r.path, r.video_id, r.frame_id, r.keep, r.sad) for r in streamed.decided(spark, to).collect()}
+    want = {r.seq: (r.path, r.video_id, r.frame_id, r.keep, r.sad) for r in flag(features(spark, root, cfg), cfg).collect()}
+    assert got == want and len(got) == 25
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0  # 25 frames are five full chunks
+    shutil.copytree(f"{root}/video_d", f"{root}/a_video")
+    with pytest.raises(ValueError, match="25 frames that were decided"):
+        streamed.decide(spark, root, to, cfg, f"{tmp_path}/c")
+
+
+def test_streamed_decisions_of_rows_in_any_order(spark, tmp_path):
+    """Nulls, repeated rows, and rows that come before their turn."""
+    rows = [(i, i // 10, None if i % 11 == 3 else float(i * i % 7), "ab"[i // 4 % 2]) for i in range(47)]
+    schema = "seq long, chunk_id long, v double, t string"
+    rnd = random.Random(0)
+    mixed = rnd.sample(rows, len(rows)) + rows[:5]
+    for k in range(5):
+        spark.createDataFrame(mixed[k::5], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    arrived = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
+    out = streamed.temporal_dedup(arrived, "v", 2, lambda a, b: abs(a - b), 10, reset="t")
+    out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    from pyspark.sql import functions as F
+
+    from framequarry.operators.dedup import temporal_dedup
+
+    whole = temporal_dedup(spark.createDataFrame(rows, schema), "v", 2, lambda a, b: F.abs(a - b), reset="t")
+    both = [sorted(tuple(r) for r in df.select("seq", "sad", "keep").collect()) for df in (spark.read.parquet(f"{tmp_path}/out"), whole)]
+    assert both[0] == both[1] and len(both[0]) == 47
