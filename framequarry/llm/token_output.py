@@ -75,7 +75,6 @@ def _frames(path: str, end_id: int):
                         frame, docs, pieces, held = frame + 1, [], [], 0
         if docs:
             yield row()
-        encode.forget()  # a worker that is used again keeps the vocabulary alone
 
     return run
 
