@@ -19,7 +19,7 @@ from ..functions import pixels
 from ..functions.bits import array_sad, as_hex, average_hash, luma, quantised
 from ..operators import dedup, hamming_index, search, sequence, stats
 from ..session import shared_dir
-from ..sources import database, flat
+from ..sources import database, flat, frames, listing
 from ..streaming import dedup as streamed
 
 QUERY, TOPK = 7, 50
@@ -284,6 +284,18 @@ def flat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.read_flat(spark, to, PIECE).select("idx", "video_id", "frame_id", "hash", F.md5("content").alias("digest"))
 
 
+def listed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as files of a tree, many names with a dot or an underscore in front, listed, numbered and read back."""
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce("source", F.lit(""))).alias("source"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    video = F.expr("concat(if(doc_id % 2 = 0, '', '.'), source)")
+    file = F.expr("concat(element_at(array('', '.', '_'), cast(doc_id % 3 + 1 as int)), lpad(cast(doc_id as string), 12, '0'))")
+    listing.put(docs.select(video.alias("video"), file.alias("file"), "content"), root)
+    contents = frames.scan(spark, root).select("path", F.md5("content").alias("digest"))
+    named = frames.manifest(spark, root, CHUNK).join(contents, "path")
+    return named.select("video", F.element_at(F.split("path", "/"), -1).alias("file"), "video_id", "frame_id", "seq", "chunk_id", "length", "digest")
+
+
 def stored_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts as frames of a database in three commits: a third of the rows, then twice what follows, the first time with other signatures."""
     to, rows = f"{shared_dir(spark)}/database-{uuid.uuid4().hex}", _pieces(spark, sf_dir)
@@ -300,7 +312,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         quantized_cells, ahash64, hamming_distance, hamming_histogram, hamming_histogram_dense, hamming_histogram_cumulative, topk_cutoff, collect_candidates, within_cutoff, candidate_report,
         sad_rerank, search_best, search_many, search_many_indexed, stored_search, temporal_dedup, temporal_dedup_reset, temporal_dedup_joined, temporal_dedup_streamed, dedup_compaction, build_stats, chunk_stats, sequence_ids,
-        luma_project, luma_of_vectors, grid_sample, cell_means, document_sad, flat_round_trip, stored_snapshots,
+        luma_project, luma_of_vectors, grid_sample, cell_means, document_sad, flat_round_trip, stored_snapshots, listed_frames,
     )
 }
 
@@ -370,4 +382,7 @@ SELECT doc_id, coalesce(list_sum(list_transform(range(1, greatest(len(p), len(q)
 _PIECES = f"""WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 p AS (SELECT doc_id, length(x) // 2 AS n, x, unnest(range(0, (length(x) // 2 + {PIECE - 1}) // {PIECE})) AS piece FROM x)
 SELECT row_number() OVER (ORDER BY doc_id, piece) - 1 AS idx, doc_id::INT AS video_id, piece::INT AS frame_id, n::BIGINT AS hash, md5(unhex(rpad(substr(x, piece * {2 * PIECE} + 1, {2 * PIECE}), {2 * PIECE}, '0'))) AS digest FROM p"""
-ORACLE_SQL |= {"temporal_dedup_streamed": ORACLE_SQL["temporal_dedup_reset"], "search_many_indexed": ORACLE_SQL["search_many"], "stored_search": ORACLE_SQL["sad_rerank"], "flat_round_trip": _PIECES, "stored_snapshots": _PIECES}
+_TREE = f"""WITH x AS (SELECT (CASE doc_id % 2 WHEN 0 THEN '' ELSE '.' END) || md5(coalesce(source, '')) AS video, (CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '.' ELSE '_' END) || lpad(doc_id::VARCHAR, 12, '0') AS file, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT video, file, b, (dense_rank() OVER (ORDER BY video) - 1)::INT AS video_id, (row_number() OVER (PARTITION BY video ORDER BY file) - 1)::INT AS frame_id, row_number() OVER (ORDER BY video, file) - 1 AS seq FROM x)
+SELECT video, file, video_id, frame_id, seq, seq // {CHUNK} AS chunk_id, octet_length(b)::BIGINT AS length, md5(b) AS digest FROM n"""
+ORACLE_SQL |= {"temporal_dedup_streamed": ORACLE_SQL["temporal_dedup_reset"], "search_many_indexed": ORACLE_SQL["search_many"], "stored_search": ORACLE_SQL["sad_rerank"], "flat_round_trip": _PIECES, "stored_snapshots": _PIECES, "listed_frames": _TREE}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Geometry
 from ..operators.sequence import number
+from . import listing
 
 
 def _status(spark: SparkSession, path: str):
@@ -16,29 +17,63 @@ def _status(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def videos(spark: SparkSession, root: str) -> DataFrame:
-    """video: names of the folders right under root, empty ones too; ValueError if root is no folder."""
+def _qualified(spark: SparkSession, root: str) -> str:
+    """root as a scan's paths begin; ValueError if it is no folder."""
     path, fs = _status(spark, root)
     if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
         raise ValueError(f"{root} is not a folder")
+    return fs.makeQualified(path).toString()
+
+
+def videos(spark: SparkSession, root: str) -> DataFrame:
+    """video: names of the folders right under root, empty ones and those that begin with a dot or an underscore too; ValueError if root is no folder.
+
+    A task lists them.  In stores that Python tasks cannot open, the driver does.
+    """
+    whole = _qualified(spark, root)
+    if listing.reachable(whole):
+        return listing.folders(spark, whole)
+    path, fs = _status(spark, root)
     return spark.createDataFrame([(s.getPath().getName(),) for s in fs.listStatus(path) if s.isDirectory()], "video string")
 
 
-def scan(spark: SparkSession, root: str, folders: list[str] | None = None, more: list[str] = []) -> DataFrame:
-    """path, length, content (and `more`) of the files right under the folders of root, or under those named, found by Spark's own parallel listing.
+def files(spark: SparkSession, root: str, folders: list[str] | None = None) -> DataFrame:
+    """path, length, modificationTime of the files right under the folders of root, or under those named, whatever their names; a file right under root is none.
 
-    Names that begin with a dot or an underscore are not seen by Spark's file sources.  Columns
-    that are not asked for, content above all, are not read.
+    Tasks list the folders.  In stores that Python tasks cannot open Spark's listing stands in, which passes
+    over odd names (files or folders that begin with a dot or an underscore).
     """
+    whole = _qualified(spark, root)
+    if not listing.reachable(whole):
+        return _seen(spark, root, folders, ["path", "length", "modificationTime"]).where(~listing.odd(F.col("path")))
+    return listing.files(spark.createDataFrame([(x,) for x in folders], "video string") if folders else videos(spark, root), whole)
+
+
+def _seen(spark: SparkSession, root: str, folders: list[str] | None, columns: list[str]) -> DataFrame:
+    """Columns of the files under the folders that Spark's own parallel listing finds; columns that are not asked for, content above all, are not read."""
     from py4j.protocol import Py4JJavaError
     from pyspark.errors import AnalysisException
 
+    deep = len(_qualified(spark, root).split("/")) + 2  # a folder that the pattern finds is listed by Spark in turn
     try:
-        return spark.read.format("binaryFile").load([f"{root}/{_literal(x)}/*" for x in folders] if folders else f"{root}/*/*").select("path", "length", "content", *more)
+        found = spark.read.format("binaryFile").load([f"{root}/{_literal(x)}/*" for x in folders] if folders else f"{root}/*/*").select(*columns)
+        return found.where(F.size(F.split("path", "/")) == deep).select(*columns)
     except (AnalysisException, Py4JJavaError) as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], "path string, length long, content binary, modificationTime timestamp").select("path", "length", "content", *more)  # no file in any folder
+        return spark.createDataFrame([], "path string, length long, content binary, modificationTime timestamp").select(*columns)  # no file in any folder
+
+
+def scan(spark: SparkSession, root: str, folders: list[str] | None = None) -> DataFrame:
+    """path, length, content of the files right under the folders of root, or under those named.
+
+    Spark's source reads them but for those with odd names, which tasks open themselves.
+    """
+    seen = _seen(spark, root, folders, ["path", "length", "content"]).where(~listing.odd(F.col("path")))
+    if not listing.reachable(_qualified(spark, root)):
+        return seen
+    rest = files(spark, root, folders).where(listing.odd(F.col("path"))).select("path", "length").repartition(spark.sparkContext.defaultParallelism)
+    return seen.unionByName(listing.opened(rest))
 
 
 def _literal(path: str) -> str:
@@ -47,15 +82,31 @@ def _literal(path: str) -> str:
 
 
 def read(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, length, content of the files named, as a scan gives their paths, in that order as far as Spark deals equal files; no other file is listed."""
-    if not paths:
+    """path, length, content of the files named, as a listing gives their paths, in that order as far as Spark deals equal files; no other file is listed.
+
+    Files with odd names come last, in their order, and are opened in tasks.
+    """
+    named = {k: [p for p in paths if _is_odd(p) == k] for k in (False, True)}
+    parts = []
+    if named[False]:
+        parts.append(spark.read.format("binaryFile").load([_literal(p) for p in named[False]]).select("path", "length", "content"))
+    if named[True]:
+        rest = listing.opened(spark.createDataFrame([(p,) for p in named[True]], "path string"))
+        parts.append(rest.select("path", F.length("content").cast("long").alias("length"), "content"))
+    if not parts:
         return spark.createDataFrame([], "path string, length long, content binary")
-    return spark.read.format("binaryFile").load([_literal(p) for p in paths]).select("path", "length", "content")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _is_odd(path: str) -> bool:
+    """listing.odd of one path; never in a store that only Spark's listing reaches."""
+    folder, name = path.rsplit("/", 2)[-2:]
+    return any(x.startswith((".", "_")) or x.endswith("._COPYING_") for x in (folder, name))
 
 
 def manifest(spark: SparkSession, root: str, chunk_frames: int) -> DataFrame:
     """path, length, modified, video, video_id, frame_id, seq, chunk_id of every frame, from names; no pixel is read."""
-    names = scan(spark, root, more=["modificationTime"]).select("path", "length", F.col("modificationTime").alias("modified"), F.element_at(F.split("path", "/"), -2).alias("video"), F.element_at(F.split("path", "/"), -1).alias("file"))
+    names = files(spark, root).select("path", "length", F.col("modificationTime").alias("modified"), F.element_at(F.split("path", "/"), -2).alias("video"), F.element_at(F.split("path", "/"), -1).alias("file"))
     return number(names, "video", ["file"], chunk_frames, videos(spark, root)).select("path", "length", "modified", "video", "video_id", "frame_id", "seq", "chunk_id")
 
 

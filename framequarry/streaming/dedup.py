@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from ..config import Config
 from ..functions.pixels import small_batches, with_features
 from ..session import cut
-from ..sources import frames
+from ..sources import frames, listing
 
 _STATE = "next long, held binary"
 #: The schema of a stream of files.
@@ -88,9 +88,11 @@ def temporal_dedup(stream: DataFrame, signature: str, threshold: float, distance
 def decide(spark: SparkSession, root: str, to: str, cfg: Config, checkpoint: str) -> StreamingQuery:
     """Append path, video_id, frame_id, seq, chunk_id, cells, sad, keep of frames that are new under root to the table `to`/decided; ends when all are read.
 
-    New frames must sort behind those of earlier calls, whose numbers stand in the state; ValueError if one does not.
+    New frames must sort behind those of earlier calls, whose numbers stand in the state; ValueError if one does not, or if a frame has a name that streams of files pass over.
     """
     names = cut(frames.manifest(spark, root, cfg.chunk_frames).select("path", "video_id", "frame_id", "seq", "chunk_id"))
+    if unseen := names.where(listing.odd(F.col("path"))).count():
+        raise ValueError(f"{unseen} frames have names that begin with a dot or an underscore, or stand in such a folder: streams of files pass over them")
     path, fs = frames._status(spark, f"{to}/decided")
     if fs.exists(path) and (moved := decided(spark, to).select("path", "seq").join(names.select("path", F.col("seq").alias("now")), "path", "left").where("now is null or now <> seq").count()):
         raise ValueError(f"{moved} frames that were decided have gone or moved: a new frame sorts before them")

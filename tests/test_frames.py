@@ -297,7 +297,7 @@ def opened(monkeypatch):
     """Files that are named for reading: a list for each scan, and None for a scan of all."""
     log, read, scan = [], frames.read, frames.scan
     monkeypatch.setattr(frames, "read", lambda spark, paths: log.append(sorted(p.split("/", 1)[1].rsplit("/", 2)[-2] + "/" + p.rsplit("/", 1)[1] for p in paths)) or read(spark, paths))
-    monkeypatch.setattr(frames, "scan", lambda spark, root, folders=None, more=[]: (None if more else log.append(folders)) or scan(spark, root, folders, more))
+    monkeypatch.setattr(frames, "scan", lambda spark, root, folders=None: log.append(folders) or scan(spark, root, folders))
     return log
 
 
@@ -371,6 +371,36 @@ def test_names_that_look_like_patterns(spark, tmp_path):
     assert sorted(r[4][0] for r in rows_of(database.frames(spark, f"{tmp_path}/db"))) == [0, 60, 120, 180]
 
 
+def test_names_that_sources_pass_over(spark, tmp_path):
+    """Frames and folders that begin with a dot or an underscore, and empty and plain ones, are numbered by their bytes; files elsewhere are none; an update finds what is new among them."""
+    root, to, cfg = f"{tmp_path}/t", f"{tmp_path}/db", Config(Geometry(8, 8), dedup_threshold=1, chunk_frames=4)
+    tree = {".hidden": ["b.raw", ".a.raw"], "_empty": [], "_x": ["_1", "2", "3._COPYING_", "_k=v"], "plain": ["0", ".0", "_0", "é"], ".none": []}
+    at = 0
+    for video, names in tree.items():
+        os.makedirs(f"{root}/{video}/below")
+        np.zeros(192, np.uint8).tofile(f"{root}/{video}/below/deep.raw")
+        for name in names:
+            np.full(192, 20 * at, np.uint8).tofile(f"{root}/{video}/{name}")
+            at += 1
+    np.zeros(192, np.uint8).tofile(f"{root}/loose.raw")
+    order = sorted(tree)
+    want = [(order.index(v), sorted(tree[v]).index(n), v, n) for v in order for n in sorted(tree[v])]
+    got = frames.manifest(spark, root, 4).orderBy("seq").collect()
+    assert [(r.video_id, r.frame_id, r.video, r.path.rsplit("/", 1)[1]) for r in got] == want
+    assert [(r.seq, r.chunk_id, r.length) for r in got] == [(i, i // 4, 192) for i in range(10)]
+    assert sorted(r.video for r in frames.videos(spark, root).collect()) == order
+    bytes_of = {f"{v}/{n}": 20 * sum(len(tree[x]) for x in list(tree)[: list(tree).index(v)]) + 20 * i for v in tree for i, n in enumerate(tree[v])}
+    for read in (frames.scan(spark, root), frames.read(spark, [r.path for r in got])):
+        assert sorted(("/".join(r.path.rsplit("/", 2)[1:]), r.length, set(r.content)) for r in read.collect()) == sorted((k, 192, {x}) for k, x in bytes_of.items())
+    assert frames.scan(spark, root, ["_x"]).count() == 4
+    assert build(spark, root, to, cfg).signatures_written == 10
+    np.full(192, 250, np.uint8).tofile(f"{root}/_x/_9")
+    assert plan.update(spark, root, to, cfg).signatures_written == 11
+    assert rows_of(database.frames(spark, to)) == (build(spark, root, f"{tmp_path}/o", cfg), rows_of(database.frames(spark, f"{tmp_path}/o")))[1]
+    with pytest.raises(ValueError, match="streams of files pass over"):
+        streamed.decide(spark, root, f"{tmp_path}/s", cfg, f"{tmp_path}/c")
+
+
 def test_grey_frames(spark, tmp_path, capsys):
     """One byte a pixel: its own luma."""
     g = Geometry(16, 9, 1)
