@@ -2,7 +2,7 @@
 
 Line keys are hashed (128 bits) and range-partitioned with the document behind the hash, so one
 very common line spreads over many tasks.  Each task reads its rows sorted by hash, document and
-position and streams: it holds back at most the rows of the first few documents of one line.  A
+position and streams: it holds back a bit a line of the first few documents of one line.  A
 line that spans tasks is settled by two counts a task, all that the driver sees.  The result is a
 compressed keep bitmap for each document, not text.
 """
@@ -100,51 +100,83 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array([x[0][0] for x in rows], pa.int64()), pa.array([x[0][1] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64())], ["part", "h1", "h2", "docs"])
 
 
+def _runs(cols: list[np.ndarray], begin: int, doc: np.ndarray) -> Iterator[tuple]:
+    """Of rows of one line from begin on, each document (doc_id, whether it is null, tx) with its positions: numbers, or bits from a byte on where that is shorter."""
+    starts = np.union1d(np.flatnonzero(doc[begin:]), [0]) + begin
+    for i, j in zip(starts, np.append(starts[1:], len(doc)), strict=True):
+        pos = np.unique(cols[5][i:j])
+        at = int(pos[0]) >> 3
+        if (int(pos[-1]) >> 3) - at < 4 * len(pos):
+            bits = np.zeros((int(pos[-1]) >> 3) - at + 1, np.uint8)
+            np.bitwise_or.at(bits, (pos >> 3) - at, (128 >> (pos & 7)).astype(np.uint8))
+            pos = None
+        else:
+            bits = None
+        yield cols[2][i].item(), cols[3][i].item(), cols[4][i].item(), at, bits, pos
+
+
+def _gone(doc_id: np.ndarray, null: np.ndarray, tx: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64(), mask=null), pa.array(tx, pa.int64()), pa.array(pos, pa.int32())], ["doc_id", "tx", "pos"])
+
+
+def _dropped(batches: Iterator[pa.RecordBatch], part: int, min_docs: int, keep_first: bool, spanning: dict[tuple[int, int], tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """doc_id, tx, pos of the lines to drop of a partition's sorted rows.
+
+    Between batches stay the last line's count of documents, its first row, and, until it is known
+    to be common, the positions it has in its documents so far: under min_docs of them, a bit a
+    line of those documents at most.
+    """
+    key = doc_key = head = None
+    docs = 0
+    waiting: list[tuple] = []
+    for b in batches:
+        if not len(b):
+            continue
+        cols = _columns(b)
+        line, doc = _starts(cols)
+        at = np.flatnonzero(line)
+        ends = np.append(at[1:], len(line))
+        row = lambda i: tuple(c[i].item() for c in cols)  # noqa: B023, E731
+        goes_on = row(0)[:2] == key
+        if goes_on and row(0)[2:5] == doc_key:
+            doc[0] = False
+        counts = np.add.reduceat(doc.astype(np.int64), at)
+        if goes_on:
+            counts[0] += docs
+        common = counts >= min_docs
+        firsts = np.logical_and.reduce([c == c[np.repeat(at, ends - at)] for c in cols[2:]])
+        if goes_on:
+            firsts[: ends[0]] = False if head is None else np.logical_and.reduce([c[: ends[0]] == x for c, x in zip(cols[2:], head, strict=True)])
+        for j in {0, len(at) - 1}:
+            if (told := spanning.get(row(at[j])[:2])) is not None:
+                common[j] = told[0] >= min_docs
+                if told[1] != part:
+                    firsts[at[j] : ends[j]] = False
+        if goes_on and common[0]:
+            for doc_id, null, tx, begin, bits, pos in waiting:
+                pos = np.flatnonzero(np.unpackbits(bits)) + 8 * begin if pos is None else pos
+                if keep_first and (doc_id, null, tx) == head[:3]:
+                    pos = pos[pos != head[3]]
+                yield _gone(np.full(len(pos), doc_id), np.full(len(pos), null), np.full(len(pos), tx), pos)
+            waiting = []
+        drop = np.repeat(common, ends - at)
+        rows = np.flatnonzero(drop & ~firsts if keep_first else drop)
+        yield _gone(cols[2][rows], cols[3][rows], cols[4][rows], cols[5][rows])
+        if not (goes_on and len(at) == 1):
+            key, waiting = row(at[-1])[:2], []
+            head = None if spanning.get(key, (0, part))[1] != part else row(at[-1])[2:]
+        docs, doc_key = int(counts[-1]), row(-1)[2:5]
+        if not common[-1] and key not in spanning:
+            waiting.extend(_runs(cols, at[-1], doc))
+
+
 def _dropper(min_docs: int, keep_first: bool, spanning: dict[tuple[int, int], tuple[int, int]]):
     """spanning: of lines that lie in several partitions, all their documents and the first partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        held: list[np.ndarray] | None = None  # rows of the last line, not settled yet
-        settled: tuple[int, int] | None = None  # the last line, if it was settled as common
-
-        def decide(cols: list[np.ndarray], final: bool):
-            nonlocal held, settled
-            line, doc = _starts(cols)
-            at = np.flatnonzero(line)
-            counts = np.add.reduceat(doc.astype(np.int64), at)
-            common = counts >= min_docs
-            ends = np.append(at[1:], len(cols[0]))
-            own = np.ones(len(at), bool)  # whether the line's first occurrence is here
-            for j in {0, len(at) - 1}:
-                key = (int(cols[0][at[j]]), int(cols[1][at[j]]))
-                if key in spanning:
-                    common[j] = spanning[key][0] >= min_docs
-                    own[j] = spanning[key][1] == part
-                if j == 0 and key == settled:
-                    common[j], own[j] = True, False
-            last = (int(cols[0][-1]), int(cols[1][-1]))
-            drop = np.repeat(common, ends - at)
-            if keep_first:  # in every copy of the row that has it
-                head = np.repeat(at, ends - at)
-                drop &= ~(np.repeat(own, ends - at) & np.logical_and.reduce([c == c[head] for c in cols[2:]]))
-            if final or common[-1]:
-                held, upto = None, len(drop)
-                settled = last if common[-1] else None
-            else:
-                upto, settled = at[-1], None
-                held = [c[upto:] for c in cols]
-            rows = np.flatnonzero(drop[:upto])
-            return pa.RecordBatch.from_arrays([pa.array(cols[2][rows], mask=cols[3][rows]), pa.array(cols[4][rows]), pa.array(cols[5][rows])], ["doc_id", "tx", "pos"])
-
-        for b in batches:
-            if len(b):
-                cols = _columns(b)
-                yield decide([np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols, False)
-        if held:
-            yield decide(held, True)
+        return _dropped(batches, TaskContext.get().partitionId(), min_docs, keep_first, spanning)
 
     return run
 
