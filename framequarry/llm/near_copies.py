@@ -9,17 +9,16 @@ bucket are matched on CHECKS more fingerprints within RADIUS bits (missed at 0.8
 million, let through though unlike: 4 in a million), and what is left is verified on whole shingle sets.
 
 A bucket is read in order of its key, so its rows pass one task in a stream.  In a bucket of up to
-FEW texts all pairs are matched.  In a larger one, or one with over MANY near pairs, each text is matched
-with leaders alone, the first text within RADIUS; after these links are verified, all pairs of different
-components are matched.  So a large group costs a row a member, and pairs inside a component, which change
-nothing, are left out.
-
+FEW texts all pairs are matched.  In a larger one, or one with over MANY near pairs a text, each text is
+matched with leaders alone, the first text within RADIUS; after these links are verified, pairs of different
+components are matched, on all fingerprints.  So a large group costs a row a member, and pairs inside a
+component, which change nothing, are left out, as are buckets that have become one component.
 
 Pairs are a list a text and are verified in groups that share texts: those whose lower text has one
 smallest neighbour, cut into blocks by size.  A text moves once a group that compares it, not once a
 pair, and as text, which is smaller on disk than its hashes.  Inside a group a pair that is joined
-already is skipped; before its texts are read its sizes must allow the similarity, and FINER fingerprints
-must lie within FINE_RADIUS bits (at 0.8: 116 in the mean, deviation 10), unless a set is SMALL.
+already is skipped; before its texts are read its sizes must allow the similarity, and all FINGERPRINTS
+must lie within FINE_RADIUS bits (at 0.8: 310 in the mean, deviation 16), unless a set is SMALL.
 """
 
 from __future__ import annotations
@@ -44,10 +43,10 @@ SEGMENTS = FINGERPRINTS * 4
 RADIUS = 38
 #: Texts of a bucket whose pairs are all matched at once.
 FEW = 512
-#: Near pairs of a bucket that are all named.
-MANY = 1024
-#: Fingerprints that a pair is matched on before its texts are read, their bits that differ at most, and the least set that they tell of.
-FINER, FINE_RADIUS, SMALL = 12, 170, 32
+#: Near pairs a text of a bucket that are all named.
+MANY = 2
+#: Bits of the FINGERPRINTS in which a pair differs at most whose texts are read, and the least set that they tell of.
+FINE_RADIUS, SMALL = 400, 32
 #: Words of shingle hashes that are counted at once.
 CHUNK = 1 << 17
 #: Shingles that texts of a block of a group have in all, more or less, and those that a text counts for at least.
@@ -106,10 +105,14 @@ def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _quarters(found: np.ndarray) -> np.ndarray:
+    """Rows of 64-bit words as rows of 16-bit words, lowest first."""
+    return np.ascontiguousarray(found.astype("<u8")).view("<u2")
+
+
 def _segments(found: np.ndarray) -> np.ndarray:
     """The keys of rows of fingerprints: which segment it is, then its bits."""
-    bits = np.ascontiguousarray(found[:, :FINGERPRINTS].astype("<u8")).view("<u2").astype(np.int32)
-    return bits + (np.arange(SEGMENTS, dtype=np.int32) << 16)
+    return _quarters(found[:, :FINGERPRINTS]).astype(np.int32) + (np.arange(SEGMENTS, dtype=np.int32) << 16)
 
 
 def bands(found: np.ndarray) -> np.ndarray:
@@ -148,9 +151,19 @@ def entries(rows: DataFrame) -> DataFrame:
     return each.select("node", *_CHECKS, F.explode(F.array(*keys)).alias("key"))
 
 
-def _links(words: int, threshold: float):
-    share = threshold / (1 + threshold)  # of both sizes, that both sets must hold
+def _needed(size_a, size_b, threshold: float):
+    """Shingles that two sets of these sizes have in common at the threshold."""
+    return np.ceil((size_a + size_b) * (threshold / (1 + threshold)) - 1e-9)
+
+
+def _allowed(size_a, prints_a, size_b, prints_b, threshold: float):
+    """Whether the sizes and all fingerprints of two sets allow the threshold."""
+    least = np.minimum(size_a, size_b)
+    apart = np.bitwise_count(prints_a ^ prints_b).sum(-1, dtype=np.int64)
+    return (least >= _needed(size_a, size_b, threshold)) & ((least < SMALL) | (apart <= FINE_RADIUS))
 
+
+def _links(words: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """u, v of rows (g, a, b, u, vs, size, fps, text) in order: the texts of a group (vs null), then its pairs."""
         group, place, texts, sets, above = None, {}, [], {}, []
@@ -183,10 +196,8 @@ def _links(words: int, threshold: float):
                     if isinstance(sizes, list):
                         sizes, prints = np.array(sizes), np.array(prints, np.int64).view(np.uint64)
                     i, j = place[u], np.array([place[v] for v in vs])
-                    n, least = sizes[j] + sizes[i], np.minimum(sizes[j], sizes[i])
-                    need = np.ceil(n * share - 1e-9)
-                    apart = np.bitwise_count(prints[j] ^ prints[i]).sum(1, dtype=np.int64)
-                    for k in ((least >= need) & ((least < SMALL) | (apart <= FINE_RADIUS))).nonzero()[0].tolist():
+                    need = _needed(sizes[j], sizes[i], threshold)
+                    for k in _allowed(sizes[j], prints[j], sizes[i], prints[i], threshold).nonzero()[0].tolist():
                         x, y = top(i), top(int(j[k]))
                         if x != y and len(np.intersect1d(held(i), held(int(j[k])), assume_unique=True)) >= need[k]:
                             above[y] = x
@@ -207,7 +218,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
     for b in batches:
         if not len(b):
             continue
-        new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        new = [c.flatten().to_numpy().reshape(len(b), -1) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
         last = int(np.searchsorted(new[0], new[0][-1]))  # where the bucket begins that may go on
         if held and (last or held[0][0][0] != new[0][0]):
             held.append([c[:last] for c in new])
@@ -246,7 +257,7 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = [*_pairs_of_few(key, fp, np.repeat(sizes <= FEW, sizes).nonzero()[0])]
         u, v = (np.concatenate([np.zeros(0, np.int64), *side]) for side in zip(*both, strict=True)) if both else (np.zeros(0, np.int64),) * 2
         of = np.searchsorted(begins, u, "right") - 1
-        dense = np.bincount(of, minlength=len(begins)) > MANY
+        dense = np.bincount(of, minlength=len(begins)) > MANY * sizes
         yield rows(node[u[~dense[of]]], node[v[~dense[of]]])
         # Texts that are near no other in the bucket are in no pair of it.
         near_another = np.zeros(len(key), bool)
@@ -262,18 +273,28 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(node[own]), pa.nulls(len(own), pa.int64())], names)
 
 
-def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """u, v: near pairs of different roots; in each bucket, texts outside its commonest root against all."""
-    for key, node, root, *checks in _buckets(batches):
-        fp = np.stack(checks, 1).view(np.uint64)
-        begins = np.append(0, (key[1:] != key[:-1]).nonzero()[0] + 1).tolist()
-        for b, e in zip(begins, [*begins[1:], len(key)], strict=True):
-            r, n, f = root[b:e], node[b:e], fp[b:e]
-            kinds, kind, many = np.unique(r, return_inverse=True, return_counts=True)
-            for i in (kind != many.argmax()).nonzero()[0]:
-                j = (_near(f, f[i]) & (r != r[i])).nonzero()[0]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n[i], n[j])), pa.array(np.maximum(n[i], n[j]))], ["u", "v"])
+def _other_pairs(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """u, v: near pairs of different roots that may reach the threshold; in each bucket, texts outside its commonest root against all.
+
+        A pair is named in the first bucket that it shares: where all pairs of that one were matched, it is named already.
+        """
+        for key, node, root, size, prints, *checks in _buckets(batches):
+            fp, prints = np.stack(checks, 1).view(np.uint64), prints.view(np.uint64)
+            begins = np.append(0, (key[1:] != key[:-1]).nonzero()[0] + 1).tolist()
+            for b, e in zip(begins, [*begins[1:], len(key)], strict=True):
+                r, n, f, s, p = (x[b:e] for x in (root, node, fp, size, prints))
+                kinds, kind, many = np.unique(r, return_inverse=True, return_counts=True)
+                common = many.argmax()
+                for i in (kind != common).nonzero()[0]:
+                    # A pair of two such texts is met once.
+                    j = (_near(f, f[i]) & (r != r[i]) & ((kind == common) | (n > n[i]))).nonzero()[0]
+                    j = j[_allowed(s[j], p[j], s[i], p[i], threshold)]
+                    j = j[(_quarters(p[j] ^ p[i]) == 0).argmax(1) == key[b] >> 16]
+                    if len(j):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n[i], n[j])), pa.array(np.maximum(n[i], n[j]))], ["u", "v"])
+
+    return run
 
 
 def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
@@ -295,7 +316,7 @@ def _grouped(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """u, v: links that join all of the pairs (u under v, repeated or not) at the threshold; nodes: node, tx, size, fps; texts: tx, text."""
     dealt, key = _grouped(pairs, nodes), ["g", "a", "b"]
-    known = nodes.select("node", "tx", "size", F.slice("fps", 1, FINER).alias("fps"))
+    known = nodes.select("node", "tx", "size", "fps")
     members = cut(dealt.select(*key, F.explode(F.concat(F.array("u"), "vs")).alias("node")).distinct().join(known, "node"))
     # Only texts that are to be compared are shuffled, and a few whose hash falls on the same bit.
     slot = F.col("tx").bitwiseAND(F.lit((1 << WANTED) - 1))
@@ -316,9 +337,11 @@ def links(rows: DataFrame, texts: DataFrame, words: int = WORDS, threshold: floa
     members = found.where("v is null").select("key", F.col("u").alias("node"))
     if members.isEmpty():
         return first
-    # Buckets in which texts were matched with leaders alone.
-    named = rows.select("node", *_CHECKS).join(cut(components(first)), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = _dealt(members.join(named, "node"), "node", "root").mapInArrow(_other_pairs, "u long, v long")
+    # Buckets in which texts were matched with leaders alone, and that hold several components yet.
+    roots = cut(members.join(cut(components(first)), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    mixed = roots.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("key")
+    named = roots.join(mixed, "key").join(rows.select("node", "size", "fps", *_CHECKS), "node")
+    more = _dealt(named, "node", "root", "size", "fps").mapInArrow(_other_pairs(threshold), "u long, v long")
     return first.union(verified(more, rows, texts, words, threshold))
 
 

@@ -122,6 +122,13 @@ def test_fingerprints_are_majorities_of_bits():
         assert (np.packbits(ones * 2 > len(s), bitorder="little").view("<u8") == got).all()
 
 
+def cut_up(columns):
+    """The columns as batches that end inside a bucket."""
+    pa = near_copies.pa
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [str(k) for k in range(len(columns))])
+    return iter([whole.slice(0, 7), whole.slice(7, 20), whole.slice(27)])
+
+
 def test_large_buckets_lose_no_pair(monkeypatch):
     """Leaders first, then all pairs of different roots; a bucket may lie in several batches."""
     np, pa = near_copies.np, near_copies.pa
@@ -132,17 +139,44 @@ def test_large_buckets_lose_no_pair(monkeypatch):
 
     def batches(*more):
         columns = [np.full(40, 5, np.int32), np.arange(40), *more, *(np.ascontiguousarray(c).view(np.int64) for c in fps.T)]
-        whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [str(k) for k in range(len(columns))])
-        return iter([whole.slice(0, 7), whole.slice(7, 20), whole.slice(27)])
+        return cut_up(columns)
 
     pairs = lambda found: {p for b in found for p in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True) if p[1] is not None}
+    monkeypatch.setattr(near_copies, "MANY", 40)
     assert 40 < len(want) < 780 and pairs(near_copies._first_pairs(batches())) == want
     monkeypatch.setattr(near_copies, "FEW", 4)
     found = list(near_copies._first_pairs(batches()))
     assert pairs(found) < want and sum(b.column("v").null_count for b in found) == 40
-    assert pairs(near_copies._other_pairs(batches(np.arange(40)))) == want
+    other = near_copies._other_pairs(0.8)
+    rest = [np.full(40, 10), [[0] * near_copies.FINGERPRINTS] * 40]
+    assert pairs(other(batches(np.arange(40), *rest))) == want
     root = np.arange(40) % 3
-    assert pairs(near_copies._other_pairs(batches(root))) == {(i, j) for i, j in want if root[i] != root[j]}
+    assert pairs(other(batches(root, *rest))) == {(i, j) for i, j in want if root[i] != root[j]}
+
+
+def test_pairs_that_all_fingerprints_or_sizes_rule_out_are_not_named():
+    """Nor are pairs named again that share an earlier bucket; without any of these rules, every pair of different roots is."""
+    np = near_copies.np
+    rng = np.random.default_rng(5)
+    n, wide = 60, near_copies.FINGERPRINTS
+    segment = 6
+    prints = np.repeat(rng.integers(0, 1 << 64, (3, wide), np.uint64), n // 3, 0)
+    flip = rng.random((n, wide, 64)) < rng.uniform(0.02, 0.16, n)[:, None, None]
+    prints ^= np.packbits(flip, axis=2, bitorder="little").view("<u8")[:, :, 0]
+    prints[:, segment // 4] &= ~np.uint64(0xFFFF << 16 * (segment % 4))  # the bucket's own segment: no bit set
+    size, root = rng.integers(28, 60, n), rng.integers(0, 12, n)
+    columns = [np.full(n, segment << 16, np.int32), np.arange(n), root, size, prints.view(np.int64).tolist(), *[np.zeros(n, np.int64)] * near_copies.CHECKS]
+    got = [p for b in near_copies._other_pairs(0.8)(cut_up(columns)) for p in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)]
+
+    def named(i, j):
+        apart = [int(a) ^ int(b) for a, b in zip(prints[i], prints[j], strict=True)]
+        first = next(k for k in range(near_copies.SEGMENTS) if not apart[k // 4] >> 16 * (k % 4) & 0xFFFF)
+        least = min(size[i], size[j])
+        fine = least < near_copies.SMALL or sum(x.bit_count() for x in apart) <= near_copies.FINE_RADIUS
+        return root[i] != root[j] and first == segment and fine and 9 * least >= 4 * (size[i] + size[j])
+
+    want = [(i, j) for j in range(n) for i in range(j) if named(i, j)]
+    assert 10 < len(want) < 1000 and sorted(got) == sorted(want)
 
 
 def sketched(spark, texts):
