@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, shared_dir
 
-__all__ = ["BLANK", "ascii_lower", "cut", "let", "partitions", "shared_dir", "table"]
+__all__ = ["BLANK", "ascii_lower", "cut", "let", "partitions", "released", "shared_dir", "table"]
 
 #: The white space that the word and line contracts name, as a regular-expression class body.
 BLANK = r"\x20\x09-\x0D"
@@ -30,3 +33,24 @@ def let(value: Column, body) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, at whose end the worker's freed memory goes back to the system: workers are reused and would hold the most that any task took."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return each
+
+
+def give_back() -> None:
+    """Give memory that is freed back to the system, as far as its C library can."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass

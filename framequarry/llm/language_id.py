@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, released
 from .ngrams import BLOCK, grams, segments, sums
 
 BITS = 15
@@ -133,5 +133,5 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     docs = docs.withColumns({"lang_pred": F.lit(UNKNOWN), "__top": F.lit(float("-inf")), "__mass": F.lit(0.0)})
     for i, shared in enumerate(model.blocks):
         # One matrix at a time in a worker.
-        docs = (cut(docs) if i else docs).mapInArrow(scored(shared), docs.schema)
+        docs = (cut(docs) if i else docs).mapInArrow(released(scored(shared)), docs.schema)
     return docs.select(*kept, "lang_pred", (1 / F.col("__mass")).alias("lang_score"))

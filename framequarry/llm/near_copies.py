@@ -14,7 +14,7 @@ matched with leaders alone, the first text within RADIUS; after these links are
 components are matched, on all fingerprints.  So a large group costs a row a member, and pairs inside a
 component, which change nothing, are left out, as are buckets that have become one component.
 
-Pairs are a list a text and are verified in groups that share texts: those whose lower text has one
+Pairs leave the task that finds them as lists, a row a text and not a row a pair, and are verified in groups that share texts: those whose lower text has one
 smallest neighbour, cut into blocks by size.  A text moves once a group that compares it, not once a
 pair, and as text, which is smaller on disk than its hashes.  Inside a group a pair that is joined
 already is skipped; before its texts are read its sizes must allow the similarity, and all FINGERPRINTS
@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, partitions, released
 from .components import components
 from .simhash import majority
 
@@ -51,6 +51,8 @@ FINE_RADIUS, SMALL = 400, 32
 CHUNK = 1 << 17
 #: Shingles that texts of a block of a group have in all, more or less, and those that a text counts for at least.
 BLOCK, LIGHT = 1 << 20, 1 << 10
+#: Pairs that are gathered to lists at once, and lists that are read at once.
+GATHERED, LISTS = 1 << 18, 1 << 11
 #: log2 of the bits of the table that tells which texts are to be compared; rows that it lets through besides cost room alone.
 WANTED = 25
 
@@ -297,27 +299,108 @@ def _other_pairs(threshold: float):
     return run
 
 
+def _lists(u: np.ndarray, v: np.ndarray, *keys: np.ndarray) -> tuple[list[np.ndarray], pa.ListArray]:
+    """The distinct keys and u of rows, and the list of the v of each."""
+    columns = [*keys, u]
+    order = np.lexsort((v, *columns[::-1]))
+    columns = [c[order] for c in columns]
+    new = np.ones(len(u), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    begins = new.nonzero()[0]
+    return [c[begins] for c in columns], pa.ListArray.from_arrays(pa.array(np.append(begins, len(u)), pa.int32()), pa.array(v[order]))
+
+
+def _listed(named):
+    """key, u, vs for the rows (key, u, v) or (u, v) of `named`: those without v as they are (vs null), and the texts of pairs with those that they are named with, on both sides, GATHERED pairs at once."""
+    names = ["key", "u", "vs"]
+
+    def lists(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        u, v = (np.concatenate(side) for side in zip(*held, strict=True))
+        (ends,), vs = _lists(np.concatenate((u, v)), np.concatenate((v, u)))
+        return pa.RecordBatch.from_arrays([pa.nulls(len(ends), pa.int32()), pa.array(ends), vs], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        many = 0
+        for b in named(batches):
+            if b.column("v").null_count:
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("u"), pa.nulls(len(b), pa.list_(pa.int64()))], names)
+            elif len(b):
+                held.append((b.column("u").to_numpy(), b.column("v").to_numpy()))
+                many += len(b)
+            if many >= GATHERED:
+                yield lists(held)
+                held, many = [], 0
+        if held:
+            yield lists(held)
+
+    return run
+
+
+_LISTED = "key int, u long, vs array<long>"
+
+
+def _ends(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each element of the lists in the last column, and the elements."""
+    vs = b.column(b.num_columns - 1)
+    return np.repeat(np.arange(len(b)), vs.value_lengths().to_numpy()), vs.flatten().to_numpy()
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys and texts of rows (keys, u, vs), LISTS rows at once; a text comes once for all pairs of a key in them."""
+    for whole in batches:
+        for at in range(0, len(whole), LISTS):
+            b = whole.slice(at, LISTS)
+            *keys, u = (c.to_numpy() for c in b.columns[:-1])
+            row, v = _ends(b)
+            columns = [np.concatenate((c, c[row])) for c in keys] + [np.concatenate((u, v))]
+            (*columns,), _ = _lists(columns[-1], columns[-1], *columns[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*b.schema.names[:-2], "node"])
+
+
+def _place(node: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The block of a text in a group of n."""
+    return ((node.view(np.uint64) * _TIMES[0] >> _HALF) % n.astype(np.uint64)).astype(np.int32)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """g, a, b, u, vs of rows (g, n, u, vs): the list of a text by the blocks of its group, of which there are n."""
+    for whole in batches:
+        for at in range(0, len(whole), LISTS):
+            batch = whole.slice(at, LISTS)
+            g, n, u = (c.to_numpy() for c in batch.columns[:-1])
+            row, v = _ends(batch)
+            a, b = _place(u[row], n[row]), _place(v, n[row])
+            columns, vs = _lists(u[row], v, g[row], np.minimum(a, b), np.maximum(a, b))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), vs], ["g", "a", "b", "u", "vs"])
+
+
 def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
     """Rows with all of a key in one task, in its order."""
     return rows.select("key", *columns, *_CHECKS).repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "node")
 
 
-def _grouped(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """g, a, b, u, vs: the pairs of u with texts above it, in blocks of those whose u has one smallest neighbour."""
-    ends = pairs.union(pairs.select("v", "u")).toDF("u", "v").groupBy("u").agg(F.min("v").alias("m"), F.collect_set(F.when(F.col("v") > F.col("u"), F.col("v"))).alias("vs"))
-    near = cut(ends.where(F.size("vs") > 0).select(F.least("u", "m").alias("g"), "u", "vs"))
-    members = near.select("g", F.explode(F.concat(F.array("u"), "vs")).alias("node")).distinct().join(nodes.select("node", "size"), "node")
+def _grouped(near: DataFrame, nodes: DataFrame) -> DataFrame:
+    """g, a, b, u, vs: the pairs of u with texts above it, in blocks of those whose u has one smallest neighbour; near: u, vs, lists of neighbours on both sides."""
+    ends = near.groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("vs"))).alias("vs"))
+    ends = ends.select(F.least("u", F.array_min("vs")).alias("g"), "u", F.filter("vs", lambda v: v > F.col("u")).alias("vs")).where(F.size("vs") > 0)
+    # Lists of a group lie together, so that its texts are told from them without a row a pair.
+    ends = cut(ends.repartition(partitions(near.sparkSession), "g").sortWithinPartitions("g"))
+    members = ends.mapInArrow(_members, "g long, node long").distinct().join(nodes.select("node", "size"), "node")
     parts = members.groupBy("g").agg(F.ceil(F.sum(F.greatest("size", F.lit(LIGHT))) / BLOCK).alias("n"))
-    a, b = (F.pmod(F.xxhash64(x), F.col("n")).cast("int") for x in "uv")
-    each = near.join(parts, "g").select("g", "n", "u", F.explode("vs").alias("v"))
-    return cut(each.groupBy("g", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "u").agg(F.collect_list("v").alias("vs")))
+    return cut(ends.join(parts, "g").select("g", "n", "u", "vs").mapInArrow(_blocks, "g long, a int, b int, u long, vs array<long>"))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """u, v: links that join all of the pairs (u under v, repeated or not) at the threshold; nodes: node, tx, size, fps; texts: tx, text."""
-    dealt, key = _grouped(pairs, nodes), ["g", "a", "b"]
+    """u, v: links that join all of the pairs (u, v; repeated or not) at the threshold; nodes: node, tx, size, fps; texts: tx, text."""
+    return _verified(pairs.select("u", "v").mapInArrow(_listed(iter), _LISTED), nodes, texts, words, threshold)
+
+
+def _verified(near: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """The same for lists of pairs: u, vs, on both sides of a pair."""
+    dealt, key = _grouped(near, nodes), ["g", "a", "b"]
     known = nodes.select("node", "tx", "size", "fps")
-    members = cut(dealt.select(*key, F.explode(F.concat(F.array("u"), "vs")).alias("node")).distinct().join(known, "node"))
+    members = cut(dealt.mapInArrow(_members, "g long, a int, b int, node long").distinct().join(known, "node"))
     # Only texts that are to be compared are shuffled, and a few whose hash falls on the same bit.
     slot = F.col("tx").bitwiseAND(F.lit((1 << WANTED) - 1))
     at, bit = F.shiftright(slot, 6).alias("at"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit")
@@ -326,23 +409,23 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int =
     none = lambda name, kind: F.lit(None).cast(kind).alias(name)
     rows = members.join(held, "tx").select(*key, F.col("node").alias("u"), none("vs", "array<long>"), "size", "fps", "text")
     rows = rows.union(dealt.select(*key, "u", "vs", none("size", "long"), none("fps", "array<long>"), none("text", "string")))
-    rows = rows.repartition(partitions(pairs.sparkSession), *key).sortWithinPartitions(*key, F.col("vs").isNotNull())
-    return cut(rows.mapInArrow(_links(words, threshold), "u long, v long"))
+    rows = rows.repartition(partitions(near.sparkSession), *key).sortWithinPartitions(*key, F.col("vs").isNotNull())
+    return cut(rows.mapInArrow(released(_links(words, threshold)), "u long, v long"))
 
 
 def links(rows: DataFrame, texts: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """u, v: verified pairs that join all candidates of rows (node, tx, size, fps, checks; node distinct) at the threshold; texts: tx, text."""
-    found = cut(_dealt(entries(rows), "node").mapInArrow(_first_pairs, "key int, u long, v long"))
-    first = verified(found.where("v is not null").select("u", "v"), rows, texts, words, threshold)
-    members = found.where("v is null").select("key", F.col("u").alias("node"))
+    found = cut(_dealt(entries(rows), "node").mapInArrow(released(_listed(_first_pairs)), _LISTED))
+    first = _verified(found.where("vs is not null"), rows, texts, words, threshold)
+    members = found.where("vs is null").select("key", F.col("u").alias("node"))
     if members.isEmpty():
         return first
     # Buckets in which texts were matched with leaders alone, and that hold several components yet.
     roots = cut(members.join(cut(components(first)), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     mixed = roots.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("key")
     named = roots.join(mixed, "key").join(rows.select("node", "size", "fps", *_CHECKS), "node")
-    more = _dealt(named, "node", "root", "size", "fps").mapInArrow(_other_pairs(threshold), "u long, v long")
-    return first.union(verified(more, rows, texts, words, threshold))
+    more = _dealt(named, "node", "root", "size", "fps").mapInArrow(released(_listed(_other_pairs(threshold))), _LISTED)
+    return first.union(_verified(more, rows, texts, words, threshold))
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -354,7 +437,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
     null and blank texts are one text.  Empty table: no rows.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tx"), F.col(text).alias("text"))
-    rows = cut(own.mapInArrow(_sketches(words), _SKETCH))
+    rows = cut(own.mapInArrow(released(_sketches(words)), _SKETCH))
     nodes = cut(rows.drop("doc_id").dropDuplicates(["node"]))
     roots = cut(components(links(nodes, own.select("tx", "text"), words, threshold)))
     # Rows in a component are found by their text; all others are their own.

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import token_codec
+from .common import released
 
 FRAME_IDS = 1 << 23
 #: Characters of the texts that are encoded at once.
@@ -88,7 +89,7 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int, doc_id:
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tx", F.xxhash64("text"))
     # Adaptive execution joins small partitions, as long frames code better and faster.
     own = own.repartitionByRange(F.asc_nulls_first("doc_id"), "tx").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tx")
-    own.select("doc_id", "text").mapInArrow(_frames(tokenizer, end_id), _FRAME).write.option("compression", "none").option("parquet.block.size", 1 << 20).parquet(to)
+    own.select("doc_id", "text").mapInArrow(released(_frames(tokenizer, end_id)), _FRAME).write.option("compression", "none").option("parquet.block.size", 1 << 20).parquet(to)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +115,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     own = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = frames.select("part", "frame", own.alias("own")).join(parts, "part").select("part", "frame", (F.col("own") + F.col("first")).alias("first"))
-    decoded = stored.select("part", "frame", "doc_ids", "lengths", "blocks").mapInArrow(_decode, _READ)
+    decoded = stored.select("part", "frame", "doc_ids", "lengths", "blocks").mapInArrow(released(_decode), _READ)
     return decoded.join(starts, ["part", "frame"]).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -249,3 +249,51 @@ def test_a_dense_bucket_names_leaders():
     got = [r for b in near_copies._first_pairs(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list("abcd"))])) for r in b.to_pylist()]
     assert sorted((r["u"], r["v"]) for r in got if r["v"] is not None) == [(0, i) for i in range(1, 100)]
     assert sorted(r["u"] for r in got if r["v"] is None) == list(range(100))
+
+
+def test_pairs_travel_as_lists(spark, monkeypatch):
+    """120 texts that are all candidates of each other: no step of Spark's has a row a pair."""
+    docs, rows = sketched(spark, edits(random.Random(5), 120, 600, 16))
+    plans, cut = [], near_copies.cut
+    monkeypatch.setattr(near_copies, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or cut(df))
+    near_copies.links(rows, docs.select("tx", "text"))
+    assert len(plans) > 5 and "Generate" in "".join(plans)
+    assert not any(x in p for p in plans for x in ("explode(vs", "explode(concat"))
+
+
+def rows_of(batches):
+    return [r for b in batches for r in b.to_pylist()]
+
+
+def test_lists_hold_each_pair_once_and_blocks_its_texts(monkeypatch):
+    np, pa = near_copies.np, near_copies.pa
+    rng = np.random.default_rng(8)
+    u = rng.integers(-50, 49, 900)
+    v = u + rng.integers(1, 30, 900)
+    pairs = pa.RecordBatch.from_arrays([pa.nulls(900, pa.int32()), pa.array(u), pa.array(v)], ["key", "u", "v"])
+    member = pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([7]), pa.nulls(1, pa.int64())], ["key", "u", "v"])
+    want = {(int(a), int(b)) for a, b in zip(u, v, strict=True)}
+    for many in (near_copies.GATHERED, 100):
+        monkeypatch.setattr(near_copies, "GATHERED", many)
+        found = rows_of(near_copies._listed(iter)(iter([pairs.slice(0, 500), member, pairs.slice(500)])))
+        assert [r for r in found if r["vs"] is None] == [{"key": 3, "u": 7, "vs": None}]
+        found = [(r["u"], x) for r in found for x in r["vs"] or []]
+        assert set(found) == want | {(b, a) for a, b in want}
+    lists = {}
+    for a, b in sorted(want):
+        lists.setdefault(a, []).append(b)
+    columns = [[x // 20 for x in lists], [1 + x % 4 for x in (y // 20 for y in lists)], list(lists), list(lists.values())]
+    given = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int64()))], ["g", "n", "u", "vs"])
+    monkeypatch.setattr(near_copies, "LISTS", 7)
+    blocks = [*near_copies._blocks(iter([given.slice(2), given.slice(0, 2)]))]
+    dealt = rows_of(blocks)
+    assert sorted((r["u"], x) for r in dealt for x in r["vs"]) == sorted(want)
+    assert all(r["a"] <= r["b"] < 1 + r["g"] % 4 and r["g"] == r["u"] // 20 for r in dealt)
+    of = {}
+    for r in dealt:
+        for x in (r["u"], *r["vs"]):
+            of.setdefault((r["g"], x), set()).add((r["a"], r["b"]))
+    got = {}
+    for r in rows_of(near_copies._members(iter(blocks))):
+        got.setdefault((r["g"], r["node"]), set()).add((r["a"], r["b"]))
+    assert got == of and len({b for x in of.values() for b in x}) > 4

@@ -104,3 +104,25 @@ def test_null_and_repeated_ids_and_empty_table(spark, tmp_path):
     assert {len(r.ids) for r in token_output.decoded_ids(spark, f"{tmp_path}/a").collect()} == {1, 2, 3}
     token_output.write_tokens(docs.limit(0), f"{tmp_path}/b", tokenizer_file(), END_ID)
     assert token_output.read_tokens(spark, f"{tmp_path}/b").count() == 0
+
+
+def resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096
+
+
+def test_a_task_gives_its_memory_back():
+    """A worker that is used again holds what it needs, and not the most that a task took."""
+    from framequarry.llm.common import released
+
+    kept = []
+
+    def run(batches):
+        held = [bytes(2000) for _ in range(100_000)]
+        kept.extend(held[:: 5000] + [bytes(2000)])  # freed memory lies below blocks in use
+        held.clear()
+        yield from batches
+
+    before = resident()
+    assert list(released(run)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 60_000_000
