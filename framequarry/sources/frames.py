@@ -67,13 +67,13 @@ def _seen(spark: SparkSession, root: str, folders: list[str] | None, columns: li
 def scan(spark: SparkSession, root: str, folders: list[str] | None = None) -> DataFrame:
     """path, length, content of the files right under the folders of root, or under those named.
 
-    Spark's source reads them but for those with odd names, which tasks open themselves.
+    Tasks list and open them, whatever their names: Spark's source would find each file through the driver
+    and deal so few small ones to a task that a tree of a million has tens of thousands.  It stands in where
+    Python tasks cannot open the store, and passes over odd names there.
     """
-    seen = _seen(spark, root, folders, ["path", "length", "content"]).where(~listing.odd(F.col("path")))
     if not listing.reachable(_qualified(spark, root)):
-        return seen
-    rest = files(spark, root, folders).where(listing.odd(F.col("path"))).select("path", "length").repartition(spark.sparkContext.defaultParallelism)
-    return seen.unionByName(listing.opened(rest))
+        return _seen(spark, root, folders, ["path", "length", "content"]).where(~listing.odd(F.col("path")))
+    return listing.opened(files(spark, root, folders).select("path", "length").repartition(listing.tasks(spark)))
 
 
 def _literal(path: str) -> str:

@@ -59,6 +59,11 @@ def _under(folder: str, folders: bool) -> Iterator[tuple[str, int, int]]:
             yield i.base_name, i.size or 0, (i.mtime_ns or 0) // 1_000_000
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks that folders, and files to open, are dealt to."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def folders(spark: SparkSession, root: str) -> DataFrame:
     """video: names of the folders right under root, listed as a stream by one task."""
 
@@ -94,8 +99,7 @@ def files(named: DataFrame, root: str) -> DataFrame:
                         held = []
         yield batch(held)
 
-    tasks = max(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), named.sparkSession.sparkContext.defaultParallelism)
-    return named.select("video").repartition(tasks, "video").mapInArrow(run, "path string, length long, modificationTime timestamp")
+    return named.select("video").repartition(tasks(named.sparkSession), "video").mapInArrow(run, "path string, length long, modificationTime timestamp")
 
 
 def opened(paths: DataFrame) -> DataFrame:
@@ -121,13 +125,16 @@ def put(rows: DataFrame, root: str) -> None:
     """Write content of each row (video, file, content) as a file of the tree under root, in the task that has it; a task that runs again writes the same files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[str, tuple] = {}
         for b in batches:
             for video, file, content in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                store, at = _store(f"{root}/{video}")
-                if store is None:
-                    os.makedirs(at, exist_ok=True)
-                else:
-                    store.create_dir(at)
+                if video not in made:
+                    store, at = made[video] = _store(f"{root}/{video}")
+                    if store is None:
+                        os.makedirs(at, exist_ok=True)
+                    else:
+                        store.create_dir(at)
+                store, at = made[video]
                 with open(f"{at}/{file}", "wb") if store is None else store.open_output_stream(f"{at}/{file}") as out:
                     out.write(content)
         yield pa.RecordBatch.from_arrays([pa.array([], pa.int32())], ["n"])

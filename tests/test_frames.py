@@ -475,3 +475,16 @@ def test_streamed_decisions_of_rows_in_any_order(spark, tmp_path):
     whole = temporal_dedup(spark.createDataFrame(rows, schema), "v", 2, lambda a, b: F.abs(a - b), reset="t")
     both = [sorted(tuple(r) for r in df.select("seq", "sad", "keep").collect()) for df in (spark.read.parquet(f"{tmp_path}/out"), whole)]
     assert both[0] == both[1] and len(both[0]) == 47
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    """Files of any name are dealt evenly; none is found through the driver, where Spark's source takes 32 small files a task."""
+    for video in ("a", ".b"):
+        (tmp_path / video).mkdir()
+        for i in range(300):
+            (tmp_path / video / f"{'_' * (i % 2)}{i}").write_bytes(b"%d" % i)
+    found = frames.scan(spark, str(tmp_path))
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    got = {(*r.path.split("/")[-2:], r.length, bytes(r.content)) for r in found.collect()}
+    assert got == {(v, f"{'_' * (i % 2)}{i}", len(str(i)), b"%d" % i) for v in ("a", ".b") for i in range(300)}
