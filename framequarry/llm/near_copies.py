@@ -11,7 +11,8 @@ million, let through though unlike: 4 in a million), and what is left is verifie
 A bucket is read in order of its key, so its rows pass one task in a stream.  In a bucket of up to
 FEW texts all pairs are matched.  In a larger one, or one with over MANY near pairs a text, each text is
 matched with leaders alone, the first text within RADIUS; after these links are verified, pairs of different
-components are matched, on all fingerprints.  So a large group costs a row a member, and pairs inside a
+components are matched, on all fingerprints: in their buckets, or, where their buckets hold nearly the same texts over
+and over, by pairs of a few blocks of all texts that are left, so that a text moves once a block and not once a bucket.  So a large group costs a row a member, and pairs inside a
 component, which change nothing, are left out, as are buckets that have become one component.
 
 Pairs leave the task that finds them as lists, a row a text and not a row a pair, and are verified in groups that share texts: those whose lower text has one
@@ -45,6 +46,10 @@ RADIUS = 38
 FEW = 512
 #: Near pairs a text of a bucket that are all named.
 MANY = 2
+#: Blocks of the texts that the second pass compares, where that costs less than their buckets do: a text moves so often at most.
+BLOCKS = 8
+#: Ordered pairs of texts that are compared at about the cost of a row that moves.
+MET = 512
 #: Bits of the FINGERPRINTS in which a pair differs at most whose texts are read, and the least set that they tell of.
 FINE_RADIUS, SMALL = 400, 32
 #: Words of shingle hashes that are counted at once.
@@ -275,6 +280,23 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(node[own]), pa.nulls(len(own), pa.int64())], names)
 
 
+def _outside(r: np.ndarray, n: np.ndarray, f: np.ndarray, s: np.ndarray, p: np.ndarray, threshold: float, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Texts outside the commonest root with all that they may reach the threshold with, of another root (and another side), and the first segment that they share; 0, if none."""
+    _, kind, many = np.unique(r, return_inverse=True, return_counts=True)
+    common = many.argmax()
+    for i in (kind != common).nonzero()[0]:
+        # A pair of two such texts is met once.
+        near = _near(f, f[i]) & (r != r[i]) & ((kind == common) | (n > n[i]))
+        j = (near if side is None else near & (side != side[i])).nonzero()[0]
+        j = j[_allowed(s[j], p[j], s[i], p[i], threshold)]
+        if len(j):
+            yield i, j, (_quarters(p[j] ^ p[i]) == 0).argmax(1)
+
+
+def _named(n: np.ndarray, i: int, j: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(n[i], n[j])), pa.array(np.maximum(n[i], n[j]))], ["u", "v"])
+
+
 def _other_pairs(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """u, v: near pairs of different roots that may reach the threshold; in each bucket, texts outside its commonest root against all.
@@ -286,15 +308,60 @@ def _other_pairs(threshold: float):
             begins = np.append(0, (key[1:] != key[:-1]).nonzero()[0] + 1).tolist()
             for b, e in zip(begins, [*begins[1:], len(key)], strict=True):
                 r, n, f, s, p = (x[b:e] for x in (root, node, fp, size, prints))
-                kinds, kind, many = np.unique(r, return_inverse=True, return_counts=True)
-                common = many.argmax()
-                for i in (kind != common).nonzero()[0]:
-                    # A pair of two such texts is met once.
-                    j = (_near(f, f[i]) & (r != r[i]) & ((kind == common) | (n > n[i]))).nonzero()[0]
-                    j = j[_allowed(s[j], p[j], s[i], p[i], threshold)]
-                    j = j[(_quarters(p[j] ^ p[i]) == 0).argmax(1) == key[b] >> 16]
+                for i, j, segment in _outside(r, n, f, s, p, threshold):
+                    j = j[segment == key[b] >> 16]
+                    if len(j):
+                        yield _named(n, i, j)
+
+    return run
+
+
+def _block_pairs(threshold: float, mixed: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The same pairs from rows of a pair of blocks (key; equal for one block with itself), with each text's block: those whose first bucket that they share is in the table of mixed ones."""
+        for key, node, root, block, size, prints, *checks in _buckets(batches):
+            fp, prints = np.stack(checks, 1).view(np.uint64), prints.view(np.uint64)
+            begins = np.append(0, (key[1:] != key[:-1]).nonzero()[0] + 1).tolist()
+            for b, e in zip(begins, [*begins[1:], len(key)], strict=True):
+                r, n, k, f, s, p = (x[b:e] for x in (root, node, block, fp, size, prints))
+                two = key[b] % BLOCKS != key[b] // BLOCKS
+                for i, j, segment in _outside(r, n, f, s, p, threshold, k if two else None):
+                    quarter = _quarters(p[i : i + 1])[0][segment]
+                    j = j[(_quarters(p[j])[np.arange(len(j)), segment] == quarter) & _has(mixed, segment << 16 | quarter)]
                     if len(j):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n[i], n[j])), pa.array(np.maximum(n[i], n[j]))], ["u", "v"])
+                        yield _named(n, i, j)
+
+    return run
+
+
+def _has(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set."""
+    return (table[key >> 6] >> (key & 63) & 1).astype(bool)
+
+
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, a, z, n: the least and the largest root of each bucket and its texts, over rows (node, root, keys) of a batch."""
+    for b in batches:
+        row, key = _ends(b)
+        if len(key):
+            root = b.column(1).to_numpy()[row]
+            order = np.lexsort((root, key))
+            key, root = key[order], root[order]
+            begins = np.append(0, (key[1:] != key[:-1]).nonzero()[0] + 1)
+            ends = np.append(begins[1:], len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(key[begins]), pa.array(root[begins]), pa.array(root[ends - 1]), pa.array(ends - begins)], ["key", "a", "z", "n"])
+
+
+def _left(mixed: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (node, root, keys) with the keys of mixed buckets alone; without one, none."""
+        for b in batches:
+            row, key = _ends(b)
+            held = _has(mixed, key)
+            rows, begins = np.unique(row[held], return_index=True)
+            if len(rows):
+                keys = pa.ListArray.from_arrays(pa.array(np.append(begins, held.sum()), pa.int32()), pa.array(key[held]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), keys], b.schema.names)
 
     return run
 
@@ -417,14 +484,32 @@ def links(rows: DataFrame, texts: DataFrame, words: int = WORDS, threshold: floa
     """u, v: verified pairs that join all candidates of rows (node, tx, size, fps, checks; node distinct) at the threshold; texts: tx, text."""
     found = cut(_dealt(entries(rows), "node").mapInArrow(released(_listed(_first_pairs)), _LISTED))
     first = _verified(found.where("vs is not null"), rows, texts, words, threshold)
-    members = found.where("vs is null").select("key", F.col("u").alias("node"))
+    members = found.where("vs is null")
     if members.isEmpty():
         return first
-    # Buckets in which texts were matched with leaders alone, and that hold several components yet.
-    roots = cut(members.join(cut(components(first)), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    mixed = roots.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("key")
-    named = roots.join(mixed, "key").join(rows.select("node", "size", "fps", *_CHECKS), "node")
-    more = _dealt(named, "node", "root", "size", "fps").mapInArrow(released(_listed(_other_pairs(threshold))), _LISTED)
+    # A text with the keys of the buckets in which it was matched with leaders alone, a row a text.
+    members = members.groupBy(F.col("u").alias("node")).agg(F.collect_list("key").alias("keys"))
+    roots = cut(members.join(cut(components(first)), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "keys"))
+    # Of these buckets those that hold several components yet, as a bit each.
+    kinds = roots.mapInArrow(_kinds, "key int, a long, z long, n long").groupBy("key").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.sum("n").alias("n")).where("a < z")
+    told = kinds.groupBy(F.shiftright("key", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, key & 63))").alias("bits"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs")).toArrow()
+    mixed = np.zeros(SEGMENTS << 10, np.int64)
+    mixed[told["at"].to_numpy()] = told["bits"].to_numpy()
+    left = cut(roots.mapInArrow(_left(mixed), "node long, root long, keys array<int>"))
+    many = left.count()
+    if not many:
+        return first
+    named = left.join(rows.select("node", "size", "fps", *_CHECKS), "node")
+    blocks = min(BLOCKS, -(-many // FEW))
+    if many * blocks + many**2 / MET <= sum(told["n"].to_pylist()) + sum(told["pairs"].to_pylist()) / MET:
+        # The buckets hold nearly the same texts over and over: blocks of texts meet each other.
+        block = F.pmod(F.col("node"), F.lit(blocks)).cast("int")
+        pairs = [F.least(block, F.lit(k)) * BLOCKS + F.greatest(block, F.lit(k)) for k in range(blocks)]
+        dealt = _dealt(named.select(F.explode(F.array(*pairs)).alias("key"), "node", "root", block.alias("block"), "size", "fps", *_CHECKS), "node", "root", "block", "size", "fps")
+        more = dealt.mapInArrow(released(_listed(_block_pairs(threshold, mixed))), _LISTED)
+    else:
+        dealt = _dealt(named.select(F.explode("keys").alias("key"), "node", "root", "size", "fps", *_CHECKS), "node", "root", "size", "fps")
+        more = dealt.mapInArrow(released(_listed(_other_pairs(threshold))), _LISTED)
     return first.union(_verified(more, rows, texts, words, threshold))
 
 

@@ -297,3 +297,48 @@ def test_lists_hold_each_pair_once_and_blocks_its_texts(monkeypatch):
     for r in rows_of(near_copies._members(iter(blocks))):
         got.setdefault((r["g"], r["node"]), set()).add((r["a"], r["b"]))
     assert got == of and len({b for x in of.values() for b in x}) > 4
+
+
+def test_blocks_name_the_pairs_of_the_buckets():
+    """Texts that share many buckets: the pairs of blocks are those of the mixed buckets, each once."""
+    np, pa = near_copies.np, near_copies.pa
+    rng = np.random.default_rng(11)
+    n, wide = 90, near_copies.FINGERPRINTS
+    prints = np.repeat(rng.integers(0, 1 << 64, (3, wide), np.uint64), n // 3, 0)
+    flip = rng.random((n, wide, 64)) < rng.uniform(0.02, 0.14, n)[:, None, None]
+    prints ^= np.packbits(flip, axis=2, bitorder="little").view("<u8")[:, :, 0]
+    node, size, root = rng.permutation(n) - 40, rng.integers(28, 60, n), rng.integers(0, 12, n)
+    checks = [np.zeros(n, np.int64)] * near_copies.CHECKS
+    batch = lambda columns: iter([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [str(k) for k in range(len(columns))])])
+    pairs = lambda found: sorted(p for b in found for p in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True))
+    held = {}
+    for i, keys in enumerate(near_copies._segments(prints).tolist()):
+        for k in keys:
+            held.setdefault(k, []).append(i)
+    chosen = sorted(k for k, x in held.items() if len(x) > 1 and k % 3)  # the others stand for buckets whose pairs are all matched
+    mixed = np.zeros(near_copies.SEGMENTS << 10, np.int64)
+    for k in chosen:
+        mixed[k >> 6] |= np.int64(1) << np.int64(k & 63)
+    key, i = np.repeat(np.array(chosen, np.int32), [len(held[k]) for k in chosen]), np.concatenate([held[k] for k in chosen])
+    want = pairs(near_copies._other_pairs(0.8)(batch([key, node[i], root[i], size[i], prints[i].view(np.int64).tolist(), *(c[i] for c in checks)])))
+    assert 50 < len(want) == len(set(want))
+    block, most = node % 4, near_copies.BLOCKS
+    rows = sorted((a * most + b, i) for a in range(4) for b in range(a, 4) for i in range(n) if block[i] in (a, b))
+    key, i = (np.array(c) for c in zip(*rows, strict=True))
+    got = near_copies._block_pairs(0.8, mixed)(batch([key, node[i], root[i], block[i], size[i], prints[i].view(np.int64).tolist(), *(c[i] for c in checks)]))
+    assert pairs(got) == want
+
+
+def test_a_text_moves_once_a_block_and_not_once_a_bucket(spark, monkeypatch):
+    """Texts of one cloud, whose buckets hold nearly the same ones over and over: neither joins nor the second pass have a row a bucket of a text."""
+    texts = edits(random.Random(7), 150, 300, 10) + edits(random.Random(8), 40, 300, 1)
+    docs, rows = sketched(spark, texts)
+    dealt, deal = [], near_copies._dealt
+    monkeypatch.setattr(near_copies, "_dealt", lambda df, *c: dealt.append(df) or deal(df, *c))
+    found = near_copies.links(rows, docs.select("tx", "text"))
+    assert len(dealt) == 2 and dealt[1].count() <= 8 * len(texts)
+    ids, of = {r.node: r.doc_id for r in rows.collect()}, list(range(len(texts)))
+    for r in found.collect():
+        a, b = of[ids[r.u]], of[ids[r.v]]
+        of = [min(a, b) if c in (a, b) else c for c in of]
+    assert groups(dict(enumerate(of))) == groups(dict(enumerate(brute_components(texts))))
