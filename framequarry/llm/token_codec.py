@@ -97,7 +97,7 @@ class _Models:
         self.each = np.clip(1 - self.fresh, np.float32(0.0625), np.float32(0.9375)) / np.maximum(self.total, 1).astype(np.float32)
         part = np.float32(_SHARE << 16) / (self.trials + 2)
         share2 = ((self.hits2 + np.float32(0.25)) * part).astype(np.int64)
-        self.shares = share2 << 32 | share2 + ((self.hits1 + np.float32(0.25)) * part).astype(np.int64)
+        self.shares = (share2 << 32 | share2 + ((self.hits1 + np.float32(0.25)) * part).astype(np.int64)).astype("<i8")
 
     def _words(self, sums: np.ndarray) -> np.ndarray:
         parts = [x.astype(np.uint64) << np.uint64(16 * k) for k, x in enumerate(sums.reshape(-1, _SPAN, self.lanes).transpose(1, 0, 2))]
@@ -107,9 +107,8 @@ class _Models:
         """Add the steps since the last sum: places in the counts, ids without one, contexts and what held there."""
         np.add.at(self.counts, counted.ravel(), np.uint16(1))
         context = contexts.ravel()
-        np.add.at(self.trials, context, np.int32(1))
-        np.add.at(self.hits2, context[hits2.ravel().nonzero()[0]], np.int32(1))
-        np.add.at(self.hits1, context[(hits1 > hits2).ravel().nonzero()[0]], np.int32(1))
+        for held, own in ((self.trials, context), (self.hits2, context[hits2.ravel()]), (self.hits1, context[(hits1 > hits2).ravel()])):
+            held += np.bincount(own, minlength=len(held)).astype(np.int32)
         n, fresh = len(new) - (hits1 | hits2).sum(0, dtype=np.int32), new.sum(0, dtype=np.int32)
         self.known += fresh
         self.fresh += (fresh - n * self.fresh) / np.float32(128)
@@ -122,8 +121,7 @@ class _Models:
         self.p1, self.p2 = self.e1 >> 4, self.e2 >> 4
         self.c1, self.c2 = self.e1 & 12, self.e2 & 3
         np.add((self.p1 == self.p2) << np.int8(4) | self.c1 | self.c2, self.at_context, out=context)
-        shares = self.shares.take(context, mode="clip")
-        self.w2, self.w = (shares >> 32).astype(np.int32), shares.astype(np.int32)
+        self.w, self.w2 = np.ascontiguousarray(self.shares.take(context, mode="clip").view(np.int32).reshape(-1, 2).T)
         self.unit = ((_ALL - self.w).astype(np.float32) * self.each).astype(np.int32)
 
     def find(self, v: np.ndarray) -> np.ndarray:
@@ -144,6 +142,11 @@ class _Models:
         self.t1[self.s1] = np.where(hit1, moved + np.minimum(self.c1 + 4, 12), np.where(self.c1, self.e1 - 4, moved))
 
 
+def _parts(wide: np.ndarray) -> np.ndarray:
+    """The width of one of _ALL parts; unsigned numbers are shifted many at once."""
+    return (wide.view(np.uint64) >> np.uint64(24)).view(np.int64)
+
+
 def _shape(n: int) -> tuple[int, int]:
     """Blocks of a run of n ids, and their ids at most: all have as many, or one less."""
     lanes = max(1, min(LANES, n // LEAST_BLOCK), -(-n // BLOCK))
@@ -225,12 +228,12 @@ def _encode_run(ids: np.ndarray, vocab: int) -> list[bytes]:
                 old, y = (m.w[i] + m.unit[i] * m.total[i]).astype(np.int64), x[i]
                 lo = law.take(y) * (_ALL - old) >> 17
                 begin[i], width[i] = old + lo, (law.take(y + 1) * (_ALL - old) >> 17) - lo
-            part = wide >> 24
+            part = _parts(wide)
             low = add(part * begin)
             wide = part * width
             # Every block's top word is written; it stays where the range has become too narrow.
             narrow = wide < _LOW
-            out[spot] = (low >> 32).astype(np.uint16)
+            out[spot] = low.view("<u2")[2::4]
             spot += narrow * lanes
             by = narrow * 16
             low <<= by
@@ -246,7 +249,10 @@ def _encode_run(ids: np.ndarray, vocab: int) -> list[bytes]:
         new = lacks > hit
         np.copyto(places, nowhere, where=hit)
         i = new.ravel().nonzero()[0]
-        rank = (np.cumsum(new, axis=0, dtype=np.int16) - 1).ravel().take(i) + m.known.take(i % lanes)
+        rank, upto = np.zeros(new.shape, np.int16), np.full(lanes, -1, np.int16)
+        for more, ranked in zip(new, rank):
+            upto = np.add(upto, more, out=ranked)
+        rank = rank.ravel().take(i) + m.known.take(i % lanes)
         places.ravel()[i] = rank * lanes + i % lanes
         seats[held.ravel().take(i)] = rank
         m.learn(places, new, contexts, hits1, hits2)
@@ -313,7 +319,7 @@ def _decode_run(blocks: Sequence[bytes], steps: int, vocab: int) -> list[np.ndar
         for k in range(shape[0]):
             m.predict(h1.take(x) + lane, h2.take(x) + before, contexts[k])
             before = h3.take(x) + lane
-            part = wide >> 24
+            part = _parts(wide)
             # Quotients of numbers under 2**53, and under 2**24 in single precision, are exact.
             v = np.minimum((code / part).astype(np.int32), _ALL - 1)
             over = v - m.w

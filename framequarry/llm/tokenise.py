@@ -2,7 +2,7 @@
 
 The vocabulary's pre-tokeniser cuts a text into words that are encoded on their own.  Texts of
 Latin letters, whose classes are certain, are cut in numpy over all bytes of a batch, and their
-words are coded by a dictionary in Arrow; the library's model encodes words that are new.  All
+words are coded by dictionaries in Arrow, those of up to eight bytes as numbers; the library's model encodes words that are new.  All
 other texts go to the library whole.
 """
 
@@ -28,6 +28,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: White space within ASCII that separates words.
 BLANKS = " \t\n\x0b\x0c\r"
 _BLANK, _LETTER, _NUMBER, _OTHER = range(4)
+#: Bytes of words that are held as a number.
+SHORT = 8
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(SHORT + 1)], np.uint64)
 #: The short cut takes characters below this, which have two bytes at most.
 _END = 0x250
 
@@ -38,6 +41,15 @@ def _classes() -> bytes:
     return bytes(_BLANK if chr(i) in BLANKS else kinds.get(unicodedata.category(chr(i))[0], _OTHER) for i in range(_END))
 
 
+def _numbers(letters: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Words of 1 to SHORT bytes as numbers, the first byte lowest; they hold no zero byte, so different words have different ones."""
+    eights = np.zeros(len(letters) // SHORT + 2, "<u8")
+    eights.view(np.uint8)[: len(letters)] = letters
+    at, by = begin >> 3, (begin & 7).astype(np.uint64) << np.uint64(3)
+    both = eights[at] >> by | eights[at + 1] << (np.uint64(63) - by) << np.uint64(1)
+    return both & _MASKS[size]
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -62,21 +74,36 @@ class Encoder:
 
     def forget(self) -> None:
         """Drop the words learnt so far."""
-        self.words = pa.array([], pa.binary())
+        # Words of up to SHORT bytes as a number, then longer ones; and their places in the order in which words were learnt.
+        self.words = [pa.array([], pa.uint64()), pa.array([], pa.binary())]
+        self.places = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         self.ids = np.zeros(0, np.int32)
         self.ends = np.zeros(1, np.int64)  # of the words' ids, and a zero before
 
-    def _learn(self, words: pa.Array) -> None:
-        held = words.to_pylist()
+    def _learn(self, held: list[bytes]) -> None:
         joined = [b" ".join(held[i : i + JOINED]).decode() for i in range(0, len(held), JOINED)]
         flat = np.concatenate([np.array(e.ids, np.int32) for e in self.bare.encode_batch_fast(joined, add_special_tokens=False)])
         ends = self.last[flat].nonzero()[0] + 1
         if len(ends) != len(held):
             raise ValueError("a word's ids have another end than its last")
-        self.words = pa.concat_arrays([self.words, words])
         self.ends = np.concatenate((self.ends, len(self.ids) + ends))
         self.ids = np.concatenate((self.ids, flat))
 
+    def _place(self, kind: int, words: pa.Array) -> np.ndarray:
+        """The places of words of a kind in the order in which words were learnt; new ones are learnt."""
+        coded = pc.dictionary_encode(words)
+        own = coded.dictionary
+        found = pc.index_in(own, value_set=self.words[kind]).fill_null(-1).to_numpy()
+        new = found < 0
+        if new.any():
+            fresh = own.filter(pa.array(new))
+            begin = len(self.ends) - 1
+            self._learn(fresh.to_pylist() if kind else fresh.to_numpy().astype("<u8").view(f"S{SHORT}").tolist())
+            found = np.where(new, len(self.words[kind]) + np.cumsum(new) - 1, found)
+            self.words[kind] = pa.concat_arrays([self.words[kind], fresh])
+            self.places[kind] = np.append(self.places[kind], np.arange(begin, begin + len(fresh)))
+        return self.places[kind][found[coded.indices.to_numpy()]]
+
     def _cut(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Where the words of a text in UTF-8 begin, and the class of each byte; the text ends with a blank."""
         b, kind = np.frombuffer(raw, np.uint8), np.frombuffer(bytearray(raw.translate(self.of_byte)), np.uint8)
@@ -108,16 +135,14 @@ class Encoder:
         gaps = np.cumsum(~solid, dtype=np.int32)
         letters = np.frombuffer(raw, np.uint8)[solid]
         offsets = np.append(at - gaps[at], len(letters)).astype(np.int32)
-        coded = pc.dictionary_encode(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]))
-        own = coded.dictionary
-        if len(self.words) > REMEMBERED:
+        if len(self.ends) > REMEMBERED:
             self.forget()
-        word = pc.index_in(own, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
-        new = word < 0
-        word[new] = len(self.words) + np.arange(new.sum())
-        if new.any():
-            self._learn(own.filter(pa.array(new)))
-        word = word[coded.indices.to_numpy()]
+        begin, size = offsets[:-1], np.diff(offsets)
+        word = np.empty(len(at), np.int64)
+        i = (size <= SHORT).nonzero()[0]
+        word[i] = self._place(0, pa.array(_numbers(letters, begin[i], size[i])))
+        i = (size > SHORT).nonzero()[0]
+        word[i] = self._place(1, pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).take(pa.array(i)))
         begin = self.ends[word]
         size = self.ends[word + 1] - begin
         ends = np.cumsum(size)

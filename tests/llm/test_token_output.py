@@ -126,3 +126,19 @@ def test_a_task_gives_its_memory_back():
     before = resident()
     assert list(released(run)(iter([1, 2]))) == [1, 2]
     assert resident() - before < 60_000_000
+
+
+def test_short_words_are_numbers_of_their_own():
+    """Words of one to some eight bytes, at any place of the text and to its very end, two-byte letters too."""
+    from framequarry.llm import tokenise
+
+    words = sorted({w[:n] for w in (b"abcdefgh", b"bbbbbbbb", "éèabcdé".encode(), b"x1y2z3w4") for n in range(1, 9)})
+    letters = np.frombuffer(b"".join(words), np.uint8)
+    size = np.array([len(w) for w in words])
+    begin = (np.cumsum(size) - size).astype(np.int32)
+    assert tokenise._numbers(letters, begin, size).astype("<u8").view("S8").tolist() == words
+    mine = tokenise.Encoder(tokenizer_file())
+    texts = ["abcdefgh abcdefghi abcdefg é éé ééééé abcdefgh", "internationalisation it 's a7b ABCDEFGH", "abcdefghi abcdefgh"]
+    for _ in range(2):
+        assert [x.tolist() for x in mine(texts)] == [e.ids for e in mine.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert len(mine.ends) - 1 == len(mine.words[0]) + len(mine.words[1]) and len(mine.words[1]) >= 2
