@@ -71,6 +71,36 @@ def test_codec_adapts(monkeypatch):
     assert bits(np.full(60_000, 7)) < 0.3
 
 
+def test_codec_steps_take_an_id_of_each_strand(monkeypatch):
+    """A step is dear whatever it holds, so a block of some 5,000 ids takes far fewer steps than ids, to write and to read."""
+    steps, update = [], token_codec._Models.update
+    monkeypatch.setattr(token_codec._Models, "update", lambda *a: (steps.append(1), update(*a)))
+    monkeypatch.setattr(token_codec, "LEAST_BLOCK", 5000)
+    ids = np.random.default_rng(7).zipf(1.2, 40_001) % 3000
+    blocks = token_codec.encode(ids, 3000)
+    assert len(blocks) == 8 and 0 < len(steps) < 5001 / 7
+    steps.clear()
+    assert (token_codec.decode(blocks) == ids).all() and 0 < len(steps) < 5001 / 7
+
+
+def test_codec_strands_of_short_and_uneven_blocks():
+    """Blocks that end within a strand, or have fewer ids than strands; neighbours of other lengths."""
+    rng = np.random.default_rng(8)
+    rows = [rng.integers(0, 90, n) for n in (*range(1, 40), *range(3999, 4011), 4000)]
+    blocks = [token_codec.encode(x, 90) for x in rows]
+    assert (token_codec.decode([b for x in blocks for b in x]) == np.concatenate(rows)).all()
+    assert (token_codec.decode([b for x in blocks[::-1] for b in x]) == np.concatenate(rows[::-1])).all()
+
+
+def test_codec_refuses_damage_anywhere():
+    block = token_codec.encode(np.random.default_rng(9).zipf(1.3, 3000) % 500, 500)[0]
+    for at in range(0, len(block), 37):
+        harmed = bytearray(block)
+        harmed[at] ^= 0x41
+        with pytest.raises(ValueError):
+            token_codec.decode([bytes(harmed)])
+
+
 def test_codec_refuses_damage_and_foreign_ids():
     blocks = token_codec.encode(np.random.default_rng(1).integers(0, 100, 9000), 100)
     for at in (2, 9, 12, len(blocks[1]) // 2):
