@@ -8,6 +8,7 @@ other texts go to the library whole.
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 import unicodedata
@@ -41,6 +42,17 @@ def _classes() -> bytes:
     return bytes(_BLANK if chr(i) in BLANKS else kinds.get(unicodedata.category(chr(i))[0], _OTHER) for i in range(_END))
 
 
+def _alphabet(byte_level) -> str:
+    """The library's character for each byte of the characters below _END; a blank is kept, and bytes that none of them has are refused."""
+    out = ["\ufffe"] * 256
+    out[ord(" ")] = " "
+    for i in range(0x21, _END):
+        ((letters, _),) = byte_level.pre_tokenize_str(chr(i))
+        for b, letter in zip(chr(i).encode(), letters, strict=True):
+            out[b] = letter
+    return "".join(out)
+
+
 def _numbers(letters: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Words of 1 to SHORT bytes as numbers, the first byte lowest; they hold no zero byte, so different words have different ones."""
     eights = np.zeros(len(letters) // SHORT + 2, "<u8")
@@ -55,9 +67,10 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        # The same model, held once, for words that are cut already.
+        # The same model, held once, for words that are cut already and written in the alphabet of bytes.
         self.bare = Tokenizer(self.whole.model)
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.alphabet = _alphabet(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
         state = lambda part: json.loads(part.__getstate__()) if part else {}
         vocab = self.whole.get_vocab()
         self.vocab = max(vocab.values()) + 1
@@ -81,7 +94,7 @@ class Encoder:
         self.ends = np.zeros(1, np.int64)  # of the words' ids, and a zero before
 
     def _learn(self, held: list[bytes]) -> None:
-        joined = [b" ".join(held[i : i + JOINED]).decode() for i in range(0, len(held), JOINED)]
+        joined = [codecs.charmap_decode(b" ".join(held[i : i + JOINED]), "strict", self.alphabet)[0] for i in range(0, len(held), JOINED)]
         flat = np.concatenate([np.array(e.ids, np.int32) for e in self.bare.encode_batch_fast(joined, add_special_tokens=False)])
         ends = self.last[flat].nonzero()[0] + 1
         if len(ends) != len(held):
@@ -102,7 +115,7 @@ class Encoder:
             found = np.where(new, len(self.words[kind]) + np.cumsum(new) - 1, found)
             self.words[kind] = pa.concat_arrays([self.words[kind], fresh])
             self.places[kind] = np.append(self.places[kind], np.arange(begin, begin + len(fresh)))
-        return self.places[kind][found[coded.indices.to_numpy()]]
+        return self.places[kind][found].take(coded.indices.to_numpy())
 
     def _cut(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Where the words of a text in UTF-8 begin, and the class of each byte; the text ends with a blank."""
@@ -143,10 +156,10 @@ class Encoder:
         word[i] = self._place(0, pa.array(_numbers(letters, begin[i], size[i])))
         i = (size > SHORT).nonzero()[0]
         word[i] = self._place(1, pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).take(pa.array(i)))
-        begin = self.ends[word]
-        size = self.ends[word + 1] - begin
+        begin = self.ends[:-1].take(word)
+        size = np.diff(self.ends).take(word)
         ends = np.cumsum(size)
-        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)]
+        flat = self.ids.take(np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size))
         # A text's words begin before its end.
         sizes = np.cumsum([len(t.encode()) + 1 if not t.isascii() else len(t) + 1 for t in texts])
         upto = np.append(0, ends)[np.append(0, np.searchsorted(at, sizes))]

@@ -172,3 +172,18 @@ def test_short_words_are_numbers_of_their_own():
     for _ in range(2):
         assert [x.tolist() for x in mine(texts)] == [e.ids for e in mine.whole.encode_batch_fast(texts, add_special_tokens=False)]
     assert len(mine.ends) - 1 == len(mine.words[0]) + len(mine.words[1]) and len(mine.words[1]) >= 2
+
+
+def test_words_reach_the_model_in_the_alphabet_of_bytes():
+    """Each character of the short cut as a word, against the library; bytes that no such character has are refused."""
+    from framequarry.llm import tokenise
+
+    mine = tokenise.Encoder(tokenizer_file())
+    words = [chr(i) * n for i in range(0x21, tokenise._END) if not 0x7F <= i <= 0xA0 for n in (1, 3)]
+    mine._learn([w.encode() for w in words])
+    lower = [w for w in words if w == w.lower() and mine.plain.fullmatch(w) and w.isalpha()]
+    at = {w: i for i, w in enumerate(words)}
+    assert len(lower) > 300
+    assert [mine.ids[mine.ends[at[w]] : mine.ends[at[w] + 1]].tolist() for w in lower] == [mine.whole.encode(w, add_special_tokens=False).ids for w in lower]
+    with pytest.raises(UnicodeDecodeError):
+        mine._learn([b"\xff"])
